@@ -11,72 +11,73 @@ from pyspark.sql import functions as F
 
 from caudal.functions.hashing import hash_uniform
 
-# Buckets of the hash: histogram and offsets have this many rows at most.
+# Buckets of the hash (256 blocks of 256): the counts have this many rows at most.
 _BUCKETS = 65_536
 
 
-def _bucketed(df: DataFrame, key: str, salt: str) -> DataFrame:
-    return df.withColumn("_u", hash_uniform(key, salt)).withColumn(
+def _numbered(
+    df: DataFrame, key: str, salt: str, share: float | None = None, n: int | None = None
+) -> DataFrame:
+    """Rows with their position ``_i`` (0..) in the order of (hash of key, key).
+
+    Rows are numbered inside buckets of the hash, evenly filled as the key is
+    unique, and shifted by the number of rows in the buckets before. Those counts
+    have 65,536 rows at most, are summed in 256 blocks of 256 and broadcast.
+    With ``share`` or ``n`` only the first rows are wanted and buckets behind the
+    limit are never sorted.
+    """
+    bucketed = df.withColumn("_u", hash_uniform(key, salt)).withColumn(
         "_b", F.floor(F.col("_u") * _BUCKETS).cast("int")
     )
-
-
-def _running_counts(bucketed: DataFrame) -> DataFrame:
-    """Rows per bucket and rows in all buckets before it (65,536 rows at most)."""
-    upto = Window.partitionBy("_all").orderBy("_b")
-    return (
+    counts = (
         bucketed.groupBy("_b")
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_all", F.lit(0))
-        .withColumn("_before", F.sum("_n").over(upto) - F.col("_n"))
-        .drop("_all")
+        .withColumn("_block", F.shiftright("_b", 8))
+    )
+    listed = counts.groupBy("_block").agg(F.sum("_n").alias("_n")).agg(
+        F.collect_list(F.struct("_block", "_n")).alias("_all"), F.sum("_n").alias("_total")
+    )
+    earlier = F.filter("_all", lambda x: x["_block"] < F.col("_block"))
+    blocks = listed.select("_all", "_total", F.explode("_all._block").alias("_block")).select(
+        "_block",
+        "_total",
+        F.aggregate(earlier, F.lit(0).cast("bigint"), lambda sum_, x: sum_ + x["_n"]).alias("_skipped"),
+    )
+    inside = F.sum("_n").over(Window.partitionBy("_block").orderBy("_b")) - F.col("_n")
+    offsets = (
+        counts.withColumn("_inside", inside)
+        .join(F.broadcast(blocks), "_block")
+        .select("_b", (F.col("_skipped") + F.col("_inside")).alias("_before"), "_total")
+    )
+    if share is not None:
+        wanted = F.floor(F.col("_total") * F.lit(share))
+    else:
+        wanted = F.col("_total") if n is None else F.lit(n)
+    offsets = offsets.withColumn("_wanted", wanted).filter(F.col("_before") < F.col("_wanted"))
+    rank = F.row_number().over(Window.partitionBy("_b").orderBy("_u", key))
+    return (
+        bucketed.join(F.broadcast(offsets), "_b")
+        .withColumn("_i", F.col("_before") + rank - 1)
+        .filter(F.col("_i") < F.col("_wanted"))
     )
 
 
 def dense_index(df: DataFrame, key: str, salt: str, name: str) -> DataFrame:
-    """Number the rows 0..n-1 in the order of (hash of key, key); key is unique.
-
-    Rows are numbered inside buckets of the hash (evenly filled, as the key is
-    unique) and shifted by the size of the buckets before, a table of at most
-    65,536 rows; no task sees all rows.
-    """
-    bucketed = _bucketed(df, key, salt)
-    inside = Window.partitionBy("_b").orderBy("_u", key)
-    return (
-        bucketed.withColumn("_r", F.row_number().over(inside))
-        .join(F.broadcast(_running_counts(bucketed).select("_b", "_before")), "_b")
-        .withColumn(name, F.col("_before") + F.col("_r") - 1)
-        .select(*df.columns, name)
-    )
+    """Number the rows 0..n-1 in the order of (hash of key, key); key is unique."""
+    return _numbered(df, key, salt).select(*df.columns, F.col("_i").alias(name))
 
 
-def sample_n(df: DataFrame, key: str, salt: str, n: Column | int) -> DataFrame:
-    """Exactly n rows without replacement: those with the smallest hash of the key.
+def sample_n(df: DataFrame, key: str, salt: str, n: int) -> DataFrame:
+    """Exactly n rows without replacement: those with the smallest hash of the unique key.
 
-    ``ORDER BY hash LIMIT n`` would pass n rows through one task, and n grows with
-    the data. A histogram of the hash finds the bucket where the n-th row lies;
-    rows of the buckets before it are taken unsorted, only that bucket is ranked.
-    ``n`` is a number or a scalar subquery.
+    ``ORDER BY hash LIMIT n`` would pass n rows through one task.
     """
-    n = F.lit(n) if isinstance(n, int) else n
-    bucketed = _bucketed(df, key, salt)
-    edge = (
-        _running_counts(bucketed)
-        .filter((F.col("_before") < n) & (F.col("_before") + F.col("_n") >= n))
-        .agg(F.max(F.struct("_b", (n - F.col("_before")).alias("_take"))).alias("_edge"))
-    )
-    # No edge: n is at least the number of rows (all are taken) or not positive (none).
-    edge_bucket = F.coalesce(
-        edge.select("_edge._b").scalar(), F.when(n <= 0, F.lit(-1)).otherwise(F.lit(_BUCKETS))
-    )
-    take = edge.select("_edge._take").scalar()
-    before = bucketed.filter(F.col("_b") < edge_bucket)
-    at_edge = (
-        bucketed.filter(F.col("_b") == edge_bucket)
-        .withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy("_u", key)))
-        .filter(F.col("_r") <= take)
-    )
-    return before.select(*df.columns).unionByName(at_edge.select(*df.columns))
+    return _numbered(df, key, salt, n=n).select(*df.columns)
+
+
+def sample_exact_share(df: DataFrame, key: str, salt: str, share: float) -> DataFrame:
+    """Exactly floor(share * rows) rows without replacement."""
+    return _numbered(df, key, salt, share=share).select(*df.columns)
 
 
 def sample_share(df: DataFrame, key: str, salt: str, share: float) -> DataFrame:

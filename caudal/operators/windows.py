@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caudal.functions.values import micros
@@ -17,56 +17,104 @@ from caudal.functions.values import micros
 _SECOND = 1_000_000
 
 
+def _sweep(
+    points: DataFrame, key: str, bucket: str, width: int, steps: int, opening: DataFrame | None = None
+) -> DataFrame:
+    """Running totals of ``points`` (key, bucket, _t, _n, _v) inside their buckets.
+
+    Every point enters at its time and leaves ``width`` later, which lies ``steps``
+    buckets on; leaving counts after a point that enters at the same time, so both
+    ends of the window count. ``opening`` (key, bucket, _n, _v) holds what is in
+    the window when a bucket starts; without it that is whatever leaves during
+    the bucket, which is right if one bucket is as wide as the window.
+    One linear pass: a sliding RANGE frame would add up the frame for every row.
+    """
+    def step(shift: int, leaves: int) -> Column:
+        sign = F.lit(-1 if leaves else 1)
+        return F.struct(
+            (F.col(bucket) + shift).alias(bucket),
+            (F.col("_t") + (width if leaves else 0)).alias("_t"),
+            F.lit(leaves).alias("_leaves"),
+            (sign * F.col("_n")).alias("_n"),
+            (sign * F.col("_v")).alias("_v"),
+        )
+
+    moves = points.select(key, F.explode(F.array(step(0, 0), step(steps, 1))).alias("_m")).select(
+        key, "_m.*"
+    )
+    whole = Window.partitionBy(key, bucket)
+    so_far = whole.orderBy("_t", "_leaves").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    gone = F.col("_leaves") == 1
+    if opening is None:
+        n_open = F.sum(F.when(gone, -F.col("_n")).otherwise(0)).over(whole)
+        v_open = F.sum(F.when(gone, -F.col("_v")).otherwise(0)).over(whole)
+    else:
+        first = opening.select(
+            key, bucket, F.lit(-1).cast("bigint").alias("_t"), F.lit(-1).alias("_leaves"), "_n", "_v"
+        )
+        moves = moves.unionByName(first)
+        n_open = v_open = F.lit(0)
+    return (
+        moves.withColumns(
+            {
+                "n_ventana": F.sum("_n").over(so_far) + n_open,
+                "suma_ventana": F.sum("_v").over(so_far) + v_open,
+            }
+        )
+        .filter(F.col("_leaves") == 0)
+        .drop("_leaves")
+    )
+
+
 def trailing_totals(
-    tx: DataFrame, key: str, ts: str, value: str, seconds: int = 3600
+    tx: DataFrame, key: str, ts: str, value: str, seconds: int = 3600, subsecond: bool = False
 ) -> DataFrame:
     """Per key and instant: rows and sum of ``value`` over [ts - seconds, ts].
 
     Returns ``key, ts, n_tx`` (rows at that instant), ``n_ventana`` and
     ``suma_ventana``; both ends of the window count.
 
-    Each instant enters the bucket it lies in and leaves again, with negative
-    sign, in the next one. A running sum over a bucket plus the total of the
-    bucket before it is then the trailing total: one linear pass, where a sliding
-    RANGE frame would go over the frame again for each row. For timestamps of
-    whole seconds a group has at most ``2 * seconds`` rows.
+    Timestamps of whole seconds are swept in buckets as wide as the window: a group
+    has at most ``2 * seconds`` rows. With ``subsecond`` whole seconds are summed
+    first in just that way and instants only inside their second, so a group has
+    at most two million rows (two seconds of microseconds), however hot the key.
     """
-    width = seconds * _SECOND
     instants = (
         tx.filter(F.col(key).isNotNull() & F.col(ts).isNotNull())
         .groupBy(key, ts)
-        .agg(F.count(F.lit(1)).alias("_n"), F.sum(value).alias("_v"))
-        .withColumn("_v", F.coalesce("_v", F.lit(0)))
+        .agg(F.count(F.lit(1)).alias("_n"), F.coalesce(F.sum(value), F.lit(0)).alias("_v"))
         .withColumn("_t", micros(ts))
-        .withColumn("_b", F.floor(F.col("_t") / F.lit(width)).cast("bigint"))
+        .withColumn("_s", F.floor(F.col("_t") / F.lit(_SECOND)).cast("bigint"))
     )
-    entering = F.struct(
-        F.col("_b").alias("b"), F.col("_t").alias("t"), F.lit(0).alias("leaves"),
-        F.col("_n").alias("n"), F.col("_v").alias("v"),
+    if subsecond:
+        per_second = instants.groupBy(key, "_s").agg(F.sum("_n").alias("_n"), F.sum("_v").alias("_v"))
+    else:
+        per_second = instants
+    hours = per_second.select(
+        key, F.floor(F.col("_s") / F.lit(seconds)).cast("bigint").alias("_h"),
+        F.col("_s").alias("_t"), "_n", "_v",
     )
-    leaving = F.struct(
-        (F.col("_b") + 1).alias("b"), (F.col("_t") + F.lit(width)).alias("t"),
-        F.lit(1).alias("leaves"), (-F.col("_n")).alias("n"), (-F.col("_v")).alias("v"),
-    )
-    steps = instants.select(key, ts, F.explode(F.array(entering, leaving)).alias("_s")).select(
-        key, ts, "_s.*"
-    )
-    bucket = Window.partitionBy(key, "b")
-    so_far = bucket.orderBy("t", "leaves").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    gone = F.col("leaves") == 1
-    return (
-        steps.withColumn("n_run", F.sum("n").over(so_far))
-        .withColumn("v_run", F.sum("v").over(so_far))
-        .withColumn("n_before", F.sum(F.when(gone, -F.col("n")).otherwise(0)).over(bucket))
-        .withColumn("v_before", F.sum(F.when(gone, -F.col("v")).otherwise(0)).over(bucket))
-        .filter(~gone)
-        .select(
-            key,
-            ts,
-            F.col("n").alias("n_tx"),
-            (F.col("n_before") + F.col("n_run")).alias("n_ventana"),
-            (F.col("v_before") + F.col("v_run")).alias("suma_ventana"),
+    swept = _sweep(hours, key, "_h", seconds, 1)
+    if subsecond:
+        before = swept.select(
+            key, F.col("_t").alias("_s"),
+            (F.col("n_ventana") - F.col("_n")).alias("_n"),
+            (F.col("suma_ventana") - F.col("_v")).alias("_v"),
+        )
+        swept = _sweep(
+            instants.select(key, "_s", "_t", "_n", "_v"), key, "_s", seconds * _SECOND, seconds, before
         )
+        instant = F.timestamp_micros("_t")
+    else:
+        instant = F.timestamp_seconds("_t")
+    return swept.select(
+        key,
+        instant.cast(tx.schema[ts].dataType).alias(ts),
+        F.col("_n").alias("n_tx"),
+        "n_ventana",
+        "suma_ventana",
     )
 
 
@@ -94,6 +142,5 @@ def with_previous(
     )
     in_bucket = Window.partitionBy(key, bucket).orderBy(*order)
     rows = points.withColumn("_carried", F.lit(False)).unionByName(carried)
-    for column in carry:
-        rows = rows.withColumn(f"{column}_previo", F.lag(column).over(in_bucket))
+    rows = rows.withColumns({f"{column}_previo": F.lag(column).over(in_bucket) for column in carry})
     return rows.filter(~F.col("_carried")).drop("_carried")

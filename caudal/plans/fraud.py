@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caudal.operators.joins import salted_lookup
@@ -43,16 +43,23 @@ def unusual_amounts(tx: DataFrame, threshold: float = 3.0) -> DataFrame:
     )
 
 
-def bursts(tx: DataFrame, seconds: int = 3600, at_least: int = 2) -> DataFrame:
-    """Instants with at least two transactions in the trailing hour, and their sum."""
-    return trailing_totals(tx, "cliente_id", "timestamp_tx", "monto", seconds).filter(
+def bursts(
+    tx: DataFrame, seconds: int = 3600, at_least: int = 2, subsecond: bool = False
+) -> DataFrame:
+    """Instants with at least two transactions in the trailing hour, and their sum.
+
+    Pass ``subsecond`` where timestamps are finer than whole seconds.
+    """
+    return trailing_totals(tx, "cliente_id", "timestamp_tx", "monto", seconds, subsecond).filter(
         F.col("n_ventana") >= at_least
     )
 
 
-def fast_sequences(tx: DataFrame, seconds: int = 3600, at_least: int = 3) -> DataFrame:
+def fast_sequences(
+    tx: DataFrame, seconds: int = 3600, at_least: int = 3, subsecond: bool = False
+) -> DataFrame:
     """Instants whose trailing hour holds at least ``at_least`` transactions."""
-    return bursts(tx, seconds, at_least).drop("suma_ventana")
+    return bursts(tx, seconds, at_least, subsecond).drop("suma_ventana")
 
 
 def foreign_share(tx: DataFrame, owners: DataFrame) -> DataFrame:
@@ -94,22 +101,39 @@ def impossible_travel(tx: DataFrame, within_seconds: int = _DAY) -> DataFrame:
     )
 
 
-def _rate(flagged: DataFrame, total: DataFrame, name: str) -> DataFrame:
-    """Flagged over own transactions per client; both sides hold one row per client."""
-    return total.join(flagged, "cliente_id", "left").select(
-        "cliente_id", (F.coalesce("_f", F.lit(0)) / F.col("_n")).alias(name)
-    )
-
-
 def amount_rate(tx: DataFrame, threshold: float = 3.0) -> DataFrame:
-    total = tx.groupBy("cliente_id").agg(F.count(F.lit(1)).alias("_n"))
-    flagged = unusual_amounts(tx.select("transaccion_id", "cliente_id", "monto"), threshold)
-    return _rate(flagged.groupBy("cliente_id").agg(F.count(F.lit(1)).alias("_f")), total, "tasa_monto")
+    """Share of a client's transactions that ``unusual_amounts`` would flag.
+
+    Works on distinct amounts per client with their counts. Money has two decimals
+    and a bounded range (the ``range`` rule), so even the hottest client has a few
+    million of them at most and a window over the client is safe; a single
+    distinct amount has no deviation.
+    """
+    amount = F.col("monto").cast("double")
+    client = Window.partitionBy("cliente_id")
+    counted = tx.groupBy("cliente_id", "monto").agg(F.count(F.lit(1)).alias("_n"))
+    total, s1 = F.col("_total"), F.col("_s1")
+    deviation = F.sqrt((F.col("_s2") - s1 * s1 / total) / (total - 1))
+    unusual = (F.col("_distintos") > 1) & (amount - s1 / total > F.lit(threshold) * deviation)
+    return (
+        counted.withColumns(
+            {
+                "_total": F.sum("_n").over(client),
+                "_s1": F.sum(F.col("_n") * amount).over(client),
+                "_s2": F.sum(F.col("_n") * amount * amount).over(client),
+                "_distintos": F.count(F.lit(1)).over(client),
+            }
+        )
+        .groupBy("cliente_id")
+        .agg((F.sum(F.when(unusual, F.col("_n")).otherwise(0)) / F.sum("_n")).alias("tasa_monto"))
+    )
 
 
-def velocity_rate(tx: DataFrame, seconds: int = 3600, at_least: int = 3) -> DataFrame:
+def velocity_rate(
+    tx: DataFrame, seconds: int = 3600, at_least: int = 3, subsecond: bool = False
+) -> DataFrame:
     """Flagged and own transactions come out of the same window result: no join back."""
-    totals = trailing_totals(tx, "cliente_id", "timestamp_tx", "monto", seconds)
+    totals = trailing_totals(tx, "cliente_id", "timestamp_tx", "monto", seconds, subsecond)
     fast = F.when(F.col("n_ventana") >= at_least, F.col("n_tx")).otherwise(0)
     return totals.groupBy("cliente_id").agg(
         (F.sum(fast) / F.sum("n_tx")).alias("tasa_frecuencia")

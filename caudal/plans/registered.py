@@ -313,8 +313,7 @@ def weighted_choice_query(spark: SparkSession, sf: str) -> DataFrame:
 
 def sample_n(spark: SparkSession, sf: str) -> DataFrame:
     orders = stand_ins.table(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    n = orders.agg(F.floor(F.count(F.lit(1)) * F.lit(domain.PROPORCION_DUPLICADOS))).scalar()
-    return sampling.sample_n(orders, "o_orderkey", "muestra", n)
+    return sampling.sample_exact_share(orders, "o_orderkey", "muestra", domain.PROPORCION_DUPLICADOS)
 
 
 def null_inject(spark: SparkSession, sf: str) -> DataFrame:
@@ -341,9 +340,8 @@ def fan_out(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def foreign_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    countries = stand_ins.countries(spark, sf)
     # One array of country names: the table is a seed.
-    names = countries.agg(F.array_sort(F.collect_set("pais"))).scalar()
+    names = stand_ins.table(spark, sf, "nation").agg(F.array_sort(F.collect_set("n_name"))).scalar()
     place = sampling.home_or_foreign(
         "cliente_id", "lugar", F.col("pais"), F.col("_paises"), domain.PROPORCION_PAIS_PROPIO
     )
@@ -386,11 +384,11 @@ def fraud_amount(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fraud_burst(spark: SparkSession, sf: str) -> DataFrame:
-    return _plain(fraud.bursts(stand_ins.event_tx(spark, sf)))
+    return _plain(fraud.bursts(stand_ins.event_tx(spark, sf), subsecond=True))
 
 
 def fraud_velocity(spark: SparkSession, sf: str) -> DataFrame:
-    return fraud.fast_sequences(stand_ins.event_tx(spark, sf))
+    return fraud.fast_sequences(stand_ins.event_tx(spark, sf), subsecond=True)
 
 
 def fraud_geo(spark: SparkSession, sf: str) -> DataFrame:
@@ -411,7 +409,7 @@ def fraud_score(spark: SparkSession, sf: str) -> DataFrame:
         clientes,
         fraud.amount_rate(owned, AMOUNT_THRESHOLD),
         fraud.foreign_share(stand_ins.lineitem_tx_abroad(spark, sf), owners),
-        fraud.velocity_rate(stand_ins.event_tx(spark, sf)),
+        fraud.velocity_rate(stand_ins.event_tx(spark, sf), subsecond=True),
     )
 
 

@@ -7,7 +7,7 @@ Money becomes DECIMAL(18,2): sums are exact in any order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caudal import domain
@@ -16,23 +16,49 @@ from caudal.functions.values import by_value
 from caudal.schemas import MONEY
 
 
+SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, "
+    "l_quantity double, l_extendedprice double, l_discount double, l_tax double, "
+    "l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, "
+    "props string",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A test table with its declared schema (no job to look at file footers)."""
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
-def money(column: str):
+def money(column: str) -> Column:
     return F.col(column).cast(MONEY)
 
 
-def countries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "nation").select("n_nationkey", F.col("n_name").alias("pais"))
+def country_of(spark: SparkSession, sf_dir: str, nation_key: str) -> Column:
+    """Country name of a nation key, looked up in one map of the seed table.
+
+    The world's nations are a fixed, short list. As a column the lookup adds no
+    join, so the size of clients and suppliers stays known to the planner.
+    """
+    names = (
+        table(spark, sf_dir, "nation")
+        .agg(F.map_from_entries(F.collect_list(F.struct("n_nationkey", "n_name"))))
+        .scalar()
+    )
+    return F.element_at(names, F.col(nation_key))
 
 
 def clientes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    customer = table(spark, sf_dir, "customer")
-    nation = countries(spark, sf_dir)
-    return customer.join(nation, customer.c_nationkey == nation.n_nationkey).select(
-        F.col("c_custkey").alias("cliente_id"), "pais", F.col("c_mktsegment").alias("segmento")
+    return table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").alias("cliente_id"),
+        country_of(spark, sf_dir, "c_nationkey").alias("pais"),
+        F.col("c_mktsegment").alias("segmento"),
     )
 
 
@@ -67,10 +93,9 @@ def lineitem_tx(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def lineitem_tx_abroad(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transactions with the supplier's country as the place of the transaction."""
-    supplier = table(spark, sf_dir, "supplier")
-    nation = countries(spark, sf_dir)
-    place = supplier.join(nation, supplier.s_nationkey == nation.n_nationkey).select(
-        F.col("s_suppkey").alias("_proveedor"), F.col("pais").alias("pais_tx")
+    place = table(spark, sf_dir, "supplier").select(
+        F.col("s_suppkey").alias("_proveedor"),
+        country_of(spark, sf_dir, "s_nationkey").alias("pais_tx"),
     )
     return lineitem_tx(spark, sf_dir).join(place, "_proveedor").drop("_proveedor")
 
