@@ -78,22 +78,30 @@ def retention_by_volume(tx: DataFrame) -> DataFrame:
     equal amount share a band. The month after is found with ``lead`` over a
     client's own months. The last month has no successor and is dropped.
     """
-    monthly = tx.groupBy("cliente_id", month_of("timestamp_tx").alias("mes")).agg(
-        F.sum("monto").alias("monto")
+    month = month_of("timestamp_tx")
+    # The filter the joins on month would add anyway: with it all three uses of the
+    # monthly sums are the same plan, and Spark shuffles them once.
+    monthly = (
+        tx.filter(month.isNotNull())
+        .groupBy("cliente_id", month.alias("mes"))
+        .agg(F.sum("monto").alias("monto"))
     )
     cuts = exact_quantiles(monthly, "mes", "monto", QUARTILES)
     following = F.lead("mes").over(Window.partitionBy("cliente_id").orderBy("mes"))
-    last_month = tx.agg(F.max(month_of("timestamp_tx"))).scalar()
+    last_month = tx.agg(F.max(month)).scalar()
     return (
         monthly.withColumn("_sigue", F.coalesce(following == F.add_months("mes", 1), F.lit(False)))
-        .filter(F.col("mes") < last_month)
         # One row per calendar month.
         .join(F.broadcast(cuts), "mes")
         .groupBy("mes", band(F.col("monto"), F.col("cuts")).alias("banda"))
         .agg(
             F.count(F.lit(1)).alias("n_clientes"),
             F.sum(F.col("_sigue").cast("bigint")).alias("n_retenidos"),
+            F.max("mes").alias("_mes"),
         )
+        # On an aggregate, so that it is not pushed into just one of the three uses.
+        .filter(F.col("_mes") < last_month)
+        .drop("_mes")
         .withColumn("tasa", F.round(F.col("n_retenidos") / F.col("n_clientes"), 4))
     )
 

@@ -90,41 +90,50 @@ def enrich(tx: DataFrame, cuentas: DataFrame, clientes: DataFrame) -> DataFrame:
 
 # --- rules per table --------------------------------------------------------
 
+def _required(table: str) -> dict:
+    return {f"not_null:{table}.{c}": quality.is_missing(c) for c in schemas.REQUIRED[table]}
+
+
 def client_rules() -> dict:
     prefix, digits = domain.FORMATO_CLIENTE
     return {
-        **{f"not_null:{c}": quality.is_missing(c) for c in schemas.REQUIRED["clientes"]},
-        "key_pattern:cliente_id": quality.bad_key("cliente_id", prefix, digits),
-        "accepted:pais": quality.not_in("pais", list(domain.PAISES)),
-        "accepted:segmento": quality.not_in("segmento", list(domain.SEGMENTOS)),
+        **_required("clientes"),
+        "key_pattern:clientes.cliente_id": quality.bad_key("cliente_id", prefix, digits),
+        "accepted:clientes.pais": quality.not_in("pais", list(domain.PAISES)),
+        "accepted:clientes.segmento": quality.not_in("segmento", list(domain.SEGMENTOS)),
     }
 
 
 def account_rules() -> dict:
     prefix, digits = domain.FORMATO_CUENTA
     return {
-        **{f"not_null:{c}": quality.is_missing(c) for c in schemas.REQUIRED["cuentas"]},
-        "key_pattern:cuenta_id": quality.bad_key("cuenta_id", prefix, digits),
-        "accepted:tipo_cuenta": quality.not_in("tipo_cuenta", list(domain.TIPOS_CUENTA)),
-        "accepted:moneda": quality.not_in("moneda", list(domain.MONEDAS)),
-        "accepted:estado": quality.not_in("estado", list(domain.ESTADOS)),
+        **_required("cuentas"),
+        "key_pattern:cuentas.cuenta_id": quality.bad_key("cuenta_id", prefix, digits),
+        "accepted:cuentas.tipo_cuenta": quality.not_in("tipo_cuenta", list(domain.TIPOS_CUENTA)),
+        "accepted:cuentas.moneda": quality.not_in("moneda", list(domain.MONEDAS)),
+        "accepted:cuentas.estado": quality.not_in("estado", list(domain.ESTADOS)),
     }
 
 
 def transaction_rules() -> dict:
     prefix, digits = domain.FORMATO_TRANSACCION
     return {
-        **{f"not_null:{c}": quality.is_missing(c) for c in schemas.REQUIRED["transacciones"]},
-        "not_null:monto": quality.is_missing("monto"),
-        "key_pattern:transaccion_id": quality.bad_key("transaccion_id", prefix, digits),
-        "accepted:tipo_tx": quality.not_in("tipo_tx", list(domain.TIPOS_TX)),
-        "accepted:canal": quality.not_in("canal", list(domain.CANALES)),
-        "accepted:pais_tx": quality.not_in("pais_tx", list(domain.PAISES)),
-        "accepted:categoria_comercio": quality.not_in("categoria_comercio", list(domain.COMERCIOS)),
-        "range:monto": quality.outside_range("monto", "tipo_tx", domain.RANGOS_MONTO),
-        "conditional_null:comercio": quality.presence_breaks_rule(
+        **_required("transacciones"),
+        "not_null:transacciones.monto": quality.is_missing("monto"),
+        "key_pattern:transacciones.transaccion_id": quality.bad_key("transaccion_id", prefix, digits),
+        "accepted:transacciones.tipo_tx": quality.not_in("tipo_tx", list(domain.TIPOS_TX)),
+        "accepted:transacciones.canal": quality.not_in("canal", list(domain.CANALES)),
+        "accepted:transacciones.pais_tx": quality.not_in("pais_tx", list(domain.PAISES)),
+        "accepted:transacciones.categoria_comercio": quality.not_in(
+            "categoria_comercio", list(domain.COMERCIOS)
+        ),
+        "range:transacciones.monto": quality.outside_range("monto", "tipo_tx", domain.RANGOS_MONTO),
+        "conditional_null:transacciones.comercio": quality.presence_breaks_rule(
             "comercio", "tipo_tx", domain.TIPOS_CON_COMERCIO
         ),
+        "conditional_null:transacciones.categoria_comercio": quality.presence_breaks_rule(
+            "categoria_comercio", "tipo_tx", domain.TIPOS_CON_COMERCIO
+        ),
     }
 
 
@@ -165,19 +174,19 @@ def quality_report(
         quality.count_failures(clientes, client_rules()),
         quality.count_failures(cuentas, account_rules()),
         quality.count_failures(tx, transaction_rules()),
-        quality.count_repeated(clientes, ["cliente_id"], "unique:cliente_id"),
-        quality.count_repeated(cuentas, ["cuenta_id"], "unique:cuenta_id"),
-        quality.count_repeated(tx, ["transaccion_id"], "unique:transaccion_id"),
+        quality.count_repeated(clientes, ["cliente_id"], "unique:clientes.cliente_id"),
+        quality.count_repeated(cuentas, ["cuenta_id"], "unique:cuentas.cuenta_id"),
+        quality.count_repeated(tx, ["transaccion_id"], "unique:transacciones.transaccion_id"),
         quality.count_orphans(cuentas, "cliente_id", clientes, "relationship:cuentas.cliente_id"),
         quality.count_orphans(tx, "cuenta_id", cuentas, "relationship:transacciones.cuenta_id"),
-        quality.count_pairs_outside(clientes, ["pais", "ciudad"], ciudades, "pair:pais_ciudad"),
-        quality.count_pairs_outside(tx, ["pais_tx", "ciudad_tx"], tx_cities, "pair:pais_tx_ciudad_tx"),
+        quality.count_pairs_outside(clientes, ["pais", "ciudad"], ciudades, "pair:clientes.pais_ciudad"),
+        quality.count_pairs_outside(tx, ["pais_tx", "ciudad_tx"], tx_cities, "pair:transacciones.pais_ciudad"),
         quality.count_pairs_outside(
-            tx, ["categoria_comercio", "comercio"], comercios, "pair:categoria_comercio"
+            tx, ["categoria_comercio", "comercio"], comercios, "pair:transacciones.categoria_comercio"
         ),
-        before_opening(tx, cuentas, "temporal:tx_antes_de_apertura"),
-        opened_before_registration(cuentas, clientes, "temporal:apertura_antes_de_registro"),
-        on_inactive_account(tx, cuentas, "inactive_account_tx"),
+        before_opening(tx, cuentas, "temporal:transacciones.antes_de_apertura"),
+        opened_before_registration(cuentas, clientes, "temporal:cuentas.antes_de_registro"),
+        on_inactive_account(tx, cuentas, "inactive_account:transacciones"),
     ]
     report = parts[0]
     for part in parts[1:]:
