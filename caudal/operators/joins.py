@@ -48,8 +48,9 @@ def salted_lookup(
     how: str = "inner",
     share: float = HOT_SHARE,
     splits: int | None = None,
+    also: Sequence[str] = (),
 ) -> DataFrame:
-    """Join many rows to one lookup row per key, splitting the hot keys.
+    """Join many rows to one lookup row per key (and ``also``), splitting the hot keys.
 
     Rows of a hot key are spread over ``splits`` salts by a hash of ``spread``
     (the row's id: the salt of a row is the same on every attempt); the lookup
@@ -73,7 +74,7 @@ def salted_lookup(
             F.when(is_hot, F.sequence(F.lit(0), F.lit(splits - 1))).otherwise(F.array(F.lit(0)))
         ),
     )
-    return left.drop("_hot").join(right.drop("_hot"), [key, "_salt"], how).drop("_salt")
+    return left.drop("_hot").join(right.drop("_hot"), [key, *also, "_salt"], how).drop("_salt")
 
 
 def orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str | None = None) -> DataFrame:

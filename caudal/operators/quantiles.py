@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 QUARTILES = (0.25, 0.5, 0.75)
@@ -18,7 +18,7 @@ QUARTILES = (0.25, 0.5, 0.75)
 
 def exact_quantiles(
     df: DataFrame,
-    by: str,
+    by: Sequence[str],
     value: str,
     probs: Sequence[float] = QUARTILES,
     accuracy: int = 1000,
@@ -27,17 +27,17 @@ def exact_quantiles(
     """One row per ``by`` with ``cuts``: the linearly interpolated quantiles.
 
     ``by`` must be a domain that does not grow with the rows (calendar months,
-    metric names): its brackets are broadcast. A group of at most ``small`` rows
+    currencies, metric names): its brackets are broadcast. A group of at most ``small`` rows
     is ranked whole; in a larger one the sketch is off by 1/accuracy of the rows
     at most, the bracket takes three times that on either side, and equal values
     are counted before they are ranked. If a bracket ever missed its quantile the
     query would fail rather than return a wrong cut.
     """
-    values = df.select(by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
+    values = df.select(*by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     slack = 3.0 / accuracy
     lows = [max(p - slack, 0.0) for p in probs]
     highs = [min(p + slack, 1.0) for p in probs]
-    sketch = values.groupBy(by).agg(
+    sketch = values.groupBy(*by).agg(
         F.count(F.lit(1)).alias("_n"),
         F.min("_v").alias("_min"),
         F.max("_v").alias("_max"),
@@ -45,7 +45,7 @@ def exact_quantiles(
     )
     whole = F.col("_n") <= F.lit(small)
     brackets = sketch.select(
-        by,
+        *by,
         F.explode(
             F.array(
                 *[
@@ -59,26 +59,26 @@ def exact_quantiles(
                 ]
             )
         ).alias("_b"),
-    ).select(by, "_b.*")
+    ).select(*by, "_b.*")
     # Everything below a bracket becomes one counted row per map task; above is dropped.
     counted = (
-        values.join(F.broadcast(brackets), by)
+        values.join(F.broadcast(brackets), list(by))
         .filter(F.col("_v") <= F.col("hi"))
-        .groupBy(by, "i", "pos", F.when(F.col("_v") >= F.col("lo"), F.col("_v")).alias("_c"))
+        .groupBy(*by, "i", "pos", F.when(F.col("_v") >= F.col("lo"), F.col("_v")).alias("_c"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    ranked = Window.partitionBy(by, "i").orderBy(F.col("_c").asc_nulls_first())
+    ranked = Window.partitionBy(*by, "i").orderBy(F.col("_c").asc_nulls_first())
     upto = counted.withColumn(
         "_upto", F.sum("_n").over(ranked.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     )
 
-    def value_at(rank):
+    def value_at(rank: Column) -> Column:
         return F.min(F.when(F.col("_upto") > rank, F.coalesce("_c", F.lit(float("-inf")))))
 
     low = value_at(F.floor("pos"))
     high = value_at(F.ceil("pos"))
     cuts = (
-        upto.groupBy(by, "i", "pos")
+        upto.groupBy(*by, "i", "pos")
         .agg(low.alias("lo"), high.alias("hi"))
         .withColumn(
             "cut",
@@ -88,14 +88,14 @@ def exact_quantiles(
             ).otherwise(F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("pos") - F.floor("pos"))),
         )
     )
-    return cuts.groupBy(by).agg(
+    return cuts.groupBy(*by).agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("i", "cut"))), lambda pair: pair["cut"]
         ).alias("cuts")
     )
 
 
-def band(value, cuts):
+def band(value: Column, cuts: Column) -> Column:
     """1 + how many cuts lie below the value: equal values share a band."""
     v = value.cast("double")
     return F.lit(1) + F.size(F.filter(cuts, lambda cut: cut < v))

@@ -18,13 +18,18 @@ _SECOND = 1_000_000
 
 
 def _sweep(
-    points: DataFrame, key: str, bucket: str, width: int, steps: int, opening: DataFrame | None = None
+    points: DataFrame,
+    keys: Sequence[str],
+    bucket: str,
+    width: int,
+    steps: int,
+    opening: DataFrame | None = None,
 ) -> DataFrame:
-    """Running totals of ``points`` (key, bucket, _t, _n, _v) inside their buckets.
+    """Running totals of ``points`` (keys, bucket, _t, _n, _v) inside their buckets.
 
     Every point enters at its time and leaves ``width`` later, which lies ``steps``
     buckets on; leaving counts after a point that enters at the same time, so both
-    ends of the window count. ``opening`` (key, bucket, _n, _v) holds what is in
+    ends of the window count. ``opening`` (keys, bucket, _n, _v) holds what is in
     the window when a bucket starts; without it that is whatever leaves during
     the bucket, which is right if one bucket is as wide as the window.
     One linear pass: a sliding RANGE frame would add up the frame for every row.
@@ -39,10 +44,10 @@ def _sweep(
             (sign * F.col("_v")).alias("_v"),
         )
 
-    moves = points.select(key, F.explode(F.array(step(0, 0), step(steps, 1))).alias("_m")).select(
-        key, "_m.*"
+    moves = points.select(*keys, F.explode(F.array(step(0, 0), step(steps, 1))).alias("_m")).select(
+        *keys, "_m.*"
     )
-    whole = Window.partitionBy(key, bucket)
+    whole = Window.partitionBy(*keys, bucket)
     so_far = whole.orderBy("_t", "_leaves").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
@@ -52,7 +57,7 @@ def _sweep(
         v_open = F.sum(F.when(gone, -F.col("_v")).otherwise(0)).over(whole)
     else:
         first = opening.select(
-            key, bucket, F.lit(-1).cast("bigint").alias("_t"), F.lit(-1).alias("_leaves"), "_n", "_v"
+            *keys, bucket, F.lit(-1).cast("bigint").alias("_t"), F.lit(-1).alias("_leaves"), "_n", "_v"
         )
         moves = moves.unionByName(first)
         n_open = v_open = F.lit(0)
@@ -69,11 +74,16 @@ def _sweep(
 
 
 def trailing_totals(
-    tx: DataFrame, key: str, ts: str, value: str, seconds: int = 3600, subsecond: bool = False
+    tx: DataFrame,
+    keys: Sequence[str],
+    ts: str,
+    value: str,
+    seconds: int = 3600,
+    subsecond: bool = False,
 ) -> DataFrame:
     """Per key and instant: rows and sum of ``value`` over [ts - seconds, ts].
 
-    Returns ``key, ts, n_tx`` (rows at that instant), ``n_ventana`` and
+    Returns ``keys, ts, n_tx`` (rows at that instant), ``n_ventana`` and
     ``suma_ventana``; both ends of the window count.
 
     Timestamps of whole seconds are swept in buckets as wide as the window: a group
@@ -82,35 +92,35 @@ def trailing_totals(
     at most two million rows (two seconds of microseconds), however hot the key.
     """
     instants = (
-        tx.filter(F.col(key).isNotNull() & F.col(ts).isNotNull())
-        .groupBy(key, ts)
+        tx.dropna(subset=[*keys, ts])
+        .groupBy(*keys, ts)
         .agg(F.count(F.lit(1)).alias("_n"), F.coalesce(F.sum(value), F.lit(0)).alias("_v"))
         .withColumn("_t", micros(ts))
         .withColumn("_s", F.floor(F.col("_t") / F.lit(_SECOND)).cast("bigint"))
     )
     if subsecond:
-        per_second = instants.groupBy(key, "_s").agg(F.sum("_n").alias("_n"), F.sum("_v").alias("_v"))
+        per_second = instants.groupBy(*keys, "_s").agg(F.sum("_n").alias("_n"), F.sum("_v").alias("_v"))
     else:
         per_second = instants
     hours = per_second.select(
-        key, F.floor(F.col("_s") / F.lit(seconds)).cast("bigint").alias("_h"),
+        *keys, F.floor(F.col("_s") / F.lit(seconds)).cast("bigint").alias("_h"),
         F.col("_s").alias("_t"), "_n", "_v",
     )
-    swept = _sweep(hours, key, "_h", seconds, 1)
+    swept = _sweep(hours, keys, "_h", seconds, 1)
     if subsecond:
         before = swept.select(
-            key, F.col("_t").alias("_s"),
+            *keys, F.col("_t").alias("_s"),
             (F.col("n_ventana") - F.col("_n")).alias("_n"),
             (F.col("suma_ventana") - F.col("_v")).alias("_v"),
         )
         swept = _sweep(
-            instants.select(key, "_s", "_t", "_n", "_v"), key, "_s", seconds * _SECOND, seconds, before
+            instants.select(*keys, "_s", "_t", "_n", "_v"), keys, "_s", seconds * _SECOND, seconds, before
         )
         instant = F.timestamp_micros("_t")
     else:
         instant = F.timestamp_seconds("_t")
     return swept.select(
-        key,
+        *keys,
         instant.cast(tx.schema[ts].dataType).alias(ts),
         F.col("_n").alias("n_tx"),
         "n_ventana",

@@ -51,52 +51,59 @@ def daily_by_client(
     )
 
 
+def summarise_days(by_client: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+    """Per day, country and segment, from rows per client and day.
+
+    A client has one row per day (and ``extra``), so counting rows counts distinct
+    clients and no distinct aggregate is needed.
+    """
+    return by_client.groupBy("fecha", "pais", "segmento", *extra).agg(
+        F.sum("n_tx").alias("n_tx"),
+        F.count(F.lit(1)).alias("n_clientes"),
+        F.sum("monto_total").alias("monto_total"),
+    )
+
+
 def daily(tx: DataFrame, clientes: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     """Per day, country and segment: transactions, distinct clients, amount.
 
-    A client has one row per day (and ``extra``) by then, so counting rows counts
-    distinct clients and no distinct aggregate is needed. Pass ``("moneda",)``
-    where amounts have a currency: currencies are never added up.
+    Pass ``("moneda",)`` where amounts have a currency: currencies are never added up.
     """
-    return (
-        daily_by_client(tx, clientes, extra)
-        .groupBy("fecha", "pais", "segmento", *extra)
-        .agg(
-            F.sum("n_tx").alias("n_tx"),
-            F.count(F.lit(1)).alias("n_clientes"),
-            F.sum("monto_total").alias("monto_total"),
-        )
-    )
+    return summarise_days(daily_by_client(tx, clientes, extra), extra)
 
 
 # --- retention --------------------------------------------------------------
 
-def retention_by_volume(tx: DataFrame) -> DataFrame:
+def retention_by_volume(tx: DataFrame, currency: str | None = None) -> DataFrame:
     """Per month and volume band: active clients and those active again next month.
 
-    Bands 1-4 are cut at the quartiles of the clients' monthly amounts; clients of
-    equal amount share a band. The month after is found with ``lead`` over a
-    client's own months. The last month has no successor and is dropped.
+    Bands 1-4 are cut at the quartiles of the clients' monthly amounts, within each
+    currency where one is named; clients of equal amount share a band. A client is
+    active again whatever the currency. The last month has no successor and is
+    dropped.
     """
+    money = [currency] if currency else []
     month = month_of("timestamp_tx")
     # The filter the joins on month would add anyway: with it all three uses of the
     # monthly sums are the same plan, and Spark shuffles them once.
     monthly = (
         tx.filter(month.isNotNull())
-        .groupBy("cliente_id", month.alias("mes"))
+        .groupBy("cliente_id", month.alias("mes"), *money)
         .agg(F.sum("monto").alias("monto"))
     )
-    cuts = exact_quantiles(monthly, "mes", "monto", QUARTILES)
-    following = F.lead("mes").over(Window.partitionBy("cliente_id").orderBy("mes"))
+    cuts = exact_quantiles(monthly, ["mes", *money], "monto", QUARTILES)
+    # A client has a row per month and currency: the calendar bounds this window.
+    number = F.year("mes") * 12 + F.month("mes")
+    following = Window.partitionBy("cliente_id").orderBy(number).rangeBetween(1, 1)
     last_month = tx.agg(F.max(month)).scalar()
     return (
-        monthly.withColumn("_sigue", F.coalesce(following == F.add_months("mes", 1), F.lit(False)))
-        # One row per calendar month.
-        .join(F.broadcast(cuts), "mes")
-        .groupBy("mes", band(F.col("monto"), F.col("cuts")).alias("banda"))
+        monthly.withColumn("_sigue", (F.count(F.lit(1)).over(following) > 0).cast("bigint"))
+        # One row per calendar month and currency.
+        .join(F.broadcast(cuts), ["mes", *money])
+        .groupBy("mes", *money, band(F.col("monto"), F.col("cuts")).alias("banda"))
         .agg(
             F.count(F.lit(1)).alias("n_clientes"),
-            F.sum(F.col("_sigue").cast("bigint")).alias("n_retenidos"),
+            F.sum("_sigue").alias("n_retenidos"),
             F.max("mes").alias("_mes"),
         )
         # On an aggregate, so that it is not pushed into just one of the three uses.
@@ -150,49 +157,82 @@ def churn(tx: DataFrame, days: int = 90, as_of: AsOf = None) -> DataFrame:
 
 # --- segmentation -----------------------------------------------------------
 
-def client_values(tx: DataFrame, as_of: AsOf = None) -> DataFrame:
-    """Recency in days, number of transactions and total amount per client."""
-    idle = F.datediff(F.to_date(cut_off(tx, as_of)), F.to_date(F.max("timestamp_tx")))
-    return (
+def client_values(tx: DataFrame, as_of: AsOf = None, currency: str | None = None) -> DataFrame:
+    """Per client: recency in days, number of transactions, total amount per currency."""
+    idle = F.datediff(F.to_date(cut_off(tx, as_of)), F.to_date(F.col("_ultimo"))).cast("bigint")
+    moneda = F.col(currency) if currency else F.lit("")
+    totals = (
         until(tx, as_of)
-        .groupBy("cliente_id")
+        .groupBy("cliente_id", *([currency] if currency else []))
         .agg(
-            idle.cast("bigint").alias("recencia"),
+            F.max("timestamp_tx").alias("_ultimo"),
             F.count(F.lit(1)).alias("frecuencia"),
             F.sum("monto").alias("monto"),
         )
+        .withColumn("_m", F.struct(moneda.alias("moneda"), "monto"))
     )
+    if currency:
+        # At most one element per currency.
+        totals = totals.groupBy("cliente_id").agg(
+            F.max("_ultimo").alias("_ultimo"),
+            F.sum("frecuencia").alias("frecuencia"),
+            F.array_sort(F.collect_list("_m")).alias("montos"),
+        )
+    else:
+        totals = totals.withColumn("montos", F.array("_m"))
+    return totals.select("cliente_id", idle.alias("recencia"), "frecuencia", "montos")
+
+
+def segmentation(tx: DataFrame, as_of: AsOf = None, currency: str | None = None) -> DataFrame:
+    """Recency, frequency and amount cut at their quartiles; 4 is the best band of each.
+
+    Amounts are ranked within their currency; a client with several currencies has
+    the best of these bands. ``montos`` lists the totals per currency; without a
+    currency there is just ``monto``.
+    """
+    values = client_values(tx, as_of, currency)
 
+    def metric(name: Column, value: Column) -> Column:
+        return F.struct(name.alias("metrica"), value.cast("double").alias("valor"))
+
+    def amount_metric(total: Column) -> Column:
+        return F.concat(F.lit("monto "), total["moneda"])
 
-def segmentation(tx: DataFrame, as_of: AsOf = None) -> DataFrame:
-    """Recency, frequency and amount cut at their quartiles; 4 is the best band of each."""
-    values = client_values(tx, as_of)
-    metrics = ("recencia", "frecuencia", "monto")
     long = values.select(
         F.explode(
-            F.array(
-                *[F.struct(F.lit(m).alias("metrica"), F.col(m).cast("double").alias("valor")) for m in metrics]
+            F.concat(
+                F.array(
+                    metric(F.lit("recencia"), F.col("recencia")),
+                    metric(F.lit("frecuencia"), F.col("frecuencia")),
+                ),
+                F.transform("montos", lambda total: metric(amount_metric(total), total["monto"])),
             )
         ).alias("_m")
     ).select("_m.*")
-    # Three rows, folded into one map.
+    # A row per metric (and currency), folded into one map.
     cuts = (
-        exact_quantiles(long, "metrica", "valor", QUARTILES)
+        exact_quantiles(long, ["metrica"], "valor", QUARTILES)
         .agg(F.map_from_entries(F.collect_list(F.struct("metrica", "cuts"))))
         .scalar()
     )
 
-    def cut(metric: str) -> Column:
-        return band(F.col(metric), F.col("_cortes")[metric])
-
-    return (
-        values.withColumn("_cortes", cuts)
-        .withColumn("r", F.lit(5) - cut("recencia"))
-        .withColumn("f", cut("frecuencia"))
-        .withColumn("m", cut("monto"))
-        .withColumn("segmento_rfm", F.col("r") * 100 + F.col("f") * 10 + F.col("m"))
-        .drop("_cortes")
+    def cut(name: str) -> Column:
+        return band(F.col(name), F.col("_cortes")[name])
+
+    banded = values.withColumn("_cortes", cuts).select(
+        "cliente_id",
+        "recencia",
+        "frecuencia",
+        "montos" if currency else F.col("montos")[0]["monto"].alias("monto"),
+        (F.lit(5) - cut("recencia")).alias("r"),
+        cut("frecuencia").alias("f"),
+        F.array_max(
+            F.transform(
+                "montos", lambda total: band(total["monto"], F.col("_cortes")[amount_metric(total)])
+            )
+        ).alias("m"),
     )
+    return banded.withColumn("segmento_rfm", F.col("r") * 100 + F.col("f") * 10 + F.col("m"))
 
 
 # --- finance ----------------------------------------------------------------
@@ -232,11 +272,7 @@ def client_features(
         .join(scored.select("cliente_id", "score"), "cliente_id", "left")
         .join(sleeping, "cliente_id", "left")
         .join(left.select("cliente_id", "churn"), "cliente_id", "left")
-        .join(
-            segments.select("cliente_id", "recencia", "frecuencia", "monto", "segmento_rfm"),
-            "cliente_id",
-            "left",
-        )
+        .join(segments.drop("r", "f", "m"), "cliente_id", "left")
         .withColumn("cuentas_dormidas", F.coalesce("_dormidas", F.lit(0)))
         .withColumn("score", F.coalesce("score", F.lit(0.0)))
         .drop("_dormidas")

@@ -22,7 +22,14 @@ class Weights:
     velocity: float = 0.3
 
 
-def unusual_amounts(tx: DataFrame, threshold: float = 3.0) -> DataFrame:
+def _per_client(currency: str | None) -> list[str]:
+    """Amounts of different currencies are never compared or added."""
+    return ["cliente_id", currency] if currency else ["cliente_id"]
+
+
+def unusual_amounts(
+    tx: DataFrame, threshold: float = 3.0, currency: str | None = None
+) -> DataFrame:
     """Transactions whose amount lies more than ``threshold`` deviations above the client's mean.
 
     Clients with a single transaction or equal amounts have no deviation and no
@@ -30,28 +37,41 @@ def unusual_amounts(tx: DataFrame, threshold: float = 3.0) -> DataFrame:
     the hot clients salted; a window over the client would put each client's whole
     history into one task.
     """
+    keys = _per_client(currency)
     amount = F.col("monto").cast("double")
-    per_client = tx.groupBy("cliente_id").agg(
-        F.avg(amount).alias("_media"), F.stddev_samp(amount).alias("_desv")
+    usual = (
+        tx.groupBy(*keys)
+        .agg(F.avg(amount).alias("_media"), F.stddev_samp(amount).alias("_desv"))
+        .filter(F.col("_desv") > 0)
     )
-    z = (amount - F.col("_media")) / F.col("_desv")
     return (
-        salted_lookup(tx, per_client.filter(F.col("_desv") > 0), "cliente_id", ["transaccion_id"])
-        .withColumn("z", z)
+        salted_lookup(tx, usual, "cliente_id", ["transaccion_id"], also=keys[1:])
+        .withColumn("z", (amount - F.col("_media")) / F.col("_desv"))
         .filter(F.col("z") > F.lit(threshold))
         .drop("_media", "_desv")
     )
 
 
 def bursts(
-    tx: DataFrame, seconds: int = 3600, at_least: int = 2, subsecond: bool = False
+    tx: DataFrame,
+    seconds: int = 3600,
+    at_least: int = 2,
+    currency: str | None = None,
+    subsecond: bool = False,
 ) -> DataFrame:
     """Instants with at least two transactions in the trailing hour, and their sum.
 
     Pass ``subsecond`` where timestamps are finer than whole seconds.
     """
-    return trailing_totals(tx, "cliente_id", "timestamp_tx", "monto", seconds, subsecond).filter(
-        F.col("n_ventana") >= at_least
+    totals = trailing_totals(tx, _per_client(currency), "timestamp_tx", "monto", seconds, subsecond)
+    return totals.filter(F.col("n_ventana") >= at_least)
+
+
+def _frequency(tx: DataFrame, seconds: int, subsecond: bool) -> DataFrame:
+    """Transactions in the trailing hour, whatever their currency; no sum of amounts."""
+    ones = tx.select("cliente_id", "timestamp_tx", F.lit(1).cast("bigint").alias("_uno"))
+    return trailing_totals(ones, ["cliente_id"], "timestamp_tx", "_uno", seconds, subsecond).drop(
+        "suma_ventana"
     )
 
 
@@ -59,7 +79,7 @@ def fast_sequences(
     tx: DataFrame, seconds: int = 3600, at_least: int = 3, subsecond: bool = False
 ) -> DataFrame:
     """Instants whose trailing hour holds at least ``at_least`` transactions."""
-    return bursts(tx, seconds, at_least, subsecond).drop("suma_ventana")
+    return _frequency(tx, seconds, subsecond).filter(F.col("n_ventana") >= at_least)
 
 
 def foreign_share(tx: DataFrame, owners: DataFrame) -> DataFrame:
@@ -101,7 +121,9 @@ def impossible_travel(tx: DataFrame, within_seconds: int = _DAY) -> DataFrame:
     )
 
 
-def amount_rate(tx: DataFrame, threshold: float = 3.0) -> DataFrame:
+def amount_rate(
+    tx: DataFrame, threshold: float = 3.0, currency: str | None = None
+) -> DataFrame:
     """Share of a client's transactions that ``unusual_amounts`` would flag.
 
     Works on distinct amounts per client with their counts. Money has two decimals
@@ -110,8 +132,8 @@ def amount_rate(tx: DataFrame, threshold: float = 3.0) -> DataFrame:
     distinct amount has no deviation.
     """
     amount = F.col("monto").cast("double")
-    client = Window.partitionBy("cliente_id")
-    counted = tx.groupBy("cliente_id", "monto").agg(F.count(F.lit(1)).alias("_n"))
+    client = Window.partitionBy(*_per_client(currency))
+    counted = tx.groupBy(*_per_client(currency), "monto").agg(F.count(F.lit(1)).alias("_n"))
     total, s1 = F.col("_total"), F.col("_s1")
     deviation = F.sqrt((F.col("_s2") - s1 * s1 / total) / (total - 1))
     unusual = (F.col("_distintos") > 1) & (amount - s1 / total > F.lit(threshold) * deviation)
@@ -133,10 +155,11 @@ def velocity_rate(
     tx: DataFrame, seconds: int = 3600, at_least: int = 3, subsecond: bool = False
 ) -> DataFrame:
     """Flagged and own transactions come out of the same window result: no join back."""
-    totals = trailing_totals(tx, "cliente_id", "timestamp_tx", "monto", seconds, subsecond)
     fast = F.when(F.col("n_ventana") >= at_least, F.col("n_tx")).otherwise(0)
-    return totals.groupBy("cliente_id").agg(
-        (F.sum(fast) / F.sum("n_tx")).alias("tasa_frecuencia")
+    return (
+        _frequency(tx, seconds, subsecond)
+        .groupBy("cliente_id")
+        .agg((F.sum(fast) / F.sum("n_tx")).alias("tasa_frecuencia"))
     )
 
 

@@ -95,19 +95,23 @@ def build_gold(spark: SparkSession, layout: Layout, as_of: activity.AsOf = None)
     clientes = clientes.drop(*schemas.PERSONAL_DATA)
     tx = spark.read.parquet(layout.silver("transacciones_enriquecidas"))
 
-    write_days(activity.daily(tx, clientes, ("moneda",)), layout.gold("tx_diarias"))
     write_days(
         activity.daily_by_client(tx, clientes, ("moneda",)), layout.gold("tx_diarias_cliente")
     )
-    _write(activity.retention_by_volume(tx), layout.gold("retencion"))
+    days = spark.read.parquet(layout.gold("tx_diarias_cliente"))
+    write_days(activity.summarise_days(days, ("moneda",)), layout.gold("tx_diarias"))
+    _write(activity.retention_by_volume(tx, "moneda"), layout.gold("retencion"))
     _write(activity.finance_monthly(tx, cuentas), layout.gold("finanzas"))
     _write(fraud.impossible_travel(tx), layout.gold("viajes_imposibles"))
-    _write(fraud.unusual_amounts(tx), layout.gold("montos_inusuales"))
-    _write(fraud.bursts(tx), layout.gold("rafagas"))
+    _write(fraud.unusual_amounts(tx, currency="moneda"), layout.gold("montos_inusuales"))
+    _write(fraud.bursts(tx, currency="moneda"), layout.gold("rafagas"))
 
     owners = silver.account_owner(cuentas, clientes)
     scored = fraud.score(
-        clientes, fraud.amount_rate(tx), fraud.foreign_share(tx, owners), fraud.velocity_rate(tx)
+        clientes,
+        fraud.amount_rate(tx, currency="moneda"),
+        fraud.foreign_share(tx, owners),
+        fraud.velocity_rate(tx),
     )
     dormant = activity.dormant_accounts(cuentas, tx, as_of=as_of, states=("ACTIVA",))
     # One row per client or account; each is written and read again for the features.
@@ -115,7 +119,7 @@ def build_gold(spark: SparkSession, layout: Layout, as_of: activity.AsOf = None)
         reused(scored) as scored,
         reused(dormant) as dormant,
         reused(activity.churn(tx, as_of=as_of)) as left,
-        reused(activity.segmentation(tx, as_of=as_of)) as segments,
+        reused(activity.segmentation(tx, as_of, "moneda")) as segments,
     ):
         _write(scored, layout.gold("fraude_score"))
         _write(dormant, layout.gold("cuentas_inactivas"))
@@ -163,19 +167,27 @@ def backfill(
 ) -> None:
     """Compute a daily metric again for [start, end) and replace just these days.
 
-    ``metric`` returns one or more rows per ``fecha``. The table is partitioned by
-    ``fecha`` and only partitions with new rows are replaced, so running it twice
-    is the same as once; a day that no longer has any row keeps its old partition.
+    ``metric`` returns one or more rows per ``fecha``, the partition column. Other
+    days stay untouched, and a day that no longer has any row becomes empty, so
+    running it twice is the same as once. The driver sees days, never rows.
     """
-    days = tx.filter(
-        (F.col("timestamp_tx") >= F.lit(start).cast("timestamp_ntz"))
-        & (F.col("timestamp_tx") < F.lit(end).cast("timestamp_ntz"))
-    )
-    (
-        metric(days)
-        .hint("rebalance", "fecha")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("fecha")
-        .parquet(path)
+    spark = tx.sparkSession
+    in_range = (F.col("timestamp_tx") >= F.lit(start).cast("timestamp_ntz")) & (
+        F.col("timestamp_tx") < F.lit(end).cast("timestamp_ntz")
     )
+
+    def days_of(df: DataFrame) -> set[dt.date]:
+        of_range = df.filter((F.col("fecha") >= F.lit(start)) & (F.col("fecha") < F.lit(end)))
+        return {row["fecha"] for row in of_range.select("fecha").distinct().collect()}
+
+    with reused(metric(tx.filter(in_range))) as result:
+        (
+            result.hint("rebalance", "fecha")
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy("fecha")
+            .parquet(path)
+        )
+        written = spark.read.schema(result.schema).parquet(path)
+        for day in sorted(days_of(written) - days_of(result)):
+            result.drop("fecha").limit(0).write.mode("overwrite").parquet(f"{path}/fecha={day}")

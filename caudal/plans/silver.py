@@ -37,19 +37,19 @@ def type_check(raw: DataFrame, table: str) -> DataFrame:
 
 
 def clean(raw: DataFrame, table: str) -> Cleaned:
-    """Types checked, bad rows set aside, repeated keys reduced to one row."""
+    """Types checked, bad rows set aside, repeated keys reduced to one row.
+
+    Good rows are shuffled once, by their key, where copies collapse too; only the
+    few bad rows are made distinct as a whole.
+    """
     schema = schemas.TABLES[table]
-    # Copies go first: a re-sent file is then checked and shuffled once.
     columns = [c for c in raw.columns if c in schema.names or c == CORRUPT]
-    texts = drop_copies(raw.select(*columns))
-    checked = type_check(
-        texts.withColumn("_texto", F.to_json(F.struct(*columns))), table
-    )
+    checked = type_check(raw.withColumn("_texto", F.to_json(F.struct(*columns))), table)
     good = quality.accepted(checked).select(*schema.names)
     bad = quality.rejected(checked).select(
         F.lit(table).alias("tabla"), F.col("_texto").alias("fila"), quality.REASONS
     )
-    return Cleaned(dedup(good, table), bad)
+    return Cleaned(dedup(good, table), drop_copies(bad))
 
 
 def dedup(typed: DataFrame, table: str) -> DataFrame:

@@ -114,6 +114,31 @@ def test_retention_drops_the_last_month_and_sees_gaps(spark):
     ]
 
 
+def test_currencies_are_never_mixed(spark):
+    """Small USD amounts next to large GTQ ones of the same client."""
+    data = [("c1", "g", f"2022-01-{d:02d}T00:00:00", "1000", None, "GTQ") for d in range(1, 12)]
+    data += [("c1", "u", f"2022-01-{d:02d}T00:10:00", "1", None, "USD") for d in range(1, 12)]
+    data += [("c1", "u", "2022-01-12T00:00:00", "90", None, "USD")]
+    data += [("c2", "x", "2022-01-12T00:00:00", "2000", None, "GTQ")]
+    data += [("c2", "x", "2022-02-12T00:00:00", "2000", None, "USD")]
+    tx = transactions(spark, data)
+    flagged = fraud.unusual_amounts(tx, currency="moneda")
+    assert rows(flagged, "moneda", "monto") == [("USD", Decimal("90.00"))]
+    assert dict(rows(fraud.amount_rate(tx, currency="moneda"), "cliente_id", "tasa_monto")) == {
+        "c1": pytest.approx(1 / 23), "c2": 0.0,
+    }
+    assert fraud.bursts(tx, currency="moneda").count() == 0
+    assert fraud.bursts(tx).count() == 11
+    assert rows(activity.retention_by_volume(tx, "moneda"), "moneda", "banda", "n_clientes", "n_retenidos") == [
+        ("GTQ", 1, 1, 1), ("GTQ", 4, 1, 0), ("USD", 1, 1, 0),
+    ]
+    got = {r["cliente_id"]: r for r in activity.segmentation(tx, currency="moneda").collect()}
+    assert [(m["moneda"], m["monto"]) for m in got["c1"]["montos"]] == [
+        ("GTQ", Decimal("11000.00")), ("USD", Decimal("101.00")),
+    ]
+    assert (got["c1"]["m"], got["c2"]["m"], got["c1"]["frecuencia"]) == (4, 4, 23)
+
+
 def test_segmentation_bands(spark):
     data = []
     for i in range(1, 9):

@@ -213,7 +213,7 @@ def brute_trailing(points, seconds):
 
 def trailing(spark, points, seconds, subsecond):
     df = spark.createDataFrame(points, "k string, ts timestamp_ntz, v decimal(18,2)")
-    got = trailing_totals(df, "k", "ts", "v", seconds, subsecond)
+    got = trailing_totals(df, ["k"], "ts", "v", seconds, subsecond)
     return rows(got, "k", "ts", "n_tx", "n_ventana", "suma_ventana")
 
 
@@ -289,7 +289,7 @@ def test_quantiles_equal_a_full_sort(spark, small):
     df = spark.createDataFrame(
         [(g, v) for g, values in groups.items() for v in values], "g string, v double"
     ).repartition(6)
-    got = {r["g"]: r["cuts"] for r in exact_quantiles(df, "g", "v", small=small).collect()}
+    got = {r["g"]: r["cuts"] for r in exact_quantiles(df, ["g"], "v", small=small).collect()}
     for g, values in groups.items():
         assert got[g] == pytest.approx([interpolated(values, p) for p in (0.25, 0.5, 0.75)], rel=1e-12)
 
@@ -298,7 +298,7 @@ def test_quantiles_of_few_values_and_nulls(spark):
     df = spark.createDataFrame(
         [("one", 4.0), ("two", 1.0), ("two", 2.0), ("two", None), ("none", None)], "g string, v double"
     )
-    got = {r["g"]: r["cuts"] for r in exact_quantiles(df, "g", "v").collect()}
+    got = {r["g"]: r["cuts"] for r in exact_quantiles(df, ["g"], "v").collect()}
     assert got == {"one": [4.0, 4.0, 4.0], "two": [1.25, 1.5, 1.75]}
 
 

@@ -78,6 +78,13 @@ def test_backfill_twice_is_once_and_leaves_other_days(spark, tmp_path):
     assert len(first) == 3
     got = {str(r["fecha"]): r["n"] for r in spark.read.parquet(path).collect()}
     assert got == {"2022-06-01": 2, "2022-06-02": 2, "2022-06-03": 1}
+    # A day that lost its rows becomes empty.
+    for _ in range(2):
+        pipeline.backfill(
+            more.filter("timestamp_tx < '2022-06-03'"), metric, dt.date(2022, 6, 2), dt.date(2022, 6, 9), path
+        )
+    got = {str(r["fecha"]): r["n"] for r in spark.read.parquet(path).collect()}
+    assert got == {"2022-06-01": 2, "2022-06-02": 2}
 
 
 # --- streaming --------------------------------------------------------------------
