@@ -22,21 +22,24 @@ _TRACKED = 2048
 
 
 def hot_keys(facts: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
-    """Keys holding more than ``share`` of the rows: at most 1/share of them.
+    """Hashes of the keys holding more than ``share`` of the rows: at most 1/share.
 
     One pass over the key column with a mergeable frequent-items sketch, no
-    shuffle of the rows. The sketch may miss or add a key near the limit, which
-    changes the balance of a salted join and never its result.
+    shuffle of the rows. The sketch may miss or add a key near the limit, and two
+    keys may share a hash: that changes the balance of a salted join, never its
+    result.
     """
     most = int(1 / share)
     top = facts.filter(F.col(key).isNotNull()).agg(
         F.count(F.lit(1)).alias("_n"),
-        F.call_function("approx_top_k", F.col(key), F.lit(most), F.lit(_TRACKED)).alias("_top"),
+        F.call_function(
+            "approx_top_k", F.xxhash64(key), F.lit(most), F.lit(_TRACKED)
+        ).alias("_top"),
     )
     return (
         top.select("_n", F.explode("_top").alias("_t"))
         .filter(F.col("_t.count") > F.col("_n") * F.lit(share))
-        .select(F.col("_t.item").alias(key))
+        .select(F.col("_t.item").alias("_hot"))
     )
 
 
@@ -62,13 +65,14 @@ def salted_lookup(
     if splits is None:
         splits = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # 1/share rows at most, so the broadcast has a fixed bound.
-    hot = F.broadcast(hot_keys(facts, key, share).withColumn("_hot", F.lit(True)))
+    hot = F.broadcast(hot_keys(facts, key, share))
+    hashed = F.xxhash64(key) == F.col("_hot")
     is_hot = F.col("_hot").isNotNull()
-    left = facts.join(hot, key, "left").withColumn(
+    left = facts.join(hot, hashed, "left").withColumn(
         "_salt",
         F.when(is_hot, F.pmod(F.xxhash64(*spread), F.lit(splits)).cast("int")).otherwise(F.lit(0)),
     )
-    right = lookup.join(hot, key, "left").withColumn(
+    right = lookup.join(hot, hashed, "left").withColumn(
         "_salt",
         F.explode(
             F.when(is_hot, F.sequence(F.lit(0), F.lit(splits - 1))).otherwise(F.array(F.lit(0)))

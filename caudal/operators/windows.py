@@ -11,146 +11,185 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from caudal.functions.values import micros
 
 _SECOND = 1_000_000
 
+# Order of moves at one instant: points enter before others leave.
+_OPENS, _ENTERS, _LEAVES, _LEAVES_CARRIED = 0, 1, 2, 3
+
+# Buckets as wide as this many windows: few, but not tiny, window groups.
+_WINDOWS_PER_BUCKET = 24
+
 
 def _sweep(
     points: DataFrame,
     keys: Sequence[str],
-    bucket: str,
     width: int,
-    steps: int,
+    span: int,
     opening: DataFrame | None = None,
 ) -> DataFrame:
-    """Running totals of ``points`` (keys, bucket, _t, _n, _v) inside their buckets.
-
-    Every point enters at its time and leaves ``width`` later, which lies ``steps``
-    buckets on; leaving counts after a point that enters at the same time, so both
-    ends of the window count. ``opening`` (keys, bucket, _n, _v) holds what is in
-    the window when a bucket starts; without it that is whatever leaves during
-    the bucket, which is right if one bucket is as wide as the window.
+    """Trailing totals over [t - width, t] of ``points`` (keys, _t, totals).
+
+    Time is cut into buckets of ``span``. Every point enters at its time and leaves
+    ``width`` later, maybe in a later bucket; leaving counts after a point that
+    enters at the same time, so both ends of the window count. What is in the
+    window when a bucket starts are the points that leave in it without having
+    entered in it, provided that a bucket is at least as wide as the window;
+    for narrower ones ``opening`` (keys, _b, totals) says it.
     One linear pass: a sliding RANGE frame would add up the frame for every row.
     """
-    def step(shift: int, leaves: int) -> Column:
-        sign = F.lit(-1 if leaves else 1)
-        return F.struct(
-            (F.col(bucket) + shift).alias(bucket),
-            (F.col("_t") + (width if leaves else 0)).alias("_t"),
-            F.lit(leaves).alias("_leaves"),
-            (sign * F.col("_n")).alias("_n"),
-            (sign * F.col("_v")).alias("_v"),
-        )
+    totals = [c for c in ("_n", "_v") if c in points.columns]
+
+    def bucket(time: Column) -> Column:
+        return F.floor(time / F.lit(span)).cast("bigint")
 
-    moves = points.select(*keys, F.explode(F.array(step(0, 0), step(steps, 1))).alias("_m")).select(
-        *keys, "_m.*"
+    leaves_at = F.col("_t") + F.lit(width)
+    carried = bucket(leaves_at) > bucket(F.col("_t"))
+    enters = F.struct(
+        bucket(F.col("_t")).alias("_b"), F.col("_t").alias("_t"), F.lit(_ENTERS).alias("_kind"),
+        *[F.col(c).alias(c) for c in totals],
     )
-    whole = Window.partitionBy(*keys, bucket)
-    so_far = whole.orderBy("_t", "_leaves").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow
+    leaves = F.struct(
+        bucket(leaves_at).alias("_b"), leaves_at.alias("_t"),
+        F.when(carried, F.lit(_LEAVES_CARRIED)).otherwise(F.lit(_LEAVES)).alias("_kind"),
+        *[(-F.col(c)).alias(c) for c in totals],
     )
-    gone = F.col("_leaves") == 1
-    if opening is None:
-        n_open = F.sum(F.when(gone, -F.col("_n")).otherwise(0)).over(whole)
-        v_open = F.sum(F.when(gone, -F.col("_v")).otherwise(0)).over(whole)
-    else:
+    moves = points.select(*keys, F.explode(F.array(enters, leaves)).alias("_m")).select(*keys, "_m.*")
+    whole = Window.partitionBy(*keys, "_b")
+    so_far = whole.orderBy("_t", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if opening is not None:
         first = opening.select(
-            *keys, bucket, F.lit(-1).cast("bigint").alias("_t"), F.lit(-1).alias("_leaves"), "_n", "_v"
+            *keys, "_b", F.lit(None).cast("bigint").alias("_t"), F.lit(_OPENS).alias("_kind"), *totals
         )
         moves = moves.unionByName(first)
-        n_open = v_open = F.lit(0)
+
+    def in_window(column: str) -> Column:
+        running = F.sum(column).over(so_far)
+        if opening is not None:
+            return running
+        at_start = F.when(F.col("_kind") == _LEAVES_CARRIED, -F.col(column)).otherwise(0)
+        return running + F.sum(at_start).over(whole)
+
     return (
-        moves.withColumns(
-            {
-                "n_ventana": F.sum("_n").over(so_far) + n_open,
-                "suma_ventana": F.sum("_v").over(so_far) + v_open,
-            }
-        )
-        .filter(F.col("_leaves") == 0)
-        .drop("_leaves")
+        moves.withColumns({f"{c}_ventana": in_window(c) for c in totals})
+        .filter(F.col("_kind") == _ENTERS)
+        .drop("_kind", "_b")
     )
 
 
+def _whole_units(tx: DataFrame, value: str) -> tuple[Column, int]:
+    """A money column as a count of its smallest unit: 64-bit sums, exact and fast.
+
+    A sum beyond 64 bits fails (ANSI mode), it never wraps.
+    """
+    kind = tx.schema[value].dataType
+    if isinstance(kind, T.DecimalType):
+        return (F.col(value) * F.lit(10**kind.scale)).cast("bigint"), kind.scale
+    if isinstance(kind, T.IntegralType):
+        return F.col(value).cast("bigint"), 0
+    raise TypeError(f"{value} must be a decimal or an integer, not {kind.simpleString()}")
+
+
 def trailing_totals(
     tx: DataFrame,
     keys: Sequence[str],
     ts: str,
-    value: str,
+    value: str | None = None,
     seconds: int = 3600,
     subsecond: bool = False,
 ) -> DataFrame:
     """Per key and instant: rows and sum of ``value`` over [ts - seconds, ts].
 
-    Returns ``keys, ts, n_tx`` (rows at that instant), ``n_ventana`` and
-    ``suma_ventana``; both ends of the window count.
+    Returns ``keys, ts, n_tx`` (rows at that instant), ``n_ventana`` and, where a
+    value is named, ``suma_ventana``; both ends of the window count.
 
-    Timestamps of whole seconds are swept in buckets as wide as the window: a group
-    has at most ``2 * seconds`` rows. With ``subsecond`` whole seconds are summed
-    first in just that way and instants only inside their second, so a group has
-    at most two million rows (two seconds of microseconds), however hot the key.
+    Timestamps of whole seconds are swept in buckets of 24 windows (a day for an
+    hour), so a group has at most ``2 * 24 * seconds`` rows. With ``subsecond``
+    whole seconds are summed first in just that way and instants only inside their
+    second, so a group has at most two million rows (microseconds entering and
+    leaving), however hot the key.
     """
+    totals = {"_n": F.count(F.lit(1))}
+    scale = 0
+    if value is not None:
+        units, scale = _whole_units(tx, value)
+        totals["_v"] = F.coalesce(F.sum(units), F.lit(0))
     instants = (
         tx.dropna(subset=[*keys, ts])
         .groupBy(*keys, ts)
-        .agg(F.count(F.lit(1)).alias("_n"), F.coalesce(F.sum(value), F.lit(0)).alias("_v"))
+        .agg(*[total.alias(name) for name, total in totals.items()])
         .withColumn("_t", micros(ts))
         .withColumn("_s", F.floor(F.col("_t") / F.lit(_SECOND)).cast("bigint"))
     )
+    per_second = instants
     if subsecond:
-        per_second = instants.groupBy(*keys, "_s").agg(F.sum("_n").alias("_n"), F.sum("_v").alias("_v"))
-    else:
-        per_second = instants
-    hours = per_second.select(
-        *keys, F.floor(F.col("_s") / F.lit(seconds)).cast("bigint").alias("_h"),
-        F.col("_s").alias("_t"), "_n", "_v",
+        per_second = instants.groupBy(*keys, "_s").agg(*[F.sum(c).alias(c) for c in totals])
+    swept = _sweep(
+        per_second.select(*keys, F.col("_s").alias("_t"), *totals),
+        keys, seconds, seconds * _WINDOWS_PER_BUCKET,
     )
-    swept = _sweep(hours, keys, "_h", seconds, 1)
+    instant = F.timestamp_seconds("_t")
     if subsecond:
         before = swept.select(
-            *keys, F.col("_t").alias("_s"),
-            (F.col("n_ventana") - F.col("_n")).alias("_n"),
-            (F.col("suma_ventana") - F.col("_v")).alias("_v"),
+            *keys,
+            F.col("_t").alias("_b"),
+            *[(F.col(f"{c}_ventana") - F.col(c)).alias(c) for c in totals],
         )
         swept = _sweep(
-            instants.select(*keys, "_s", "_t", "_n", "_v"), keys, "_s", seconds * _SECOND, seconds, before
+            instants.select(*keys, "_t", *totals), keys, seconds * _SECOND, _SECOND, before
         )
         instant = F.timestamp_micros("_t")
-    else:
-        instant = F.timestamp_seconds("_t")
-    return swept.select(
+    result = [
         *keys,
         instant.cast(tx.schema[ts].dataType).alias(ts),
         F.col("_n").alias("n_tx"),
-        "n_ventana",
-        "suma_ventana",
-    )
+        F.col("_n_ventana").alias("n_ventana"),
+    ]
+    if value is not None:
+        total = F.col("_v_ventana")
+        if scale:
+            total = (total.cast("decimal(19,0)") / F.lit(10**scale)).cast(T.DecimalType(28, scale))
+        result.append(total.alias("suma_ventana"))
+    return swept.select(*result)
 
 
 def with_previous(
-    points: DataFrame, key: str, order: Sequence[str], bucket: str, carry: Sequence[str]
+    points: DataFrame,
+    key: str,
+    ts: str,
+    order: Sequence[str],
+    carry: Sequence[str],
+    within_seconds: int,
+    windows_per_bucket: int = 7,
 ) -> DataFrame:
-    """Add ``<column>_previo`` from the point before, in ``order``, of the same key.
+    """Add ``<column>_previo``: the same key's point before, if at most ``within_seconds`` old.
 
-    ``bucket`` is a column that never falls as ``order`` rises (the day, say).
-    Only the last point of each bucket is carried into the key's next bucket, so
-    the window over the points groups by key and bucket, and the window over the
-    whole key sees one row per bucket. (key, order) must be unique.
+    ``order`` starts with ``ts`` and, with the key, is unique. Time is cut into
+    buckets of ``windows_per_bucket`` windows; only points so late in a bucket that
+    the next one may look back at them are copied into it. A group holds one
+    bucket of one key, whatever the size of the key.
     """
-    columns = [key, bucket, *dict.fromkeys([*order, *carry])]
-    points = points.select(*columns)
-    # Written over itself the newest point wins: max of a struct led by the order.
-    last = points.groupBy(key, bucket).agg(
-        F.max(F.struct(*columns[2:])).alias("_last")
-    )
-    key_buckets = Window.partitionBy(key).orderBy(bucket)
-    carried = (
-        last.withColumn("_next", F.lead(bucket).over(key_buckets))
-        .filter(F.col("_next").isNotNull())
-        .select(key, F.col("_next").alias(bucket), "_last.*", F.lit(True).alias("_carried"))
+    within = within_seconds * _SECOND
+    span = within * windows_per_bucket
+    time = micros(ts)
+    bucket = F.floor(time / F.lit(span)).cast("bigint")
+    seen_until = F.floor((time + F.lit(within)) / F.lit(span)).cast("bigint")
+    here = F.struct(bucket.alias("_b"), F.lit(False).alias("_copy"))
+    ahead = F.struct(seen_until.alias("_b"), F.lit(True).alias("_copy"))
+    placed = points.withColumn(
+        "_p", F.explode(F.when(seen_until > bucket, F.array(here, ahead)).otherwise(F.array(here)))
+    ).select(*points.columns, "_p.*")
+    in_bucket = Window.partitionBy(key, "_b").orderBy(*order)
+    before = F.lag(F.struct(ts, *[c for c in carry if c != ts])).over(in_bucket)
+    recent = time - micros(F.col("_before")[ts]) <= F.lit(within)
+    return (
+        placed.withColumn("_before", before)
+        .filter(~F.col("_copy"))
+        .select(
+            *points.columns,
+            *[F.when(recent, F.col("_before")[c]).alias(f"{c}_previo") for c in carry],
+        )
     )
-    in_bucket = Window.partitionBy(key, bucket).orderBy(*order)
-    rows = points.withColumn("_carried", F.lit(False)).unionByName(carried)
-    rows = rows.withColumns({f"{column}_previo": F.lag(column).over(in_bucket) for column in carry})
-    return rows.filter(~F.col("_carried")).drop("_carried")

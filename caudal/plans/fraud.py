@@ -69,10 +69,7 @@ def bursts(
 
 def _frequency(tx: DataFrame, seconds: int, subsecond: bool) -> DataFrame:
     """Transactions in the trailing hour, whatever their currency; no sum of amounts."""
-    ones = tx.select("cliente_id", "timestamp_tx", F.lit(1).cast("bigint").alias("_uno"))
-    return trailing_totals(ones, ["cliente_id"], "timestamp_tx", "_uno", seconds, subsecond).drop(
-        "suma_ventana"
-    )
+    return trailing_totals(tx, ["cliente_id"], "timestamp_tx", None, seconds, subsecond)
 
 
 def fast_sequences(
@@ -104,21 +101,19 @@ def impossible_travel(tx: DataFrame, within_seconds: int = _DAY) -> DataFrame:
     """An account seen in another country than in its transaction before, too soon after.
 
     Rows of one account, instant and country are one point (several transactions
-    at one instant are taken by country name). The day is the bucket, so a window
-    group holds the distinct instants and countries of one account and day.
+    at one instant are taken by country name), so a window group holds the distinct
+    instants and countries of one account and week.
     """
-    points = (
-        tx.groupBy("cuenta_id", "timestamp_tx", "pais_tx")
-        .agg(F.count(F.lit(1)).alias("n_tx"))
-        .withColumn("_dia", F.to_date("timestamp_tx"))
-    )
+    points = tx.groupBy("cuenta_id", "timestamp_tx", "pais_tx").agg(F.count(F.lit(1)).alias("n_tx"))
     seen = with_previous(
-        points, "cuenta_id", ["timestamp_tx", "pais_tx"], "_dia", ["timestamp_tx", "pais_tx", "n_tx"]
-    )
-    soon = F.timestamp_diff("SECOND", F.col("timestamp_tx_previo"), F.col("timestamp_tx")) <= within_seconds
-    return seen.filter((F.col("pais_tx") != F.col("pais_tx_previo")) & soon).select(
-        "cuenta_id", "timestamp_tx", "pais_tx", "n_tx", "timestamp_tx_previo", "pais_tx_previo"
+        points,
+        "cuenta_id",
+        "timestamp_tx",
+        order=["timestamp_tx", "pais_tx"],
+        carry=["timestamp_tx", "pais_tx"],
+        within_seconds=within_seconds,
     )
+    return seen.filter(F.col("pais_tx") != F.col("pais_tx_previo"))
 
 
 def amount_rate(
