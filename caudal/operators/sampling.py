@@ -97,6 +97,21 @@ def inject_copies(df: DataFrame, key: str, salt: str, share: float) -> DataFrame
     return df.unionByName(sample_share(df, key, salt, share))
 
 
+def inject_nulls_exact(df: DataFrame, column: str, key: str, salt: str, share: float) -> DataFrame:
+    """Blank out one column in exactly floor(share * rows) rows; key is unique."""
+    chosen = sample_exact_share(df.select(key), key, salt, share).withColumn("_blank", F.lit(True))
+    return (
+        df.join(chosen, key, "left")
+        .withColumn(column, F.when(F.col("_blank").isNull(), F.col(column)))
+        .select(*df.columns)
+    )
+
+
+def inject_copies_exact(df: DataFrame, key: str, salt: str, share: float) -> DataFrame:
+    """Append exact copies of exactly floor(share * rows) rows; key is unique."""
+    return df.unionByName(sample_exact_share(df, key, salt, share))
+
+
 def fan_out(df: DataFrame, key: str, salt: str, most: int, name: str) -> DataFrame:
     """1..most children per row, numbered inside their parent in ``name``."""
     children = F.lit(1) + F.floor(hash_uniform(key, salt) * F.lit(most)).cast("bigint")

@@ -132,6 +132,20 @@ def test_injected_defects_are_removed_again(spark):
     )
 
 
+def test_exact_defects_have_exact_numbers(spark):
+    """n rows and floor(n/100) copies, each id twice at most; floor(n/50) empty amounts."""
+    n = 5_050
+    clean = spark.range(n).select("id", F.col("id").cast("decimal(18,2)").alias("monto"))
+    nulled = sampling.inject_nulls_exact(clean, "monto", "id", "n", domain.PROPORCION_MONTO_NULO)
+    assert nulled.columns == clean.columns
+    assert nulled.count() == n and nulled.filter("monto is null").count() == 101
+    dirty = sampling.inject_copies_exact(nulled, "id", "c", domain.PROPORCION_DUPLICADOS)
+    per_id = dirty.groupBy("id").count()
+    assert dirty.count() == n + 50 and per_id.count() == n
+    assert per_id.agg(F.max("count")).collect()[0][0] == 2
+    assert drop_copies(dirty).count() == n
+
+
 # --- dedup ------------------------------------------------------------------------
 
 def test_copies_collapse_and_the_latest_row_stays(spark):
