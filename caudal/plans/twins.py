@@ -246,9 +246,10 @@ with t as (select o_orderkey as transaccion_id, o_custkey as cliente_id, o_order
 select * from t union all select * from t where {_u('transaccion_id', 'copias')} < 0.01""",
     "assign_fk": f"""
 with parents as (select c_custkey,
-  row_number() over (order by {_u('c_custkey', 'titular')}, c_custkey) - 1 as i from customer)
-select o_orderkey, c_custkey from orders join parents
-  on i = cast(floor({_u('o_orderkey', 'titular:draw')} * (select count(*) from customer)) as bigint)""",
+  row_number() over (order by {_u('c_custkey', 'titular')}, c_custkey) - 1 as i from customer),
+draws as (select o_orderkey, cast(floor({_u('o_orderkey', 'titular:draw')} * n) as bigint) as i
+  from orders, (select count(*) as n from customer))
+select o_orderkey, c_custkey from draws join parents using (i)""",
     "fan_out": f"""
 select c_custkey, unnest(range(1, 2 + cast(floor({_u('c_custkey', 'cuentas')} * 3) as bigint))) as n_cuenta
 from customer""",
