@@ -203,6 +203,35 @@ def test_hot_rows_are_spread_over_the_salts(spark):
         spark.conf.unset("spark.sql.adaptive.enabled")
 
 
+@pytest.fixture
+def fixed_partitions(spark):
+    """Shuffle partitions as planned: nothing merged at run time."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def largest_share(df):
+    sizes = [r["count"] for r in df.groupBy(F.spark_partition_id()).count().collect()]
+    return max(sizes) / sum(sizes)
+
+
+def test_one_key_with_all_rows_is_spread_over_the_tasks(spark, fixed_partitions):
+    start = F.lit("2022-01-01").cast("timestamp").cast("bigint")
+    tx = spark.range(20_000).select(
+        F.lit("hot").alias("k"),
+        F.timestamp_seconds(start + F.col("id") * 300).cast("timestamp_ntz").alias("ts"),
+        (F.col("id") % 5).alias("v"),
+        "id",
+    )
+    assert largest_share(trailing_totals(tx, ["k"], "ts", "v")) < 0.3
+    assert largest_share(trailing_totals(tx, ["k"], "ts", "v", subsecond=True)) < 0.3
+    assert largest_share(with_previous(tx, "k", "ts", ["ts"], ["v"], 86_400)) < 0.5
+    assert largest_share(sampling.dense_index(tx, "id", "s", "i")) < 0.3
+    copies = tx.withColumn("id", F.lit(1)).unionByName(tx)
+    assert latest_by_key(copies, ["id"], ["ts"]).count() == 20_000
+
+
 def test_orphans_and_parents_without_children(spark):
     parent = spark.createDataFrame([(1,), (2,)], "k int")
     child = spark.createDataFrame([(1,), (3,), (3,), (None,)], "k int")

@@ -128,12 +128,13 @@ def put(spark, folder, data):
     ).coalesce(1).write.mode("append").parquet(folder)
 
 
-def test_stream_dedup_within_the_watermark(spark, tmp_path):
+@pytest.mark.parametrize("spread", [0, 3])
+def test_stream_dedup_within_the_watermark(spark, tmp_path, spread):
     src, out, progress = (str(tmp_path / n) for n in ("src", "out", "progress"))
 
     def run():
         streams.write_append(
-            streams.dedup_stream(parquet_stream(spark, src)), out, progress
+            streams.dedup_stream(parquet_stream(spark, src), spread=spread), out, progress
         ).awaitTermination(120)
 
     put(spark, src, [("t1", "a", "2022-01-01T10:00:00"), ("t1", "a", "2022-01-01T10:00:00")])
