@@ -19,27 +19,38 @@ from pyspark.sql import functions as F
 
 HOT_SHARE = 0.005
 _TRACKED = 2048
+_SKETCH_GROUPS = 256
 
 
 def hot_keys(facts: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
     """Hashes of the keys holding more than ``share`` of the rows: at most 1/share.
 
-    One pass over the key column with a mergeable frequent-items sketch, no
-    shuffle of the rows. The sketch may miss or add a key near the limit, and two
-    keys may share a hash: that changes the balance of a salted join, never its
-    result.
+    One pass over the key column with mergeable frequent-items sketches, no
+    shuffle of the rows. Map tasks are merged in groups, side by side, and only the
+    groups' lists of 1/share items each come together. A key near the limit may be
+    missed or added, and two keys may share a hash: that changes the balance of a
+    salted join, never its result.
     """
     most = int(1 / share)
-    top = facts.filter(F.col(key).isNotNull()).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.call_function(
-            "approx_top_k", F.xxhash64(key), F.lit(most), F.lit(_TRACKED)
-        ).alias("_top"),
+    groups = (
+        facts.filter(F.col(key).isNotNull())
+        .select(
+            F.xxhash64(key).alias("_h"),
+            F.pmod(F.spark_partition_id(), F.lit(_SKETCH_GROUPS)).alias("_g"),
+        )
+        .groupBy("_g")
+        .agg(
+            F.count(F.lit(1)).alias("_n"),
+            F.call_function("approx_top_k", F.col("_h"), F.lit(most), F.lit(_TRACKED)).alias("_top"),
+        )
     )
+    lists = groups.agg(F.sum("_n").alias("_n"), F.flatten(F.collect_list("_top")).alias("_top"))
     return (
-        top.select("_n", F.explode("_top").alias("_t"))
-        .filter(F.col("_t.count") > F.col("_n") * F.lit(share))
-        .select(F.col("_t.item").alias("_hot"))
+        lists.select("_n", F.explode("_top").alias("_t"))
+        .groupBy(F.col("_t.item").alias("_hot"))
+        .agg(F.sum("_t.count").alias("_c"), F.max("_n").alias("_n"))
+        .filter(F.col("_c") > F.col("_n") * F.lit(share))
+        .select("_hot")
     )
 
 

@@ -9,7 +9,7 @@ path Spark can write: HDFS, ``s3a://…`` or a local folder in tests.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,8 +28,8 @@ class Layout:
 
     base: str
 
-    def raw(self, table: str) -> str:
-        return f"{self.base}/raw/{table}.csv"
+    def raw(self, table: str, kind: str = "csv") -> str:
+        return f"{self.base}/raw/{table}.{kind}"
 
     def bronze(self, table: str) -> str:
         return f"{self.base}/bronze/{table}"
@@ -45,10 +45,20 @@ def _write(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
-def ingest(spark: SparkSession, layout: Layout, ingested_at: dt.datetime) -> None:
-    """Raw CSV to bronze, untouched. The same ingest date again replaces that date."""
+def ingest(
+    spark: SparkSession,
+    layout: Layout,
+    ingested_at: dt.datetime,
+    formats: Mapping[str, str] | None = None,
+) -> None:
+    """Raw files to bronze, untouched. The same ingest date again replaces that date.
+
+    Tables arrive as CSV unless ``formats`` says ``json``.
+    """
+    readers = {"csv": raw.read_csv, "json": raw.read_json}
     for table, schema in schemas.TABLES.items():
-        rows = raw.read_csv(spark, layout.raw(table), schema)
+        kind = (formats or {}).get(table, "csv")
+        rows = readers[kind](spark, layout.raw(table, kind), schema)
         bronze.write_bronze(bronze.to_bronze(rows, ingested_at), layout.bronze(table))
 
 
@@ -132,10 +142,14 @@ def build_gold(spark: SparkSession, layout: Layout, as_of: activity.AsOf = None)
 
 
 def run_pipeline(
-    spark: SparkSession, base: str, ingested_at: dt.datetime, as_of: activity.AsOf = None
+    spark: SparkSession,
+    base: str,
+    ingested_at: dt.datetime,
+    as_of: activity.AsOf = None,
+    formats: Mapping[str, str] | None = None,
 ) -> None:
     layout = Layout(base)
-    ingest(spark, layout, ingested_at)
+    ingest(spark, layout, ingested_at, formats)
     build_silver(spark, layout)
     build_gold(spark, layout, as_of)
 

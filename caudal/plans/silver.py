@@ -66,6 +66,11 @@ def null_amounts(tx: DataFrame) -> DataFrame:
     return tx.filter(F.col("monto").isNull())
 
 
+def flag_null_amounts(tx: DataFrame, flag: str = "sin_monto") -> DataFrame:
+    """Keep all transactions and mark those without an amount."""
+    return tx.withColumn(flag, F.col("monto").isNull())
+
+
 def with_amount(tx: DataFrame) -> DataFrame:
     return tx.filter(F.col("monto").isNotNull())
 

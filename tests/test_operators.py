@@ -180,6 +180,8 @@ def test_salted_lookup_equals_the_plain_join(spark):
     )
     hashed = spark.range(1).select(F.xxhash64(F.lit(-1).cast("bigint")).alias("_hot"))
     assert joins.hot_keys(facts, "k", 0.1).collect() == hashed.collect()
+    assert joins.hot_keys(facts.filter("id < 0"), "k", 0.1).count() == 0
+    assert joins.salted_lookup(facts.filter("id < 0"), lookup, "k", ["id"]).count() == 0
     for how in ("inner", "left"):
         salted = joins.salted_lookup(facts, lookup, "k", ["id"], how, share=0.1, splits=7)
         plain = facts.join(lookup, "k", how)

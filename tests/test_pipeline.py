@@ -2,9 +2,11 @@
 
 import csv
 import datetime as dt
+import json
 import os
 
 import pytest
+from bank import TRANSACCIONES
 from bank import tx as tx_row
 from bank import write_raw
 from pyspark.sql import functions as F
@@ -60,6 +62,20 @@ def test_replay_gives_the_same_silver(spark, bank):
     assert before == {t: contents(spark, bank.silver(t)) for t in before}
 
 
+def test_json_and_csv_raw_files_give_the_same_silver(spark, bank, tmp_path):
+    base = str(tmp_path)
+    write_raw(base)
+    layout = pipeline.Layout(base)
+    os.makedirs(layout.raw("transacciones", "json"))
+    with open(f"{layout.raw('transacciones', 'json')}/part-0.json", "w", encoding="utf-8") as f:
+        for row in TRANSACCIONES:
+            f.write(json.dumps({k: v for k, v in row.items() if v != ""}) + "\n")
+    pipeline.ingest(spark, layout, DAY, {"transacciones": "json"})
+    pipeline.build_silver(spark, layout)
+    for table in ("transacciones", "calidad"):
+        assert contents(spark, layout.silver(table)) == contents(spark, bank.silver(table))
+
+
 def test_backfill_twice_is_once_and_leaves_other_days(spark, tmp_path):
     path = str(tmp_path / "days")
     tx = spark.createDataFrame(

@@ -54,6 +54,12 @@ def test_copies_collapse_and_the_latest_is_kept(bank):
     ]
 
 
+def test_null_amounts_may_be_flagged_instead(bank):
+    flagged = silver.flag_null_amounts(bank["transacciones"].good)
+    assert flagged.count() == 11 and flagged.filter("sin_monto").count() == 1
+    assert silver.with_amount(bank["transacciones"].good).count() == 10
+
+
 def test_quality_report(spark, bank):
     report = silver.quality_report(
         bank["clientes"].good, bank["cuentas"].good, bank["transacciones"].good,
