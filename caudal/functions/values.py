@@ -54,3 +54,9 @@ def seconds_between(start: Column | str, end: Column | str) -> Column:
 def micros(ts: Column | str) -> Column:
     """Microseconds since the epoch (the session zone is UTC)."""
     return F.unix_micros((F.col(ts) if isinstance(ts, str) else ts).cast("timestamp"))
+
+
+def floor_div(number: Column, divisor: int) -> Column:
+    """Whole-number division towards minus infinity, exact for instants of any year in use."""
+    divisor = F.lit(divisor).cast("bigint")
+    return ((number - F.pmod(number, divisor)) / divisor).cast("bigint")

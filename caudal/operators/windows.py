@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from caudal.functions.values import micros
+from caudal.functions.values import floor_div, micros
 
 _SECOND = 1_000_000
 
@@ -44,7 +44,7 @@ def _sweep(
     totals = [c for c in ("_n", "_v") if c in points.columns]
 
     def bucket(time: Column) -> Column:
-        return F.floor(time / F.lit(span)).cast("bigint")
+        return floor_div(time, span)
 
     leaves_at = F.col("_t") + F.lit(width)
     carried = bucket(leaves_at) > bucket(F.col("_t"))
@@ -122,7 +122,7 @@ def trailing_totals(
         .groupBy(*keys, ts)
         .agg(*[total.alias(name) for name, total in totals.items()])
         .withColumn("_t", micros(ts))
-        .withColumn("_s", F.floor(F.col("_t") / F.lit(_SECOND)).cast("bigint"))
+        .withColumn("_s", floor_div(F.col("_t"), _SECOND))
     )
     per_second = instants
     if subsecond:
@@ -175,8 +175,8 @@ def with_previous(
     within = within_seconds * _SECOND
     span = within * windows_per_bucket
     time = micros(ts)
-    bucket = F.floor(time / F.lit(span)).cast("bigint")
-    seen_until = F.floor((time + F.lit(within)) / F.lit(span)).cast("bigint")
+    bucket = floor_div(time, span)
+    seen_until = floor_div(time + F.lit(within), span)
     here = F.struct(bucket.alias("_b"), F.lit(False).alias("_copy"))
     ahead = F.struct(seen_until.alias("_b"), F.lit(True).alias("_copy"))
     placed = points.withColumn(
