@@ -40,4 +40,15 @@ select doc_id, size, source_size, target,
 from p
 """
 
-SQL: dict[str, str] = {"op8_mix_sources": MIX}
+COPIES = r"""
+with d as (
+  select doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') as norm from documents
+)
+select doc_id, min(doc_id) over (partition by norm) as keep_id,
+       count(*) over (partition by norm) as group_size,
+       row_number() over (partition by norm order by doc_id nulls last) = 1 as kept,
+       sha256(norm) as text_sha256
+from d
+"""
+
+SQL: dict[str, str] = {"op3_exact_dedup": COPIES, "op8_mix_sources": MIX}
