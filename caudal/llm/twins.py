@@ -51,4 +51,20 @@ select doc_id, min(doc_id) over (partition by norm) as keep_id,
 from d
 """
 
-SQL: dict[str, str] = {"op3_exact_dedup": COPIES, "op8_mix_sources": MIX}
+# Five hex digits are four base-32 digits.
+ARCHIVE = """
+with p as (
+  select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as h,
+         min(page_id) over (partition by coalesce(html, '')) as first
+  from pages
+)
+select page_id, cast(payload_bytes as bigint) as payload_bytes,
+       array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         1 + cast((cast('0x' || substr(h, 5 * (i // 4) + 1, 5) as bigint) >> (15 - 5 * (i % 4))) & 31 as int), 1)
+         for i in range(0, 32)], '') as payload_digest,
+       case when page_id = first then 'response' else 'revisit' end as record_type,
+       case when page_id <> first then first end as refers_to
+from p
+"""
+
+SQL: dict[str, str] = {"op3_exact_dedup": COPIES, "op8_mix_sources": MIX, "op9_warc": ARCHIVE}
