@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caudal.llm import bpe, exact_dedup, mixing, secrets, simhash, warc
@@ -24,10 +24,13 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
-    n = {f"n_{k}": F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long") for k in secrets.KINDS[:3]}
+
+    def number(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
     return found.select(
         "doc_id",
-        *[c.alias(name) for name, c in n.items()],
+        *[number(kind) for kind in secrets.KINDS[:3]],
         F.sha2(secrets.written("spans", only_base=True), 256).alias("base_sha256"),
         secrets.written("spans").alias("spans"),
     )
