@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caudal.llm import bpe, exact_dedup, mixing, secrets, simhash, warc
+from caudal.llm import bpe, exact_dedup, mixing, quality, secrets, simhash, warc
 from caudal.llm.tables import table
 
 
@@ -40,6 +40,17 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    chain = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, chain).select(
+        "doc_id",
+        quality.held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= quality.KEEP).cast("int").alias("predicted"),
+    )
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -61,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_secret_scan": op2_secret_scan,
     "op3_exact_dedup": op3_exact_dedup,
+    "op6_line_quality": op6_line_quality,
     "op7_simhash": op7_simhash,
     "op8_mix_sources": op8_mix_sources,
     "op9_warc": op9_warc,
