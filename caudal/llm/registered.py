@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caudal.llm import bpe, exact_dedup, lm, mixing, quality, secrets, simhash, warc
+from caudal.llm import ann, bpe, exact_dedup, lm, mixing, quality, secrets, simhash, warc
 from caudal.llm.tables import table
 
 
@@ -40,6 +40,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op6_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     chain = quality.train(docs, table(spark, sf_dir, "labels"))
@@ -76,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_secret_scan": op2_secret_scan,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_hnsw": op4_hnsw,
     "op6_line_quality": op6_line_quality,
     "op7_simhash": op7_simhash,
     "op8_mix_sources": op8_mix_sources,
