@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caudal.llm import ann, bpe, exact_dedup, lm, mixing, quality, secrets, simhash, warc
+from caudal.llm import ann, bpe, exact_dedup, lm, mixing, quality, secrets, simhash, substring_dedup, warc
 from caudal.llm.tables import table
 
 
@@ -44,6 +44,17 @@ def op4_hnsw(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substring_dedup.repeats(table(spark, sf_dir, "documents"))
+    return rows.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op6_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     chain = quality.train(docs, table(spark, sf_dir, "labels"))
@@ -81,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scan": op2_secret_scan,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_hnsw": op4_hnsw,
+    "op5_suffix_dedup": op5_suffix_dedup,
     "op6_line_quality": op6_line_quality,
     "op7_simhash": op7_simhash,
     "op8_mix_sources": op8_mix_sources,
