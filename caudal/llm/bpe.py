@@ -13,7 +13,6 @@
 from __future__ import annotations
 
 import base64
-import hashlib
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
@@ -114,26 +113,13 @@ def encode_decode(
     ``pattern`` splits a text (null: empty) into pre-tokens, each encoded separately,
     without special tokens; ``decoded`` has the bytes of the ids. Empty texts have no
     ids. Rows that repeat an id, null ids and texts of any length each keep their own
-    row. Other columns are ignored.
+    row. Other columns are ignored. No rows: no rows.
     """
-    return _through_words(docs, vocabulary, pattern, block_chars, False)
-
-
-def digests(
-    docs: DataFrame, vocabulary: bytes, pattern: str, block_chars: int = blocks.BLOCK_CHARS
-) -> DataFrame:
-    """The same, with ``doc_id, n_tokens, ids_sha256, decoded_sha256`` instead of the bytes."""
-    return _through_words(docs, vocabulary, pattern, block_chars, True)
-
-
-def _through_words(
-    docs: DataFrame, vocabulary: bytes, pattern: str, block_chars: int, digest: bool
-) -> DataFrame:
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     shards = 4 * partitions
     shared = spark.sparkContext.broadcast(vocabulary)
-    id_type = docs.schema["doc_id"].dataType
+    id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).findall
@@ -214,25 +200,18 @@ def _through_words(
         begin = np.cumsum(length) - length
         data, begins = token_table(shared.value)
         stops = np.cumsum(counts)
-        out: list[tuple] = []
+        out: list[tuple[bytes, bytes]] = []
         for start, stop in zip(stops - counts, stops):
             code = codes[start:stop]
             doc_ids = flat[spans(begin[code], length[code])]
             text = data[spans(begins[doc_ids], begins[doc_ids + 1] - begins[doc_ids])].tobytes()
-            raw = doc_ids.tobytes()
-            if digest:
-                out.append((len(doc_ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(text).hexdigest()))
-            else:
-                out.append((raw, text))
-        kinds = (pa.int64(), pa.string(), pa.string()) if digest else (pa.binary(), pa.binary())
-        names = ("n_tokens", "ids_sha256", "decoded_sha256") if digest else ("ids", "decoded")
-        made = [pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)]
-        return pa.table([table.column("doc_id"), *made], names=["doc_id", *names])
-
-    rest = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" if digest else "ids binary, decoded binary"
+            out.append((doc_ids.tobytes(), text))
+        made = [pa.array([r[i] for r in out], pa.binary()) for i in range(2)]
+        return pa.table([table.column("doc_id"), *made], names=["doc_id", "ids", "decoded"])
+
     parts = docs.select("doc_id", whole_text().alias("text")).mapInArrow(tokenise, blocks.PARTS)
     answers = parts.repartition(partitions, "key").mapInArrow(encode, blocks.PARTS)
-    return answers.groupBy("block").applyInArrow(together, f"doc_id {id_type.simpleString()}, {rest}")
+    return answers.groupBy("block").applyInArrow(together, f"doc_id {id_type}, ids binary, decoded binary")
 
 
 def crc_key(block: int, shards: int) -> int:

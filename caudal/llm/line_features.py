@@ -69,15 +69,17 @@ def _counts(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.nd
     for k in range(1, 6):
         out[:, k - 1] = _sums(kind == k, begin, end)
     solid = np.concatenate(([False], kind > 0, [False]))
-    starts = np.flatnonzero(solid[1:] & ~solid[:-1])
-    stops = np.flatnonzero(solid[:-1] & ~solid[1:])
+    cut = np.zeros(len(data) + 1, bool)  # texts lie end to end: a word ends with its line
+    cut[begin] = cut[end] = True
+    starts = np.flatnonzero(solid[1:-1] & (~solid[:-2] | cut[:-1]))
+    stops = np.flatnonzero(solid[1:-1] & (~solid[2:] | cut[1:])) + 1
     sums, inverse = prefix_hashes(data)
     with np.errstate(over="ignore"):
         words = (sums[stops] - sums[starts]) * inverse[starts]
         whole = (sums[end] - sums[begin]) * inverse[begin]
-    again = np.concatenate(([False], (words[1:] == words[:-1]) & (stops[:-1] + 1 == starts[1:])))
-    again[1:] &= data[stops[:-1]] != 10
+    again = np.concatenate(([False], (words[1:] == words[:-1]) & (stops[:-1] + 1 == starts[1:])))[: len(words)]
     first, last = np.searchsorted(starts, begin), np.searchsorted(starts, end)
+    again[first[first < last]] = False
     out[:, 5] = last - first
     out[:, 6] = _sums(again, first, last)
     return out, whole

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from caudal.llm import crf
 from caudal.llm.line_features import WIDTH, features
@@ -58,7 +59,7 @@ def score(docs: DataFrame, chain: crf.Chain) -> DataFrame:
     """One row per document: ``doc_id, score``, from the whole text alone.
 
     Null and empty texts are one empty line. Ids may be null or repeat; other columns
-    are ignored.
+    are ignored. ``doc_id`` may be of any type, a whole row as well.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,5 +70,5 @@ def score(docs: DataFrame, chain: crf.Chain) -> DataFrame:
                 found = crf.scores(chain, rows, size, counts)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(found, pa.float64())], ["doc_id", "score"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, f"doc_id {kind}, score double")
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("score", T.DoubleType())])
+    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, schema)

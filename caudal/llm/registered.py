@@ -17,9 +17,18 @@ def vocabulary(path: str) -> bytes:
         return file.read()
 
 
+def digests(encoded: DataFrame) -> DataFrame:
+    return encoded.select(
+        "doc_id",
+        F.expr("octet_length(ids) div 4").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    return bpe.digests(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
+    return digests(bpe.encode_decode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN))
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from caudal.llm.components import connected
 from caudal.llm.tables import kept, whole_text
@@ -70,8 +71,8 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
             )
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks.view(np.int64))], ["doc_id", "fp"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, f"doc_id {kind}, fp bigint")
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), T.StructField("fp", T.LongType())])
+    return docs.select("doc_id", whole_text().alias("text")).mapInArrow(run, schema)
 
 
 def _bit(j: int) -> int:

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from caudal.llm import bpe, exact_dedup, mixing, simhash
 from caudal.llm.components import connected
-from caudal.llm.registered import vocabulary
+from caudal.llm.registered import op1_byte_bpe, vocabulary
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, size string, block string"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -66,7 +66,7 @@ def test_bpe_on_the_corpus(spark, ranks):
         ids = own.encode_ordinary(r["text"])
         raw = b"".join(i.to_bytes(4, "little") for i in ids)
         expected[r["doc_id"]] = (len(ids), hashlib.sha256(raw).hexdigest(), hashlib.sha256(r["text"].encode()).hexdigest())
-    made = bpe.digests(docs, ranks, public_tokenizers.PATTERN).collect()
+    made = op1_byte_bpe(spark, SF).collect()
     assert {r["doc_id"]: tuple(r)[1:] for r in made} == expected
 
 
@@ -185,7 +185,7 @@ def test_mixed_documents_come_in_whole_copies(spark):
 
 def test_no_rows(spark, ranks):
     none = documents(spark, [])
-    assert bpe.digests(none, ranks, public_tokenizers.PATTERN).count() == 0
+    assert bpe.encode_decode(none, ranks, public_tokenizers.PATTERN).count() == 0
     assert exact_dedup.duplicates(none).count() == 0
     assert simhash.near_duplicates(none).count() == 0
     assert mixing.schedule(none).count() == 0
