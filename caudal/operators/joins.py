@@ -18,78 +18,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HOT_SHARE = 0.005
-_TRACKED = 2048
-_SKETCH_GROUPS = 256
-
-
-def hot_keys(facts: DataFrame, key: str, share: float = HOT_SHARE) -> DataFrame:
-    """Hashes of the keys holding more than ``share`` of the rows: at most 1/share.
-
-    One pass over the key column with mergeable frequent-items sketches, no
-    shuffle of the rows. Map tasks are merged in groups, side by side, and only the
-    groups' lists of 1/share items each come together. A key near the limit may be
-    missed or added, and two keys may share a hash: that changes the balance of a
-    salted join, never its result.
-    """
-    most = int(1 / share)
-    groups = (
-        facts.filter(F.col(key).isNotNull())
-        .select(
-            F.xxhash64(key).alias("_h"),
-            F.pmod(F.spark_partition_id(), F.lit(_SKETCH_GROUPS)).alias("_g"),
-        )
-        .groupBy("_g")
-        .agg(
-            F.count(F.lit(1)).alias("_n"),
-            F.call_function("approx_top_k", F.col("_h"), F.lit(most), F.lit(_TRACKED)).alias("_top"),
-        )
-    )
-    lists = groups.agg(F.sum("_n").alias("_n"), F.flatten(F.collect_list("_top")).alias("_top"))
-    return (
-        lists.select("_n", F.explode("_top").alias("_t"))
-        .groupBy(F.col("_t.item").alias("_hot"))
-        .agg(F.sum("_t.count").alias("_c"), F.max("_n").alias("_n"))
-        .filter(F.col("_c") > F.col("_n") * F.lit(share))
-        .select("_hot")
-    )
 
 
 def salted_lookup(
     facts: DataFrame,
     lookup: DataFrame,
-    key: str,
+    keys: Sequence[str],
+    weight: str,
     spread: Sequence[str],
     how: str = "inner",
     share: float = HOT_SHARE,
     splits: int | None = None,
-    also: Sequence[str] = (),
 ) -> DataFrame:
-    """Join many rows to one lookup row per key (and ``also``), splitting the hot keys.
-
-    Rows of a hot key are spread over ``splits`` salts by a hash of ``spread``
-    (the row's id: the salt of a row is the same on every attempt); the lookup
-    rows of just these keys, 1/share at most, are repeated once per salt. All
-    other keys keep salt 0 and are shuffled as in a plain join.
+    """Join many rows to one lookup row per ``keys``, splitting the hot keys.
+
+    ``weight`` is the lookup's exact count of fact rows for each key: a key with more
+    than ``share`` of their sum is hot, so there are 1/share hot keys at most and both
+    sides agree on them. Rows of a hot key are spread over ``splits`` salts by a hash
+    of ``spread`` (the row's id: the same on every attempt), its lookup row is
+    repeated once per salt. All other keys keep salt 0 and are shuffled as in a plain
+    join. Fact rows whose key the lookup lacks are not hot.
     """
     if how not in ("inner", "left"):
         raise ValueError(f"salted_lookup joins inner or left, not {how}")
     if splits is None:
         splits = int(facts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    limit = lookup.agg(F.sum(weight) * F.lit(share)).scalar()
+    is_hot = F.col(weight) > limit
     # 1/share rows at most, so the broadcast has a fixed bound.
-    hot = F.broadcast(hot_keys(facts, key, share))
-    hashed = F.xxhash64(key) == F.col("_hot")
-    is_hot = F.col("_hot").isNotNull()
-    left = facts.join(hot, hashed, "left").withColumn(
-        "_salt",
-        F.when(is_hot, F.pmod(F.xxhash64(*spread), F.lit(splits)).cast("int")).otherwise(F.lit(0)),
-    )
-    right = lookup.join(hot, hashed, "left").withColumn(
-        "_salt",
-        F.explode(
-            F.when(is_hot, F.sequence(F.lit(0), F.lit(splits - 1))).otherwise(F.array(F.lit(0)))
-        ),
+    hot = F.broadcast(lookup.filter(is_hot).select(*keys, F.lit(True).alias("_hot")))
+    salt = F.pmod(F.xxhash64(*spread), F.lit(splits)).cast("int")
+    left = facts.join(hot, list(keys), "left").withColumn(
+        "_salt", F.when(F.col("_hot"), salt).otherwise(F.lit(0))
     )
-    return left.drop("_hot").join(right.drop("_hot"), [key, *also, "_salt"], how).drop("_salt")
+    salts = F.when(is_hot, F.sequence(F.lit(0), F.lit(splits - 1))).otherwise(F.array(F.lit(0)))
+    right = lookup.withColumn("_salt", F.explode(salts)).drop(weight)
+    return left.drop("_hot").join(right, [*keys, "_salt"], how).drop("_salt")
 
 
 def orphans(child: DataFrame, key: str, parent: DataFrame, parent_key: str | None = None) -> DataFrame:

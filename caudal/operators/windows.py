@@ -22,6 +22,12 @@ _OPENS, _ENTERS, _LEAVES, _LEAVES_CARRIED = 0, 1, 2, 3
 
 # Buckets as wide as this many windows: few, but not tiny, window groups.
 _WINDOWS_PER_BUCKET = 24
+_DAY_SECONDS = 86_400
+
+
+def _bucket_seconds(seconds: int) -> int:
+    """A bucket is as wide as the window at least, and no wider than a day beyond that."""
+    return max(seconds, min(seconds * _WINDOWS_PER_BUCKET, _DAY_SECONDS))
 
 
 def _sweep(
@@ -99,18 +105,18 @@ def trailing_totals(
     ts: str,
     value: str | None = None,
     seconds: int = 3600,
-    subsecond: bool = False,
 ) -> DataFrame:
     """Per key and instant: rows and sum of ``value`` over [ts - seconds, ts].
 
     Returns ``keys, ts, n_tx`` (rows at that instant), ``n_ventana`` and, where a
-    value is named, ``suma_ventana``; both ends of the window count.
-
-    Timestamps of whole seconds are swept in buckets of 24 windows (a day for an
-    hour), so a group has at most ``2 * 24 * seconds`` rows. With ``subsecond``
-    whole seconds are summed first in just that way and instants only inside their
-    second, so a group has at most two million rows (microseconds entering and
-    leaving), however hot the key.
+    value is named, ``suma_ventana``; both ends of the window count, to the
+    microsecond.
+
+    Two sweeps: whole seconds are summed in buckets of at most 24 windows and at most
+    a day (or one window, if that is longer), so a group has at most
+    ``2 * max(86,400, seconds)`` rows; instants only inside their second, so a group
+    has at most two million rows (microseconds entering and leaving), however hot
+    the key.
     """
     totals = {"_n": F.count(F.lit(1))}
     scale = 0
@@ -124,24 +130,15 @@ def trailing_totals(
         .withColumn("_t", micros(ts))
         .withColumn("_s", floor_div(F.col("_t"), _SECOND))
     )
-    per_second = instants
-    if subsecond:
-        per_second = instants.groupBy(*keys, "_s").agg(*[F.sum(c).alias(c) for c in totals])
-    swept = _sweep(
-        per_second.select(*keys, F.col("_s").alias("_t"), *totals),
-        keys, seconds, seconds * _WINDOWS_PER_BUCKET,
+    per_second = instants.groupBy(*keys, "_s").agg(*[F.sum(c).alias(c) for c in totals])
+    swept = _sweep(per_second.select(*keys, F.col("_s").alias("_t"), *totals), keys, seconds, _bucket_seconds(seconds))
+    before = swept.select(
+        *keys,
+        F.col("_t").alias("_b"),
+        *[(F.col(f"{c}_ventana") - F.col(c)).alias(c) for c in totals],
     )
-    instant = F.timestamp_seconds("_t")
-    if subsecond:
-        before = swept.select(
-            *keys,
-            F.col("_t").alias("_b"),
-            *[(F.col(f"{c}_ventana") - F.col(c)).alias(c) for c in totals],
-        )
-        swept = _sweep(
-            instants.select(*keys, "_t", *totals), keys, seconds * _SECOND, _SECOND, before
-        )
-        instant = F.timestamp_micros("_t")
+    swept = _sweep(instants.select(*keys, "_t", *totals), keys, seconds * _SECOND, _SECOND, before)
+    instant = F.timestamp_micros("_t")
     result = [
         *keys,
         instant.cast(tx.schema[ts].dataType).alias(ts),

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caudal.operators.joins import salted_lookup
@@ -27,56 +28,73 @@ def _per_client(currency: str | None) -> list[str]:
     return ["cliente_id", currency] if currency else ["cliente_id"]
 
 
+def _usual(tx: DataFrame, keys: list[str]) -> DataFrame:
+    """Mean, deviation and number of a client's amounts, aggregated map-side first."""
+    amount = F.col("monto").cast("double")
+    return tx.groupBy(*keys).agg(
+        F.avg(amount).alias("_media"),
+        F.stddev_samp(amount).alias("_desv"),
+        F.count(F.lit(1)).alias("_filas"),
+    )
+
+
+def _deviations(rows: DataFrame, usual: DataFrame, keys: list[str], spread: list[str]) -> DataFrame:
+    """``rows`` with ``z``; clients with a single transaction or equal amounts have none.
+
+    Joined back with the hot clients salted: a window over the client would put each
+    client's whole history into one task.
+    """
+    z = (F.col("monto").cast("double") - F.col("_media")) / F.col("_desv")
+    varied = usual.filter(F.col("_desv") > 0)
+    return salted_lookup(rows, varied, keys, "_filas", spread).withColumn("z", z).drop("_media", "_desv")
+
+
 def unusual_amounts(
     tx: DataFrame, threshold: float = 3.0, currency: str | None = None
 ) -> DataFrame:
-    """Transactions whose amount lies more than ``threshold`` deviations above the client's mean.
-
-    Clients with a single transaction or equal amounts have no deviation and no
-    flag. Mean and deviation are aggregated (map-side first) and joined back with
-    the hot clients salted; a window over the client would put each client's whole
-    history into one task.
-    """
+    """Transactions whose amount lies more than ``threshold`` deviations above the client's mean."""
     keys = _per_client(currency)
-    amount = F.col("monto").cast("double")
-    usual = (
-        tx.groupBy(*keys)
-        .agg(F.avg(amount).alias("_media"), F.stddev_samp(amount).alias("_desv"))
-        .filter(F.col("_desv") > 0)
-    )
-    return (
-        salted_lookup(tx, usual, "cliente_id", ["transaccion_id"], also=keys[1:])
-        .withColumn("z", (amount - F.col("_media")) / F.col("_desv"))
-        .filter(F.col("z") > F.lit(threshold))
-        .drop("_media", "_desv")
-    )
+    return _deviations(tx, _usual(tx, keys), keys, ["transaccion_id"]).filter(F.col("z") > F.lit(threshold))
 
 
 def bursts(
-    tx: DataFrame,
-    seconds: int = 3600,
-    at_least: int = 2,
-    currency: str | None = None,
-    subsecond: bool = False,
+    tx: DataFrame, seconds: int = 3600, at_least: int = 2, currency: str | None = None
 ) -> DataFrame:
-    """Instants with at least two transactions in the trailing hour, and their sum.
-
-    Pass ``subsecond`` where timestamps are finer than whole seconds.
-    """
-    totals = trailing_totals(tx, _per_client(currency), "timestamp_tx", "monto", seconds, subsecond)
+    """Instants with at least two transactions in the trailing hour, and their sum."""
+    totals = trailing_totals(tx, _per_client(currency), "timestamp_tx", "monto", seconds)
     return totals.filter(F.col("n_ventana") >= at_least)
 
 
-def _frequency(tx: DataFrame, seconds: int, subsecond: bool) -> DataFrame:
+def _frequency(tx: DataFrame, seconds: int) -> DataFrame:
     """Transactions in the trailing hour, whatever their currency; no sum of amounts."""
-    return trailing_totals(tx, ["cliente_id"], "timestamp_tx", None, seconds, subsecond)
+    return trailing_totals(tx, ["cliente_id"], "timestamp_tx", None, seconds)
 
 
-def fast_sequences(
-    tx: DataFrame, seconds: int = 3600, at_least: int = 3, subsecond: bool = False
-) -> DataFrame:
+def fast_sequences(tx: DataFrame, seconds: int = 3600, at_least: int = 3) -> DataFrame:
     """Instants whose trailing hour holds at least ``at_least`` transactions."""
-    return _frequency(tx, seconds, subsecond).filter(F.col("n_ventana") >= at_least)
+    return _frequency(tx, seconds).filter(F.col("n_ventana") >= at_least)
+
+
+def transactions_at(tx: DataFrame, flagged: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The transactions behind flagged instants, one row each, with the instants' columns.
+
+    ``flagged`` has one row per ``keys``; both sides are shuffles of their own, so
+    adaptive execution splits an instant with very many transactions.
+    """
+    return tx.join(flagged.drop("n_tx"), list(keys))
+
+
+def burst_transactions(tx: DataFrame, currency: str | None = None, **limits) -> DataFrame:
+    keys = [*_per_client(currency), "timestamp_tx"]
+    return transactions_at(tx, bursts(tx, currency=currency, **limits), keys)
+
+
+def fast_transactions(tx: DataFrame, **limits) -> DataFrame:
+    return transactions_at(tx, fast_sequences(tx, **limits), ["cliente_id", "timestamp_tx"])
+
+
+def travel_transactions(tx: DataFrame, **limits) -> DataFrame:
+    return transactions_at(tx, impossible_travel(tx, **limits), ["cuenta_id", "timestamp_tx", "pais_tx"])
 
 
 def foreign_share(tx: DataFrame, owners: DataFrame) -> DataFrame:
@@ -119,40 +137,31 @@ def impossible_travel(tx: DataFrame, within_seconds: int = _DAY) -> DataFrame:
 def amount_rate(
     tx: DataFrame, threshold: float = 3.0, currency: str | None = None
 ) -> DataFrame:
-    """Share of a client's transactions that ``unusual_amounts`` would flag.
+    """Share of a client's transactions that ``unusual_amounts`` flags.
 
-    Works on distinct amounts per client with their counts. Money has two decimals
-    and a bounded range (the ``range`` rule), so even the hottest client has a few
-    million of them at most and a window over the client is safe; a single
-    distinct amount has no deviation.
+    The same mean and deviation, joined with the client's distinct amounts and their
+    counts.
     """
-    amount = F.col("monto").cast("double")
-    client = Window.partitionBy(*_per_client(currency))
-    counted = tx.groupBy(*_per_client(currency), "monto").agg(F.count(F.lit(1)).alias("_n"))
-    total, s1 = F.col("_total"), F.col("_s1")
-    deviation = F.sqrt((F.col("_s2") - s1 * s1 / total) / (total - 1))
-    unusual = (F.col("_distintos") > 1) & (amount - s1 / total > F.lit(threshold) * deviation)
-    return (
-        counted.withColumns(
-            {
-                "_total": F.sum("_n").over(client),
-                "_s1": F.sum(F.col("_n") * amount).over(client),
-                "_s2": F.sum(F.col("_n") * amount * amount).over(client),
-                "_distintos": F.count(F.lit(1)).over(client),
-            }
-        )
+    keys = _per_client(currency)
+    usual = _usual(tx, keys)
+    amounts = tx.groupBy(*keys, "monto").agg(F.count(F.lit(1)).alias("_n"))
+    unusual = (
+        _deviations(amounts, usual, keys, ["monto"])
+        .filter(F.col("z") > F.lit(threshold))
         .groupBy("cliente_id")
-        .agg((F.sum(F.when(unusual, F.col("_n")).otherwise(0)) / F.sum("_n")).alias("tasa_monto"))
+        .agg(F.sum("_n").alias("_raros"))
+    )
+    every = usual.groupBy("cliente_id").agg(F.sum("_filas").alias("_todos"))
+    return every.join(unusual, "cliente_id", "left").select(
+        "cliente_id", (F.coalesce("_raros", F.lit(0)) / F.col("_todos")).alias("tasa_monto")
     )
 
 
-def velocity_rate(
-    tx: DataFrame, seconds: int = 3600, at_least: int = 3, subsecond: bool = False
-) -> DataFrame:
+def velocity_rate(tx: DataFrame, seconds: int = 3600, at_least: int = 3) -> DataFrame:
     """Flagged and own transactions come out of the same window result: no join back."""
     fast = F.when(F.col("n_ventana") >= at_least, F.col("n_tx")).otherwise(0)
     return (
-        _frequency(tx, seconds, subsecond)
+        _frequency(tx, seconds)
         .groupBy("cliente_id")
         .agg((F.sum(fast) / F.sum("n_tx")).alias("tasa_frecuencia"))
     )

@@ -384,11 +384,35 @@ def fraud_amount(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def fraud_burst(spark: SparkSession, sf: str) -> DataFrame:
-    return _plain(fraud.bursts(stand_ins.event_tx(spark, sf), subsecond=True))
+    return _plain(fraud.bursts(stand_ins.event_tx(spark, sf)))
 
 
 def fraud_velocity(spark: SparkSession, sf: str) -> DataFrame:
-    return fraud.fast_sequences(stand_ins.event_tx(spark, sf), subsecond=True)
+    return fraud.fast_sequences(stand_ins.event_tx(spark, sf))
+
+
+def fraud_burst_tx(spark: SparkSession, sf: str) -> DataFrame:
+    flagged = fraud.burst_transactions(stand_ins.event_tx(spark, sf))
+    return _plain(
+        flagged.select("transaccion_id", "cliente_id", "timestamp_tx", "monto", "n_ventana", "suma_ventana")
+    )
+
+
+def fraud_velocity_tx(spark: SparkSession, sf: str) -> DataFrame:
+    flagged = fraud.fast_transactions(stand_ins.event_tx(spark, sf))
+    return flagged.select("transaccion_id", "cliente_id", "timestamp_tx", "n_ventana")
+
+
+def fraud_travel_tx(spark: SparkSession, sf: str) -> DataFrame:
+    flagged = fraud.travel_transactions(stand_ins.lineitem_tx_abroad(spark, sf))
+    return flagged.select(
+        "transaccion_id", "cuenta_id", "timestamp_tx", "pais_tx", "timestamp_tx_previo", "pais_tx_previo"
+    )
+
+
+def fraud_amount_rate(spark: SparkSession, sf: str) -> DataFrame:
+    rates = fraud.amount_rate(stand_ins.event_tx(spark, sf))
+    return rates.select("cliente_id", F.round("tasa_monto", 6).alias("tasa_monto"))
 
 
 def fraud_geo(spark: SparkSession, sf: str) -> DataFrame:
@@ -409,7 +433,7 @@ def fraud_score(spark: SparkSession, sf: str) -> DataFrame:
         clientes,
         fraud.amount_rate(owned, AMOUNT_THRESHOLD),
         fraud.foreign_share(stand_ins.lineitem_tx_abroad(spark, sf), owners),
-        fraud.velocity_rate(stand_ins.event_tx(spark, sf), subsecond=True),
+        fraud.velocity_rate(stand_ins.event_tx(spark, sf)),
     )
 
 
@@ -491,6 +515,10 @@ QUERIES: dict[str, Query] = {
     "fraud_amount": fraud_amount,
     "fraud_burst": fraud_burst,
     "fraud_velocity": fraud_velocity,
+    "fraud_burst_tx": fraud_burst_tx,
+    "fraud_velocity_tx": fraud_velocity_tx,
+    "fraud_travel_tx": fraud_travel_tx,
+    "fraud_amount_rate": fraud_amount_rate,
     "fraud_geo": fraud_geo,
     "fraud_travel": fraud_travel,
     "fraud_score": fraud_score,

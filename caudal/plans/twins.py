@@ -296,6 +296,34 @@ from (select user_id as cliente_id, ts as timestamp_tx,
       range between interval 1 hour preceding and current row) as n_ventana
   from events)
 where n_ventana >= 3 group by 1, 2""",
+    "fraud_burst_tx": f"""
+select * from (select event_id as transaccion_id, user_id as cliente_id, ts as timestamp_tx, value as monto,
+    count(*) over w as n_ventana, cast(sum({_dec('value')}) over w as double) as suma_ventana
+  from events window w as (partition by user_id order by ts
+    range between interval 1 hour preceding and current row))
+where n_ventana >= 2""",
+    "fraud_velocity_tx": """
+select * from (select event_id as transaccion_id, user_id as cliente_id, ts as timestamp_tx,
+    count(*) over (partition by user_id order by ts
+      range between interval 1 hour preceding and current row) as n_ventana
+  from events)
+where n_ventana >= 3""",
+    "fraud_travel_tx": f"""
+with points as (
+  select distinct l_orderkey as cuenta_id, l_shipdate as timestamp_tx, n_name as pais_tx
+  from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey),
+seen as (
+  select *, lag(timestamp_tx) over w as timestamp_tx_previo, lag(pais_tx) over w as pais_tx_previo
+  from points window w as (partition by cuenta_id order by timestamp_tx, pais_tx))
+select {_TX_ID} as transaccion_id, cuenta_id, timestamp_tx, pais_tx, timestamp_tx_previo, pais_tx_previo
+from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey
+join seen on cuenta_id = l_orderkey and timestamp_tx = l_shipdate and pais_tx = n_name
+where pais_tx <> pais_tx_previo and timestamp_tx - timestamp_tx_previo <= interval 1 day""",
+    "fraud_amount_rate": """
+select user_id as cliente_id,
+  round(count(*) filter (where value > a + 3 * s) / cast(count(*) as double), 6) as tasa_monto
+from (select user_id, value, avg(value) over w as a, stddev_samp(value) over w as s
+  from events window w as (partition by user_id)) group by 1""",
     "fraud_geo": """
 select o_custkey as cliente_id, count(*) as n_tx,
   count(*) filter (where s_nationkey <> c_nationkey) as n_fuera,

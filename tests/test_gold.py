@@ -162,6 +162,14 @@ def test_amount_flags(spark):
     ]
 
 
+def test_the_rate_agrees_with_the_flags_for_large_amounts(spark):
+    data = [("c", "a", f"2022-01-{d:02d}T00:00:00", f"9000000{'00' if d % 2 else '01'}.00") for d in range(1, 31)]
+    data += [("c", "a", "2022-01-31T00:00:00", "900000005.00")]
+    tx = transactions(spark, data)
+    assert fraud.unusual_amounts(tx).count() == 1
+    assert rows(fraud.amount_rate(tx), "tasa_monto") == [(pytest.approx(1 / 31),)]
+
+
 def test_bursts_and_frequency(spark):
     tx = transactions(
         spark,
