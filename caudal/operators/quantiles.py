@@ -2,8 +2,8 @@
 
 Spark's exact ``percentile`` keeps every distinct value of a group in one
 aggregation buffer and ``ntile`` sorts a group in one task; both fail once a
-month holds all clients. Here a sketch brackets each quantile first, and only the
-values inside the bracket are ranked.
+month holds all clients. Here a sketch cuts the values into parts first, and only the
+parts that hold a quantile are ranked, in the same way for every size of group.
 """
 
 from __future__ import annotations
@@ -21,72 +21,60 @@ def exact_quantiles(
     by: Sequence[str],
     value: str,
     probs: Sequence[float] = QUARTILES,
-    accuracy: int = 1000,
-    small: int = 100_000,
+    accuracy: int = 10_000,
 ) -> DataFrame:
     """One row per ``by`` with ``cuts``: the linearly interpolated quantiles.
 
     ``by`` must be a domain that does not grow with the rows (calendar months,
-    currencies, metric names): its brackets are broadcast. A group of at most ``small`` rows
-    is ranked whole; in a larger one the sketch is off by 1/accuracy of the rows
-    at most, the bracket takes three times that on either side, and equal values
-    are counted before they are ranked. If a bracket ever missed its quantile the
-    query would fail rather than return a wrong cut.
+    currencies, metric names): its bounds are broadcast. A sketch puts two bounds
+    around each quantile, the rows between bounds are counted, and only the values
+    between the bounds that hold a wanted rank are ranked, equal ones counted first.
+    The sketch decides how many values that is (six in ``accuracy`` for a quantile),
+    never which value comes out: a bound that is off makes its neighbour the part
+    that is ranked.
     """
     values = df.select(*by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
     slack = 3.0 / accuracy
-    lows = [max(p - slack, 0.0) for p in probs]
-    highs = [min(p + slack, 1.0) for p in probs]
-    sketch = values.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.min("_v").alias("_min"),
-        F.max("_v").alias("_max"),
-        F.percentile_approx("_v", [*lows, *highs], accuracy).alias("_q"),
+    marks = sorted({m for p in probs for m in (max(p - slack, 0.0), min(p + slack, 1.0))})
+    bounds = values.groupBy(*by).agg(F.percentile_approx("_v", marks, accuracy).alias("_bounds"))
+    part = sum(((F.col("_bounds")[i] < F.col("_v")).cast("int") for i in range(len(marks))), F.lit(0))
+    placed = values.join(F.broadcast(bounds), list(by)).select(*by, "_v", part.alias("_part"))
+
+    # A row per group and part: counts before the part, and the ranks wanted in it.
+    whole = Window.partitionBy(*by)
+    sizes = placed.groupBy(*by, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    upto = F.sum("_n").over(whole.orderBy("_part"))
+    ranks = [
+        F.struct(F.lit(i).alias("i"), position.alias("pos"), rank(position).cast("bigint").alias("rank"))
+        for i, p in enumerate(probs)
+        for position in [F.lit(float(p)) * (F.sum("_n").over(whole) - 1)]
+        for rank in (F.floor, F.ceil)
+    ]
+    wanted = (
+        sizes.select(*by, "_part", (upto - F.col("_n")).alias("_before"), upto.alias("_upto"), F.array(*ranks).alias("_w"))
+        .select(*by, "_part", "_before", "_upto", F.explode("_w").alias("_w"))
+        .select(*by, "_part", "_before", "_upto", "_w.*")
+        .filter((F.col("_before") <= F.col("rank")) & (F.col("rank") < F.col("_upto")))
+        .drop("_upto")
+        .distinct()
     )
-    whole = F.col("_n") <= F.lit(small)
-    brackets = sketch.select(
-        *by,
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(i).alias("i"),
-                        (F.lit(float(p)) * (F.col("_n") - 1)).alias("pos"),
-                        F.when(whole, F.col("_min")).otherwise(F.col("_q")[i]).alias("lo"),
-                        F.when(whole, F.col("_max")).otherwise(F.col("_q")[i + len(probs)]).alias("hi"),
-                    )
-                    for i, p in enumerate(probs)
-                ]
-            )
-        ).alias("_b"),
-    ).select(*by, "_b.*")
-    # Everything below a bracket becomes one counted row per map task; above is dropped.
+    parts = wanted.select(*by, "_part", "_before").distinct()
     counted = (
-        values.join(F.broadcast(brackets), list(by))
-        .filter(F.col("_v") <= F.col("hi"))
-        .groupBy(*by, "i", "pos", F.when(F.col("_v") >= F.col("lo"), F.col("_v")).alias("_c"))
+        placed.join(F.broadcast(parts), [*by, "_part"])
+        .groupBy(*by, "_part", "_before", "_v")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    ranked = Window.partitionBy(*by, "i").orderBy(F.col("_c").asc_nulls_first())
-    upto = counted.withColumn(
-        "_upto", F.sum("_n").over(ranked.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = Window.partitionBy(*by, "_part").orderBy("_v")
+    found = (
+        counted.withColumn("_upto", F.col("_before") + F.sum("_n").over(ranked))
+        .join(F.broadcast(wanted.drop("_before")), [*by, "_part"])
+        .filter(F.col("_upto") > F.col("rank"))
+        .groupBy(*by, "i", "pos", "rank")
+        .agg(F.min("_v").alias("_v"))
     )
-
-    def value_at(rank: Column) -> Column:
-        return F.min(F.when(F.col("_upto") > rank, F.coalesce("_c", F.lit(float("-inf")))))
-
-    low = value_at(F.floor("pos"))
-    high = value_at(F.ceil("pos"))
-    cuts = (
-        upto.groupBy(*by, "i", "pos")
-        .agg(low.alias("lo"), high.alias("hi"))
-        .withColumn(
-            "cut",
-            F.when(
-                F.col("hi").isNull() | (F.col("lo") == F.lit(float("-inf"))),
-                F.raise_error(F.lit("quantile outside its bracket")).cast("double"),
-            ).otherwise(F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("pos") - F.floor("pos"))),
-        )
+    low, high = F.min_by("_v", "rank"), F.max_by("_v", "rank")
+    cuts = found.groupBy(*by, "i", "pos").agg(
+        (low + (high - low) * (F.col("pos") - F.floor("pos"))).alias("cut")
     )
     return cuts.groupBy(*by).agg(
         F.transform(

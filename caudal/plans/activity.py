@@ -2,6 +2,9 @@
 
 ``as_of`` is a date or timestamp literal; without it the newest transaction counts
 as today. Rows after it are ignored.
+
+Metrics per client take transactions or, in their place, rows per client and day
+(``as_movements``): those are what a large pipeline reads again and again.
 """
 
 from __future__ import annotations
@@ -28,11 +31,32 @@ def cut_off(tx: DataFrame, as_of: AsOf) -> Column:
     return F.lit(dt.datetime.combine(as_of, dt.time.max)).cast("timestamp_ntz")
 
 
+def _today(last: DataFrame, as_of: AsOf) -> Column:
+    """The reference instant, where it is not given from the maxima per key (``_ultimo``)."""
+    return last.agg(F.max("_ultimo")).scalar() if as_of is None else cut_off(last, as_of)
+
+
 def until(tx: DataFrame, as_of: AsOf) -> DataFrame:
     """Rows up to ``as_of``; without one all rows count and no filter is needed."""
     return tx if as_of is None else tx.filter(F.col("timestamp_tx") <= cut_off(tx, as_of))
 
 
+def movements(tx: DataFrame) -> Column:
+    """How many transactions a group of rows stands for."""
+    return F.sum("n_tx") if "n_tx" in tx.columns else F.count(F.lit(1))
+
+
+def as_movements(days: DataFrame) -> DataFrame:
+    """Rows per client and day in the shape of transactions, with their number ``n_tx``."""
+    return days.select(
+        "cliente_id",
+        F.col("fecha").cast("timestamp_ntz").alias("timestamp_tx"),
+        F.col("monto_total").alias("monto"),
+        "n_tx",
+        *[c for c in ("moneda",) if c in days.columns],
+    )
+
+
 # --- daily transactions -----------------------------------------------------
 
 def daily_by_client(
@@ -43,10 +67,21 @@ def daily_by_client(
     Aggregated before clients are joined, so a hot client arrives at the join as
     one row per day.
     """
-    days = tx.groupBy("cliente_id", F.to_date("timestamp_tx").alias("fecha"), *extra).agg(
+    days = _per_day(tx, ["cliente_id"], extra)
+    return days.join(clientes.select("cliente_id", "pais", "segmento"), "cliente_id").select(
+        "fecha", "pais", "segmento", *extra, "cliente_id", "n_tx", "monto_total"
+    )
+
+
+def _per_day(tx: DataFrame, keys: Sequence[str], extra: Sequence[str]) -> DataFrame:
+    return tx.groupBy(*keys, F.to_date("timestamp_tx").alias("fecha"), *extra).agg(
         F.count(F.lit(1)).alias("n_tx"), F.sum("monto").alias("monto_total")
     )
-    return days.join(clientes.select("cliente_id", "pais", "segmento"), "cliente_id").select(
+
+
+def daily_of_enriched(tx: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+    """``daily_by_client`` of rows that carry their client's country and segment: no join."""
+    return _per_day(tx, ["cliente_id", "pais", "segmento"], extra).select(
         "fecha", "pais", "segmento", *extra, "cliente_id", "n_tx", "monto_total"
     )
 
@@ -125,7 +160,7 @@ def dormant_accounts(
     """Accounts without movement for ``days`` or more, or without any at all."""
     last = until(tx, as_of).groupBy("cuenta_id").agg(F.max("timestamp_tx").alias("_ultimo"))
     accounts = cuentas.filter(F.col("estado").isin(*states)) if states else cuentas
-    idle = F.datediff(F.to_date(cut_off(tx, as_of)), F.to_date("_ultimo"))
+    idle = F.datediff(F.to_date(_today(last, as_of)), F.to_date("_ultimo"))
     return (
         accounts.select("cuenta_id", "cliente_id", "estado")
         .join(last, "cuenta_id", "left")
@@ -141,17 +176,13 @@ def dormant_accounts(
 
 def churn(tx: DataFrame, days: int = 90, as_of: AsOf = None) -> DataFrame:
     """Per client with transactions: last one, idle days, and whether the client left."""
-    idle = F.datediff(F.to_date(cut_off(tx, as_of)), F.to_date("_ultimo"))
-    return (
-        until(tx, as_of)
-        .groupBy("cliente_id")
-        .agg(F.max("timestamp_tx").alias("_ultimo"))
-        .select(
-            "cliente_id",
-            F.to_date("_ultimo").alias("ultimo_movimiento"),
-            idle.cast("bigint").alias("dias"),
-            (idle >= days).alias("churn"),
-        )
+    last = until(tx, as_of).groupBy("cliente_id").agg(F.max("timestamp_tx").alias("_ultimo"))
+    idle = F.datediff(F.to_date(_today(last, as_of)), F.to_date("_ultimo"))
+    return last.select(
+        "cliente_id",
+        F.to_date("_ultimo").alias("ultimo_movimiento"),
+        idle.cast("bigint").alias("dias"),
+        (idle >= days).alias("churn"),
     )
 
 
@@ -159,18 +190,18 @@ def churn(tx: DataFrame, days: int = 90, as_of: AsOf = None) -> DataFrame:
 
 def client_values(tx: DataFrame, as_of: AsOf = None, currency: str | None = None) -> DataFrame:
     """Per client: recency in days, number of transactions, total amount per currency."""
-    idle = F.datediff(F.to_date(cut_off(tx, as_of)), F.to_date(F.col("_ultimo"))).cast("bigint")
     moneda = F.col(currency) if currency else F.lit("")
     totals = (
         until(tx, as_of)
         .groupBy("cliente_id", *([currency] if currency else []))
         .agg(
             F.max("timestamp_tx").alias("_ultimo"),
-            F.count(F.lit(1)).alias("frecuencia"),
+            movements(tx).alias("frecuencia"),
             F.sum("monto").alias("monto"),
         )
         .withColumn("_m", F.struct(moneda.alias("moneda"), "monto"))
     )
+    idle = F.datediff(F.to_date(_today(totals, as_of)), F.to_date(F.col("_ultimo"))).cast("bigint")
     if currency:
         # At most one element per currency.
         totals = totals.groupBy("cliente_id").agg(
@@ -244,12 +275,7 @@ def finance_monthly(
 
     Summed per account and month before accounts are joined.
     """
-    sign = direction("tipo_tx", inflow)
-    per_account = tx.groupBy("cuenta_id", month_of("timestamp_tx").alias("mes")).agg(
-        F.count(F.lit(1)).alias("n_tx"),
-        F.sum(F.when(sign > 0, F.col("monto")).otherwise(0)).alias("entradas"),
-        F.sum(F.when(sign < 0, F.col("monto")).otherwise(0)).alias("salidas"),
-    )
+    per_account = _flows(tx, ["cuenta_id"], inflow)
     return (
         per_account.join(cuentas.select("cuenta_id", "moneda", "tipo_cuenta"), "cuenta_id")
         .groupBy("mes", "moneda", "tipo_cuenta")
@@ -262,6 +288,21 @@ def finance_monthly(
     )
 
 
+def _flows(tx: DataFrame, keys: Sequence[str], inflow: Sequence[str]) -> DataFrame:
+    sign = direction("tipo_tx", inflow)
+    return tx.groupBy(month_of("timestamp_tx").alias("mes"), *keys).agg(
+        F.count(F.lit(1)).alias("n_tx"),
+        F.sum(F.when(sign > 0, F.col("monto")).otherwise(0)).alias("entradas"),
+        F.sum(F.when(sign < 0, F.col("monto")).otherwise(0)).alias("salidas"),
+    )
+
+
+def finance_of_enriched(tx: DataFrame, inflow: Sequence[str] = domain.TIPOS_ENTRADA) -> DataFrame:
+    """``finance_monthly`` of rows that carry their account's currency and type: no join."""
+    flows = _flows(tx, ["moneda", "tipo_cuenta"], inflow)
+    return flows.withColumn("neto", F.col("entradas") - F.col("salidas"))
+
+
 def client_features(
     clientes: DataFrame, scored: DataFrame, dormant: DataFrame, left: DataFrame, segments: DataFrame
 ) -> DataFrame:

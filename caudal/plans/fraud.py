@@ -115,6 +115,15 @@ def foreign_share(tx: DataFrame, owners: DataFrame) -> DataFrame:
     )
 
 
+def foreign_share_of_enriched(tx: DataFrame) -> DataFrame:
+    """``foreign_share`` of rows that carry their client's country: no join."""
+    return (
+        tx.groupBy("cliente_id")
+        .agg(F.count(F.lit(1)).alias("n_tx"), F.count_if(F.col("pais_tx") != F.col("pais")).alias("n_fuera"))
+        .withColumn("proporcion_fuera", F.round(F.col("n_fuera") / F.col("n_tx"), 4))
+    )
+
+
 def impossible_travel(tx: DataFrame, within_seconds: int = _DAY) -> DataFrame:
     """An account seen in another country than in its transaction before, too soon after.
 

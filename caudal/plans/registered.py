@@ -6,6 +6,7 @@ double so that engines compare values alike.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -363,6 +364,16 @@ def daily_tx(spark: SparkSession, sf: str) -> DataFrame:
     return _plain(activity.daily(stand_ins.order_tx(spark, sf), stand_ins.clientes(spark, sf)))
 
 
+# A day within the test tables; later rows must not count.
+ORDERS_AS_OF = dt.date(1999, 6, 30)
+EVENTS_AS_OF = dt.date(2024, 1, 15)
+
+
+def daily_tx_as_of(spark: SparkSession, sf: str) -> DataFrame:
+    tx = activity.until(stand_ins.order_tx(spark, sf), ORDERS_AS_OF)
+    return _plain(activity.daily(tx, stand_ins.clientes(spark, sf)))
+
+
 def daily_tx_by_client(spark: SparkSession, sf: str) -> DataFrame:
     return _plain(activity.daily_by_client(stand_ins.order_tx(spark, sf), stand_ins.clientes(spark, sf)))
 
@@ -424,19 +435,26 @@ def fraud_travel(spark: SparkSession, sf: str) -> DataFrame:
     return fraud.impossible_travel(stand_ins.lineitem_tx_abroad(spark, sf))
 
 
-def fraud_score(spark: SparkSession, sf: str) -> DataFrame:
+def fraud_score(
+    spark: SparkSession, sf: str, as_of: dt.date | None = None, events_as_of: dt.date | None = None
+) -> DataFrame:
     clientes = stand_ins.clientes(spark, sf)
     cuentas = stand_ins.cuentas(spark, sf)
-    owned = stand_ins.lineitem_tx(spark, sf).join(cuentas.select("cuenta_id", "cliente_id"), "cuenta_id")
+    tx = activity.until(stand_ins.lineitem_tx(spark, sf), as_of)
+    owned = tx.join(cuentas.select("cuenta_id", "cliente_id"), "cuenta_id")
     owners = silver.account_owner(cuentas, clientes)
     return fraud.score(
         clientes,
         fraud.amount_rate(owned, AMOUNT_THRESHOLD),
-        fraud.foreign_share(stand_ins.lineitem_tx_abroad(spark, sf), owners),
-        fraud.velocity_rate(stand_ins.event_tx(spark, sf)),
+        fraud.foreign_share(activity.until(stand_ins.lineitem_tx_abroad(spark, sf), as_of), owners),
+        fraud.velocity_rate(activity.until(stand_ins.event_tx(spark, sf), events_as_of)),
     )
 
 
+def fraud_score_as_of(spark: SparkSession, sf: str) -> DataFrame:
+    return fraud_score(spark, sf, ORDERS_AS_OF, EVENTS_AS_OF)
+
+
 def fraud_top_clients(spark: SparkSession, sf: str) -> DataFrame:
     return fraud.top_clients(fraud_score(spark, sf), 20).select("cliente_id", "score")
 
@@ -463,19 +481,28 @@ def finance_monthly(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def client_features(spark: SparkSession, sf: str) -> DataFrame:
+def client_features(
+    spark: SparkSession, sf: str, as_of: dt.date | None = None, events_as_of: dt.date | None = None
+) -> DataFrame:
     orders = stand_ins.order_tx(spark, sf)
+    dormant = activity.dormant_accounts(
+        stand_ins.cuentas(spark, sf), stand_ins.lineitem_tx(spark, sf), as_of=as_of
+    )
     return _plain(
         activity.client_features(
             stand_ins.clientes(spark, sf),
-            fraud_score(spark, sf),
-            dormant_accounts(spark, sf),
-            activity.churn(orders),
-            activity.segmentation(orders),
+            fraud_score(spark, sf, as_of, events_as_of),
+            dormant,
+            activity.churn(orders, as_of=as_of),
+            activity.segmentation(orders, as_of),
         )
     )
 
 
+def client_features_as_of(spark: SparkSession, sf: str) -> DataFrame:
+    return client_features(spark, sf, ORDERS_AS_OF, EVENTS_AS_OF)
+
+
 QUERIES: dict[str, Query] = {
     "bronze_scan": bronze_scan,
     "json_extract": json_extract,
@@ -511,6 +538,7 @@ QUERIES: dict[str, Query] = {
     "foreign_candidates": foreign_candidates,
     "daily_tx": daily_tx,
     "daily_tx_by_client": daily_tx_by_client,
+    "daily_tx_as_of": daily_tx_as_of,
     "velocity_hourly": velocity_hourly,
     "fraud_amount": fraud_amount,
     "fraud_burst": fraud_burst,
@@ -522,6 +550,7 @@ QUERIES: dict[str, Query] = {
     "fraud_geo": fraud_geo,
     "fraud_travel": fraud_travel,
     "fraud_score": fraud_score,
+    "fraud_score_as_of": fraud_score_as_of,
     "fraud_top_clients": fraud_top_clients,
     "retention_by_volume": retention_by_volume,
     "dormant_accounts": dormant_accounts,
@@ -529,4 +558,5 @@ QUERIES: dict[str, Query] = {
     "segmentation": segmentation,
     "finance_monthly": finance_monthly,
     "client_features": client_features,
+    "client_features_as_of": client_features_as_of,
 }

@@ -96,6 +96,26 @@ bands as (
 segments as (select *, r * 100 + f * 10 + m as segmento_rfm from bands)
 """
 
+# The same over the rows up to a day; ages are counted from that day.
+_UNTIL = """
+orders_until as (select * from orders where o_orderdate < timestamp '1999-07-01'),
+lineitem_until as (select * from lineitem where l_shipdate < timestamp '1999-07-01'),
+events_until as (select * from events where ts < timestamp '2024-01-16')
+"""
+
+
+def _as_of(text: str) -> str:
+    """Facts cut at the day; accounts themselves (orders as accounts) are not facts."""
+    return (
+        text.replace("from lineitem join orders", "from lineitem_until join orders")
+        .replace("from lineitem group", "from lineitem_until group")
+        .replace("from events)", "from events_until)")
+        .replace("from orders group", "from orders_until group")
+        .replace("(select cast(max(l_shipdate) as date) from lineitem)", "date '1999-06-30'")
+        .replace("(select cast(max(o_orderdate) as date) from orders)", "date '1999-06-30'")
+    )
+
+
 SQL: dict[str, str] = {
     "bronze_scan": f"""
 select cast(o_orderkey as varchar) as o_orderkey, cast(o_custkey as varchar) as o_custkey, o_orderstatus,
@@ -266,6 +286,11 @@ select cast(o_orderdate as date) as fecha, n_name as pais, c_mktsegment as segme
   count(distinct o_custkey) as n_clientes, cast(sum({_dec('o_totalprice')}) as double) as monto_total
 from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey
 group by 1, 2, 3""",
+    "daily_tx_as_of": f"""
+select cast(o_orderdate as date) as fecha, n_name as pais, c_mktsegment as segmento, count(*) as n_tx,
+  count(distinct o_custkey) as n_clientes, cast(sum({_dec('o_totalprice')}) as double) as monto_total
+from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey
+where o_orderdate < timestamp '1999-07-01' group by 1, 2, 3""",
     "daily_tx_by_client": f"""
 select cast(o_orderdate as date) as fecha, n_name as pais, c_mktsegment as segmento,
   o_custkey as cliente_id, count(*) as n_tx, cast(sum({_dec('o_totalprice')}) as double) as monto_total
@@ -340,6 +365,7 @@ select * from (
   from points window w as (partition by cuenta_id order by timestamp_tx, pais_tx))
 where pais_tx <> pais_tx_previo and timestamp_tx - timestamp_tx_previo <= interval 1 day""",
     "fraud_score": f"with {_SCORE} select * from scored",
+    "fraud_score_as_of": f"with {_UNTIL}, {_as_of(_SCORE)} select * from scored",
     "fraud_top_clients": f"""
 with {_SCORE} select cliente_id, score from scored order by score desc, cliente_id limit 20""",
     "retention_by_volume": f"""
@@ -376,5 +402,16 @@ from customer join nation on c_nationkey = n_nationkey
 left join scored on scored.cliente_id = c_custkey
 left join sleeping on sleeping.cliente_id = c_custkey
 left join churned on churned.cliente_id = c_custkey
+left join segments on segments.cliente_id = c_custkey""",
+    "client_features_as_of": f"""
+with {_UNTIL}, {_as_of(_SCORE)}, {_as_of(_DORMANT)}, {_as_of(_CHURN)}, {_as_of(_SEGMENTS)},
+sleeping as (select cliente_id, count(*) as n from dormant where nunca or dias >= 30 group by 1)
+select c_custkey as cliente_id, n_name as pais, c_mktsegment as segmento, scored.score,
+  churned.dias >= 90 as churn, recencia, frecuencia, monto, segmento_rfm,
+  coalesce(sleeping.n, 0) as cuentas_dormidas
+from customer join nation on c_nationkey = n_nationkey
+left join scored on scored.cliente_id = c_custkey
+left join sleeping on sleeping.cliente_id = c_custkey
+left join churned on churned.cliente_id = c_custkey
 left join segments on segments.cliente_id = c_custkey""",
 }
