@@ -2,7 +2,7 @@
 
 Row rules are predicates that are true for a *failing* row; all rules of a table
 are counted in one aggregation (``count_failures``), and ``failing_rows`` returns
-the rows of one rule. Rules over keys (unique, relationships, pairs) count per key
+the rows that break any. Rules over keys (unique, relationships, pairs) count per key
 before they shuffle.
 """
 
@@ -16,17 +16,29 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from caudal.functions.values import key_matches
-from caudal.operators.joins import orphans
 
 REASONS = "motivos"
 
 
 # --- types ------------------------------------------------------------------
 
+# A date, and maybe a time of day after it; a cast alone would take "2022" for a date.
+_DAY = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?)?$"
+
+
 def _typed(name: str, kind: T.DataType) -> Column:
     text = F.trim(F.col(name))
     text = F.when(text != "", text)
-    return F.col(name) if isinstance(kind, T.StringType) else text.try_cast(kind)
+    if isinstance(kind, T.StringType):
+        return F.col(name)
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.when(text.rlike(_DAY), text).try_cast(kind)
+    value = text.try_cast(kind)
+    if isinstance(kind, T.DecimalType):
+        # A cast would round digits that the type can't hold.
+        finer = T.DecimalType(38, min(38 - kind.precision + kind.scale, kind.scale + 12))
+        return F.when(text.try_cast(finer) == value, value)
+    return value
 
 
 def validate_types(raw: DataFrame, schema: T.StructType, required: Sequence[str] = ()) -> DataFrame:
@@ -129,8 +141,16 @@ def count_failures(
     ).select("_c.*")
 
 
-def failing_rows(df: DataFrame, rule: Column) -> DataFrame:
-    return df.filter(rule)
+def failing_rows(df: DataFrame, rules: Mapping[str, Column], name: str = "reglas") -> DataFrame:
+    """Rows that break a rule, with the list of the rules they break."""
+    broken = F.array_compact(F.array(*[F.when(rule, F.lit(check)) for check, rule in rules.items()]))
+    return df.withColumn(name, broken).filter(F.size(name) > 0)
+
+
+def exceeding(report: DataFrame, limits: Mapping[str, float]) -> DataFrame:
+    """Checks of a report whose share of failed rows is above their limit."""
+    limit = F.coalesce(*[F.when(F.col("check") == check, F.lit(share)) for check, share in limits.items()])
+    return report.withColumn("limite", limit).filter(F.col("n_failed") > F.col("limite") * F.col("n_rows"))
 
 
 # --- rules over keys --------------------------------------------------------
@@ -149,28 +169,32 @@ def count_repeated(df: DataFrame, keys: Sequence[str], check: str) -> DataFrame:
     ).select(F.lit(check).alias("check"), "n_rows", "n_failed")
 
 
-def count_orphans(
-    child: DataFrame, key: str, parent: DataFrame, check: str, parent_key: str | None = None
+def count_against(
+    rows: DataFrame, keys: Sequence[str], lookups: Sequence[tuple[DataFrame, Sequence[str], str]], rules: Mapping[str, Column]
 ) -> DataFrame:
-    lost = orphans(child, key, parent, parent_key).agg(F.coalesce(F.sum("n_rows"), F.lit(0))).scalar()
-    return child.agg(F.count(F.lit(1)).alias("n_rows")).select(
-        F.lit(check).alias("check"), "n_rows", lost.alias("n_failed")
-    )
+    """(check, n_rows, n_failed) of rules that look keys up in other tables.
+
+    ``rows`` are counted per ``keys`` once, so a hot key is a few rows when it is
+    joined. Each lookup is a table unique in the columns it is joined on, those
+    columns, and the name of the flag that is true where it has them.
+    """
+    counted = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_w"))
+    for table, on, flag in lookups:
+        counted = counted.join(table.withColumn(flag, F.lit(True)), list(on), "left")
+    return count_failures(counted, rules, "_w")
 
 
-def pairs_outside(df: DataFrame, pair: Sequence[str], seed: DataFrame) -> DataFrame:
-    """Pairs not in the seed, one row per pair with its number of rows."""
-    complete = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in pair])
-    return (
-        df.filter(complete)
-        .groupBy(*pair)
-        .agg(F.count(F.lit(1)).alias("n_rows"))
-        .join(seed.select(*pair), list(pair), "left_anti")
-    )
+def lost(keys: Sequence[str], flag: str) -> Column:
+    """All key columns hold a value, and the looked-up table doesn't have them."""
+    return reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]) & F.col(flag).isNull()
+
+
+def count_orphans(
+    child: DataFrame, key: str, parent: DataFrame, check: str, parent_key: str | None = None
+) -> DataFrame:
+    parents = parent.select(F.col(parent_key or key).alias(key))
+    return count_against(child, [key], [(parents, [key], "_hay")], {check: lost([key], "_hay")})
 
 
 def count_pairs_outside(df: DataFrame, pair: Sequence[str], seed: DataFrame, check: str) -> DataFrame:
-    lost = pairs_outside(df, pair, seed).agg(F.coalesce(F.sum("n_rows"), F.lit(0))).scalar()
-    return df.agg(F.count(F.lit(1)).alias("n_rows")).select(
-        F.lit(check).alias("check"), "n_rows", lost.alias("n_failed")
-    )
+    return count_against(df, pair, [(seed.select(*pair), pair, "_hay")], {check: lost(pair, "_hay")})

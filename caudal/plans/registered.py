@@ -175,6 +175,28 @@ def type_validation(spark: SparkSession, sf: str) -> DataFrame:
     return _plain(checked.withColumn(quality.REASONS, F.array_join(quality.REASONS, ",")))
 
 
+def silver_reconciliation(spark: SparkSession, sf: str) -> DataFrame:
+    """Lineitems as text, some with a bad or empty amount; order and line are the key."""
+    raw = stand_ins.lineitem_tx(spark, sf).select(
+        F.regexp_extract("transaccion_id", r"^\d+-\d+", 0).alias("transaccion_id"),
+        F.date_format("timestamp_tx", "yyyy-MM-dd").alias("fecha"),
+        F.when(hash_uniform("transaccion_id", "texto") < 0.02, F.lit("10.005"))
+        .when(hash_uniform("transaccion_id", "vacio") < 0.02, F.lit(""))
+        .otherwise(F.col("monto").cast("string"))
+        .alias("monto"),
+    )
+    schema = T.StructType(
+        [
+            T.StructField("transaccion_id", T.StringType()),
+            T.StructField("fecha", T.DateType()),
+            T.StructField("monto", T.DecimalType(18, 2)),
+        ]
+    )
+    checked = quality.validate_types(raw, schema, required=("transaccion_id", "monto"))
+    good = latest_by_key(quality.accepted(checked), ["transaccion_id"], ["fecha"])
+    return silver.reconciliation(checked, good, "transacciones")
+
+
 def dedup_tx(spark: SparkSession, sf: str) -> DataFrame:
     lines = stand_ins.table(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_shipdate", "l_partkey", "l_suppkey", "l_extendedprice"
@@ -209,13 +231,19 @@ def dq_unique(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dq_relationships(spark: SparkSession, sf: str) -> DataFrame:
-    cuentas = stand_ins.cuentas(spark, sf)
-    active = cuentas.filter(F.col("estado") == "ACTIVA")
-    tx = stand_ins.lineitem_tx(spark, sf)
+    cuentas = stand_ins.cuentas(spark, sf).select("cuenta_id", "cliente_id", "estado")
+    inactive = F.col("cuenta_id").isNotNull() & ~F.col("estado").eqNullSafe(F.lit("ACTIVA"))
+    of_tx = quality.count_against(
+        stand_ins.lineitem_tx(spark, sf),
+        ["cuenta_id"],
+        [(cuentas.select("cuenta_id", "estado"), ["cuenta_id"], "_hay")],
+        {
+            "relationship:tx.cuenta": quality.lost(["cuenta_id"], "_hay"),
+            "relationship:tx.cuenta_activa": inactive,
+        },
+    )
     return _plain(
-        quality.count_orphans(tx, "cuenta_id", cuentas, "relationship:tx.cuenta")
-        .unionByName(quality.count_orphans(tx, "cuenta_id", active, "relationship:tx.cuenta_activa"))
-        .unionByName(
+        of_tx.unionByName(
             quality.count_orphans(
                 cuentas, "cliente_id", stand_ins.clientes(spark, sf), "relationship:cuenta.cliente"
             )
@@ -518,6 +546,7 @@ QUERIES: dict[str, Query] = {
     "enrich_tx": enrich_tx,
     "never_moved": never_moved,
     "type_validation": type_validation,
+    "silver_reconciliation": silver_reconciliation,
     "dedup_tx": dedup_tx,
     "quarantine_nulls": quarantine_nulls,
     "dq_not_null": dq_not_null,

@@ -2,23 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caudal import domain, schemas
 from caudal.operators import quality
-from caudal.operators.dedup import drop_copies, latest_by_key
+from caudal.operators.dedup import latest_by_key
 from caudal.sources.raw import CORRUPT
 
 
 @dataclass(frozen=True)
 class Cleaned:
-    """Good rows and the rows set aside, in text form, with their reasons."""
+    """Good rows, the typed rows they come from, and the rows set aside.
+
+    The quarantine has rows in text form with their reasons and how often they came
+    (``n_filas``); ``counts`` says where every row received went.
+    """
 
     good: DataFrame
+    typed: DataFrame
     quarantine: DataFrame
+    counts: DataFrame
 
 
 def type_check(raw: DataFrame, table: str) -> DataFrame:
@@ -40,16 +48,46 @@ def clean(raw: DataFrame, table: str) -> Cleaned:
     """Types checked, bad rows set aside, repeated keys reduced to one row.
 
     Good rows are shuffled once, by their key, where copies collapse too; only the
-    few bad rows are made distinct as a whole.
+    few bad rows are grouped as a whole.
     """
     schema = schemas.TABLES[table]
     columns = [c for c in raw.columns if c in schema.names or c == CORRUPT]
     checked = type_check(raw.withColumn("_texto", F.to_json(F.struct(*columns))), table)
-    good = quality.accepted(checked).select(*schema.names)
+    typed = quality.accepted(checked).select(*schema.names)
     bad = quality.rejected(checked).select(
         F.lit(table).alias("tabla"), F.col("_texto").alias("fila"), quality.REASONS
     )
-    return Cleaned(dedup(good, table), drop_copies(bad))
+    good = dedup(typed, table)
+    return Cleaned(good, typed, with_copies(bad), reconciliation(checked, good, table))
+
+
+def with_copies(bad: DataFrame) -> DataFrame:
+    """Equal rows once, with their number."""
+    return bad.groupBy(*bad.columns).agg(F.count(F.lit(1)).alias("n_filas"))
+
+
+def reconciliation(checked: DataFrame, good: DataFrame, table: str) -> DataFrame:
+    """(tabla, destino, n_filas): received, accepted, copies, and a row for each set of reasons.
+
+    Received rows are the sum of the others.
+    """
+    reasons = checked.groupBy(F.array_join(quality.REASONS, ",").alias("destino")).agg(
+        F.count(F.lit(1)).alias("n_filas")
+    )
+    accepted = good.agg(F.count(F.lit(1))).scalar()
+    sums = reasons.agg(
+        F.coalesce(F.sum("n_filas"), F.lit(0)).alias("todas"),
+        F.coalesce(F.sum(F.when(F.col("destino") == "", F.col("n_filas"))), F.lit(0)).alias("tipadas"),
+    )
+    parts = {"recibidas": F.col("todas"), "aceptadas": accepted, "copias": F.col("tipadas") - accepted}
+    summary = sums.select(
+        F.explode(
+            F.array(*[F.struct(F.lit(k).alias("destino"), v.alias("n_filas")) for k, v in parts.items()])
+        ).alias("_r")
+    ).select("_r.*")
+    return summary.unionByName(reasons.filter("destino <> ''")).select(
+        F.lit(table).alias("tabla"), "destino", "n_filas"
+    )
 
 
 def dedup(typed: DataFrame, table: str) -> DataFrame:
@@ -66,11 +104,6 @@ def null_amounts(tx: DataFrame) -> DataFrame:
     return tx.filter(F.col("monto").isNull())
 
 
-def flag_null_amounts(tx: DataFrame, flag: str = "sin_monto") -> DataFrame:
-    """Keep all transactions and mark those without an amount."""
-    return tx.withColumn(flag, F.col("monto").isNull())
-
-
 def with_amount(tx: DataFrame) -> DataFrame:
     return tx.filter(F.col("monto").isNotNull())
 
@@ -93,16 +126,31 @@ def enrich(tx: DataFrame, cuentas: DataFrame, clientes: DataFrame) -> DataFrame:
     return tx.join(owners, "cuenta_id")
 
 
+def without_owner(tx: DataFrame, cuentas: DataFrame, clientes: DataFrame) -> DataFrame:
+    """The transactions that ``enrich`` leaves out: unknown account, or unknown client of it."""
+    return tx.join(account_owner(cuentas, clientes).select("cuenta_id"), "cuenta_id", "left_anti")
+
+
+def set_aside(rows: DataFrame, table: str, reason: str) -> DataFrame:
+    """Typed rows in the shape of the quarantine."""
+    return rows.select(
+        F.lit(table).alias("tabla"),
+        F.to_json(F.struct(*rows.columns)).alias("fila"),
+        F.array(F.lit(reason)).alias(quality.REASONS),
+        F.lit(1).cast("bigint").alias("n_filas"),
+    )
+
+
 # --- rules per table --------------------------------------------------------
 
-def _required(table: str) -> dict:
-    return {f"not_null:{table}.{c}": quality.is_missing(c) for c in schemas.REQUIRED[table]}
+def _expected(table: str) -> dict:
+    return {f"not_null:{table}.{c}": quality.is_missing(c) for c in schemas.EXPECTED[table]}
 
 
 def client_rules() -> dict:
     prefix, digits = domain.FORMATO_CLIENTE
     return {
-        **_required("clientes"),
+        **_expected("clientes"),
         "key_pattern:clientes.cliente_id": quality.bad_key("cliente_id", prefix, digits),
         "accepted:clientes.pais": quality.not_in("pais", list(domain.PAISES)),
         "accepted:clientes.segmento": quality.not_in("segmento", list(domain.SEGMENTOS)),
@@ -112,7 +160,7 @@ def client_rules() -> dict:
 def account_rules() -> dict:
     prefix, digits = domain.FORMATO_CUENTA
     return {
-        **_required("cuentas"),
+        **_expected("cuentas"),
         "key_pattern:cuentas.cuenta_id": quality.bad_key("cuenta_id", prefix, digits),
         "accepted:cuentas.tipo_cuenta": quality.not_in("tipo_cuenta", list(domain.TIPOS_CUENTA)),
         "accepted:cuentas.moneda": quality.not_in("moneda", list(domain.MONEDAS)),
@@ -123,8 +171,7 @@ def account_rules() -> dict:
 def transaction_rules() -> dict:
     prefix, digits = domain.FORMATO_TRANSACCION
     return {
-        **_required("transacciones"),
-        "not_null:transacciones.monto": quality.is_missing("monto"),
+        **_expected("transacciones"),
         "key_pattern:transacciones.transaccion_id": quality.bad_key("transaccion_id", prefix, digits),
         "accepted:transacciones.tipo_tx": quality.not_in("tipo_tx", list(domain.TIPOS_TX)),
         "accepted:transacciones.canal": quality.not_in("canal", list(domain.CANALES)),
@@ -170,30 +217,80 @@ def on_inactive_account(tx: DataFrame, cuentas: DataFrame, check: str) -> DataFr
     return quality.count_failures(stated, {check: quality.not_in("estado", ["ACTIVA"])}, "_w")
 
 
+def against_accounts(tx: DataFrame, cuentas: DataFrame) -> DataFrame:
+    """Rules of transactions against their account, from one count per account and day."""
+    days = tx.select("cuenta_id", F.to_date("timestamp_tx").alias("dia"))
+    accounts = cuentas.select("cuenta_id", "fecha_apertura", "estado")
+    return quality.count_against(
+        days,
+        ["cuenta_id", "dia"],
+        [(accounts, ["cuenta_id"], "_hay")],
+        {
+            "relationship:transacciones.cuenta_id": quality.lost(["cuenta_id"], "_hay"),
+            "temporal:transacciones.antes_de_apertura": quality.earlier_than("dia", "fecha_apertura"),
+            "inactive_account:transacciones": quality.not_in("estado", ["ACTIVA"]),
+        },
+    )
+
+
+def against_clients(cuentas: DataFrame, clientes: DataFrame) -> DataFrame:
+    """Rules of accounts against their client, from one count per client and day."""
+    return quality.count_against(
+        cuentas,
+        ["cliente_id", "fecha_apertura"],
+        [(clientes.select("cliente_id", "fecha_registro"), ["cliente_id"], "_hay")],
+        {
+            "relationship:cuentas.cliente_id": quality.lost(["cliente_id"], "_hay"),
+            "temporal:cuentas.antes_de_registro": quality.earlier_than("fecha_apertura", "fecha_registro"),
+        },
+    )
+
+
+def against_seeds(tx: DataFrame, ciudades: DataFrame, comercios: DataFrame) -> DataFrame:
+    """Both pairs of a transaction, from one count per combination."""
+    place, shop = ["pais_tx", "ciudad_tx"], ["categoria_comercio", "comercio"]
+    cities = ciudades.withColumnsRenamed({"pais": "pais_tx", "ciudad": "ciudad_tx"}).select(*place)
+    return quality.count_against(
+        tx,
+        [*place, *shop],
+        [(cities, place, "_lugar"), (comercios.select(*shop), shop, "_comercio")],
+        {
+            "pair:transacciones.pais_ciudad": quality.lost(place, "_lugar"),
+            "pair:transacciones.categoria_comercio": quality.lost(shop, "_comercio"),
+        },
+    )
+
+
+def unique_keys(typed: Mapping[str, DataFrame]) -> DataFrame:
+    """Repeated keys among the rows as they came, before copies are removed."""
+    keys = {"clientes": "cliente_id", "cuentas": "cuenta_id", "transacciones": "transaccion_id"}
+    parts = [quality.count_repeated(typed[t], [k], f"unique:{t}.{k}") for t, k in keys.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def broken_rules(clientes: DataFrame, cuentas: DataFrame, tx: DataFrame) -> DataFrame:
+    """Rows of silver that break a rule over their own columns, in text form; they stay in silver."""
+    tables = (("clientes", clientes, client_rules()), ("cuentas", cuentas, account_rules()), ("transacciones", tx, transaction_rules()))
+    parts = [
+        quality.failing_rows(rows, rules).select(
+            F.lit(name).alias("tabla"), F.to_json(F.struct(*rows.columns)).alias("fila"), "reglas"
+        )
+        for name, rows, rules in tables
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def quality_report(
     clientes: DataFrame, cuentas: DataFrame, tx: DataFrame, ciudades: DataFrame, comercios: DataFrame
 ) -> DataFrame:
-    """(check, n_rows, n_failed) of every rule over typed tables."""
-    tx_cities = ciudades.withColumnsRenamed({"pais": "pais_tx", "ciudad": "ciudad_tx"})
+    """(check, n_rows, n_failed) of every rule over typed tables; transactions are read three times."""
     parts = [
         quality.count_failures(clientes, client_rules()),
         quality.count_failures(cuentas, account_rules()),
         quality.count_failures(tx, transaction_rules()),
-        quality.count_repeated(clientes, ["cliente_id"], "unique:clientes.cliente_id"),
-        quality.count_repeated(cuentas, ["cuenta_id"], "unique:cuentas.cuenta_id"),
-        quality.count_repeated(tx, ["transaccion_id"], "unique:transacciones.transaccion_id"),
-        quality.count_orphans(cuentas, "cliente_id", clientes, "relationship:cuentas.cliente_id"),
-        quality.count_orphans(tx, "cuenta_id", cuentas, "relationship:transacciones.cuenta_id"),
         quality.count_pairs_outside(clientes, ["pais", "ciudad"], ciudades, "pair:clientes.pais_ciudad"),
-        quality.count_pairs_outside(tx, ["pais_tx", "ciudad_tx"], tx_cities, "pair:transacciones.pais_ciudad"),
-        quality.count_pairs_outside(
-            tx, ["categoria_comercio", "comercio"], comercios, "pair:transacciones.categoria_comercio"
-        ),
-        before_opening(tx, cuentas, "temporal:transacciones.antes_de_apertura"),
-        opened_before_registration(cuentas, clientes, "temporal:cuentas.antes_de_registro"),
-        on_inactive_account(tx, cuentas, "inactive_account:transacciones"),
+        against_accounts(tx, cuentas),
+        against_clients(cuentas, clientes),
+        against_seeds(tx, ciudades, comercios),
     ]
-    report = parts[0]
-    for part in parts[1:]:
-        report = report.unionByName(part)
-    return report
+    return reduce(DataFrame.unionByName, parts)

@@ -188,6 +188,19 @@ select cast(event_id as varchar) as transaccion_id,
   concat_ws(',', case when m = 'abc' then 'tipo:monto' end, case when m = '' then 'nulo:monto' end,
     case when f = '2022-13-45' then 'tipo:fecha' end) as motivos
 from spoiled""",
+    "silver_reconciliation": f"""
+with t as (
+  select concat_ws('-', l_orderkey, l_linenumber) as k, {_TX_ID} as id from lineitem),
+m as (
+  select k, case when {_u('id', 'texto')} < 0.02 then 'tipo:monto'
+    when {_u('id', 'vacio')} < 0.02 then 'nulo:monto' else '' end as destino from t),
+c as (
+  select count(*) as todas, count(*) filter (where destino = '') as tipadas,
+    count(distinct case when destino = '' then k end) as aceptadas from m)
+select 'transacciones' as tabla, 'recibidas' as destino, todas as n_filas from c
+union all select 'transacciones', 'aceptadas', aceptadas from c
+union all select 'transacciones', 'copias', tipadas - aceptadas from c
+union all select 'transacciones', destino, count(*) from m where destino <> '' group by destino""",
     "dedup_tx": """
 select l_orderkey, l_linenumber::bigint as l_linenumber, l_shipdate, l_partkey, l_suppkey, l_extendedprice
 from (select *, row_number() over (partition by l_orderkey, l_linenumber

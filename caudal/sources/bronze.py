@@ -1,4 +1,8 @@
-"""Bronze: rows as received, all columns text, plus when and from where."""
+"""Bronze: rows as received, all columns text, plus when, in which delivery and from where.
+
+Stored by ingest date and delivery. The same delivery again replaces itself; another
+delivery on the same date is kept beside it.
+"""
 
 from __future__ import annotations
 
@@ -10,6 +14,7 @@ from pyspark.sql import functions as F
 INGESTED_AT = "_ingested_at"
 SOURCE_FILE = "_source_file"
 INGEST_DATE = "ingest_date"
+DELIVERY = "entrega"
 
 
 def source_file() -> Column:
@@ -17,33 +22,47 @@ def source_file() -> Column:
 
 
 def to_bronze(
-    raw: DataFrame, ingested_at: dt.datetime | Column, source: Column | None = None
+    raw: DataFrame,
+    ingested_at: dt.datetime | Column,
+    source: Column | None = None,
+    delivery: str | None = None,
 ) -> DataFrame:
-    """All source columns as text plus the ingest columns."""
+    """All source columns as text plus the ingest columns; a delivery is named by its time if by nothing else."""
     stamp = ingested_at if isinstance(ingested_at, Column) else F.lit(ingested_at)
     source = source_file() if source is None else source
+    name = F.lit(delivery) if delivery else F.date_format(stamp.cast("timestamp"), "yyyyMMdd'T'HHmmss")
     return raw.select(
         *[F.col(c).cast("string").alias(c) for c in raw.columns],
         stamp.cast("timestamp").alias(INGESTED_AT),
         source.alias(SOURCE_FILE),
         F.to_date(stamp).alias(INGEST_DATE),
+        name.alias(DELIVERY),
     )
 
 
+def not_yet_stored(bronze: DataFrame, stored: DataFrame | None) -> DataFrame:
+    """Rows of files that no other delivery has brought; a row per file is compared."""
+    if stored is None:
+        return bronze
+    files = stored.select(SOURCE_FILE, F.col(DELIVERY).alias("_antes")).distinct()
+    other = (bronze[SOURCE_FILE] == files[SOURCE_FILE]) & (bronze[DELIVERY] != files["_antes"])
+    return bronze.join(files, other, "left_anti")
+
+
 def write_bronze(bronze: DataFrame, path: str) -> None:
-    """Write by ingest date; ingesting a date again replaces just that date."""
+    """Write by ingest date and delivery; the same delivery again replaces just that."""
     (
         bronze.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(INGEST_DATE)
+        .partitionBy(INGEST_DATE, DELIVERY)
         .parquet(path)
     )
 
 
 def read_bronze(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return spark.read.option("mergeSchema", False).parquet(path).withColumn(DELIVERY, F.col(DELIVERY).cast("string"))
 
 
 def payload(bronze: DataFrame) -> DataFrame:
     """The columns as received, without the ingest columns."""
-    return bronze.drop(INGESTED_AT, SOURCE_FILE, INGEST_DATE)
+    return bronze.drop(INGESTED_AT, SOURCE_FILE, INGEST_DATE, DELIVERY)

@@ -11,30 +11,35 @@ from caudal.schemas import as_text
 CORRUPT = "_corrupt"
 
 
-def _with_corrupt(schema: T.StructType) -> T.StructType:
+def with_corrupt(schema: T.StructType) -> T.StructType:
     return as_text(schema).add(CORRUPT, T.StringType(), True)
 
 
+# For batch and stream alike. A header in another order than the schema is an error:
+# columns are never taken by position from a file that names them otherwise.
+OPTIONS: dict[str, dict] = {
+    "csv": {
+        "header": True,
+        "mode": "PERMISSIVE",
+        "columnNameOfCorruptRecord": CORRUPT,
+        "escape": '"',
+        "enforceSchema": False,
+    },
+    "json": {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT},
+}
+
+
+def read_text(spark: SparkSession, path: str, schema: T.StructType, kind: str = "csv") -> DataFrame:
+    """Headered CSV or JSON lines as text; a malformed line is kept whole in ``_corrupt``."""
+    return spark.read.schema(with_corrupt(schema)).options(**OPTIONS[kind]).format(kind).load(path)
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Headered CSV as text; a malformed line is kept whole in ``_corrupt``."""
-    return (
-        spark.read.schema(_with_corrupt(schema))
-        .option("header", True)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .option("escape", '"')
-        .csv(path)
-    )
+    return read_text(spark, path, schema, "csv")
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """JSON lines as text; a malformed line is kept whole in ``_corrupt``."""
-    return (
-        spark.read.schema(_with_corrupt(schema))
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", CORRUPT)
-        .json(path)
-    )
+    return read_text(spark, path, schema, "json")
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -4,6 +4,7 @@ import csv
 import datetime as dt
 import json
 import os
+import shutil
 
 import pytest
 from bank import TRANSACCIONES
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from caudal import schemas
 from caudal.plans import activity, pipeline
+from caudal.sources import raw
 from caudal.streaming import transactions as streams
 
 DAY = dt.datetime(2025, 1, 1, 6)
@@ -35,7 +37,13 @@ def test_layers(spark, bank):
     assert spark.read.parquet(bank.silver("transacciones")).count() == 11
     assert spark.read.parquet(bank.silver("transacciones_enriquecidas")).count() == 9
     reasons = sorted(r["motivos"][0] for r in spark.read.parquet(bank.silver("cuarentena")).collect())
-    assert reasons == ["nulo:monto", "tipo:fecha_nacimiento", "tipo:monto", "tipo:timestamp_tx"]
+    assert reasons == ["huerfana:cuenta_id", "nulo:monto", "tipo:fecha_nacimiento", "tipo:monto", "tipo:timestamp_tx"]
+    counts = spark.read.parquet(bank.silver("conciliacion")).groupBy("destino").sum("n_filas").collect()
+    counts = {r[0]: r[1] for r in counts}
+    assert counts.pop("recibidas") == sum(counts.values()) == 26
+    quality = {r["check"]: r["n_failed"] for r in spark.read.parquet(bank.silver("calidad")).collect()}
+    assert quality["unique:transacciones.transaccion_id"] == 2
+    assert spark.read.parquet(bank.silver("reglas_incumplidas")).count() == 3
 
 
 def test_gold(spark, bank):
@@ -76,6 +84,79 @@ def test_json_and_csv_raw_files_give_the_same_silver(spark, bank, tmp_path):
         assert contents(spark, layout.silver(table)) == contents(spark, bank.silver(table))
 
 
+def gold_tables(spark, layout):
+    names = sorted(os.listdir(f"{layout.base}/gold"))
+    out = {}
+    for name in names:
+        rows = spark.read.parquet(layout.gold(name))
+        out[name] = sorted(map(repr, rows.select(*sorted(rows.columns)).collect()))
+    return out
+
+
+def test_gold_ends_at_the_day(spark, bank, tmp_path):
+    """Rows after ``as_of`` change no table."""
+    shutil.copytree(f"{bank.base}/silver", tmp_path / "one" / "silver")
+    layout = pipeline.Layout(str(tmp_path / "one"))
+    pipeline.build_gold(spark, layout, dt.date(2022, 6, 30))
+    for name in ("tx_diarias", "tx_diarias_cliente"):
+        assert spark.read.parquet(layout.gold(name)).agg(F.max("fecha")).first()[0] <= dt.date(2022, 6, 30)
+    cut = pipeline.Layout(str(tmp_path / "two"))
+    shutil.copytree(f"{bank.base}/silver", tmp_path / "two" / "silver")
+    enriched = spark.read.parquet(layout.silver("transacciones_enriquecidas")).filter("timestamp_tx < '2022-07-01'")
+    enriched.write.mode("overwrite").parquet(cut.silver("transacciones_enriquecidas"))
+    pipeline.build_gold(spark, cut, dt.date(2022, 6, 30))
+    assert gold_tables(spark, layout) == gold_tables(spark, cut)
+
+
+def test_backfill_of_gold_equals_a_rebuild(spark, bank, tmp_path):
+    layout, whole = (pipeline.Layout(str(tmp_path / n)) for n in ("days", "whole"))
+    for target in (layout, whole):
+        shutil.copytree(f"{bank.base}/silver", f"{target.base}/silver")
+    pipeline.build_gold(spark, layout)
+    path = layout.silver("transacciones_enriquecidas")
+    rows = spark.read.parquet(path)
+    # 1 June loses its rows but one, 2 June gets a second one just after midnight.
+    changed = rows.filter("date(timestamp_tx) <> '2022-06-01' or cuenta_id = 'ACC00000002'")
+    late = rows.filter("date(timestamp_tx) = '2022-06-02'").withColumns(
+        {"transaccion_id": F.lit("TX0000000099"), "timestamp_tx": F.lit(dt.datetime(2022, 6, 2, 9, 30)).cast("timestamp_ntz"), "pais_tx": F.lit("México")}
+    )
+    changed.unionByName(late).write.parquet(f"{tmp_path}/changed")
+    for target in (layout, whole):
+        spark.read.parquet(f"{tmp_path}/changed").write.mode("overwrite").parquet(target.silver("transacciones_enriquecidas"))
+    for _ in range(2):
+        pipeline.build_gold(spark, layout, days=(dt.date(2022, 6, 1), dt.date(2022, 6, 4)))
+    pipeline.build_gold(spark, whole)
+    assert gold_tables(spark, layout) == gold_tables(spark, whole)
+    assert any("TX0000000099" in r for r in gold_tables(spark, layout)["rafagas"])
+
+
+def test_a_failed_check_stops_before_gold(spark, tmp_path):
+    write_raw(str(tmp_path))
+    with pytest.raises(pipeline.QualityError, match="unique:transacciones"):
+        pipeline.run_pipeline(spark, str(tmp_path), DAY, limits={"unique:transacciones.transaccion_id": 0.1})
+    assert not os.path.exists(f"{tmp_path}/gold")
+
+
+def test_deliveries_of_one_day_are_kept_and_old_files_are_not_stored_again(spark, tmp_path):
+    write_raw(str(tmp_path))
+    layout = pipeline.Layout(str(tmp_path))
+    pipeline.ingest(spark, layout, DAY)
+    drop_file(layout.raw("transacciones"), "part-1.csv", [tx_row(90, 1, "2022-06-09T10:00:00")])
+    for _ in range(2):
+        pipeline.ingest(spark, layout, DAY + dt.timedelta(hours=2))
+    stored = spark.read.parquet(layout.bronze("transacciones"))
+    assert stored.count() == 16 and stored.select("entrega").distinct().count() == 2
+    pipeline.ingest(spark, layout, DAY)
+    assert spark.read.parquet(layout.bronze("transacciones")).count() == 16
+
+
+def test_publishing_gold_gives_each_table_its_options(spark, bank, monkeypatch):
+    sent = {}
+    monkeypatch.setattr(pipeline.jdbc, "write_jdbc", lambda df, options: sent.update({options["dbtable"]: df.count()}))
+    pipeline.publish(spark, bank, lambda t: {"dbtable": f"gold.{t}"}, ["churn", "cliente_features"])
+    assert set(sent) == {"gold.churn", "gold.cliente_features"} and sent["gold.cliente_features"] == 4
+
+
 def test_backfill_twice_is_once_and_leaves_other_days(spark, tmp_path):
     path = str(tmp_path / "days")
     tx = spark.createDataFrame(
@@ -131,6 +212,26 @@ def test_each_raw_file_is_read_once(spark, tmp_path):
     assert got.select("_source_file").distinct().count() == 2
 
 
+@pytest.mark.parametrize("kind", ["csv", "json"])
+def test_stream_and_batch_read_a_dirty_file_alike(spark, tmp_path, kind):
+    folder = tmp_path / "raw"
+    os.makedirs(folder)
+    good = tx_row(1, 1, "2022-06-01T10:00:00", comercio='Tienda ""A"", centro')
+    if kind == "csv":
+        drop_file(str(folder), "a.csv", [good, tx_row(2, 1, "2022-06-01T11:00:00")])
+        with open(folder / "a.csv", "a", encoding="utf-8") as f:
+            f.write("TX3,short\n")
+    else:
+        (folder / "a.json").write_text(json.dumps(good) + "\n{broken\n", encoding="utf-8")
+    rows = streams.new_files(spark, str(folder), schemas.TRANSACCIONES, kind=kind)
+    streams.stream_to_bronze(rows, str(tmp_path / "out"), str(tmp_path / "progress")).awaitTermination(120)
+    streamed = spark.read.parquet(str(tmp_path / "out"))
+    batch = raw.read_text(spark, str(folder), schemas.TRANSACCIONES, kind)
+    columns = [*schemas.TRANSACCIONES.names, raw.CORRUPT]
+    assert sorted(map(repr, streamed.select(*columns).collect())) == sorted(map(repr, batch.select(*columns).collect()))
+    assert streamed.filter("_corrupt is not null").count() == 1
+
+
 def parquet_stream(spark, folder):
     return spark.readStream.schema(
         "transaccion_id string, cuenta_id string, timestamp_tx timestamp_ntz"

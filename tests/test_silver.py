@@ -54,12 +54,45 @@ def test_copies_collapse_and_the_latest_is_kept(bank):
     ]
 
 
-def test_null_amounts_may_be_flagged_instead(bank):
-    flagged = silver.flag_null_amounts(bank["transacciones"].good)
-    assert flagged.count() == 11 and flagged.filter("sin_monto").count() == 1
+def test_transactions_with_an_amount(bank):
     assert silver.with_amount(bank["transacciones"].good).count() == 10
 
 
+def test_every_row_received_is_accounted_for(bank):
+    for table, received in (("clientes", 5), ("cuentas", 6), ("transacciones", 15)):
+        counts = {r["destino"]: r["n_filas"] for r in bank[table].counts.collect()}
+        assert counts.pop("recibidas") == sum(counts.values()) == received
+    assert counts == {"aceptadas": 11, "copias": 2, "tipo:monto": 1, "tipo:timestamp_tx": 1}
+
+
+def test_equal_bad_rows_are_counted(spark):
+    bad = frame(spark, "transacciones", [TRANSACCIONES[5]] * 3)
+    rows = silver.clean(bad, "transacciones").quarantine.collect()
+    assert [(r["n_filas"], r["motivos"]) for r in rows] == [(3, ["tipo:monto"])]
+
+
+def test_a_client_without_mail_keeps_their_transactions(spark, bank):
+    clientes = [{**c, "email": ""} if c["cliente_id"] == "CLI000001" else c for c in CLIENTES]
+    cleaned = silver.clean(frame(spark, "clientes", clientes), "clientes")
+    tx, cuentas = bank["transacciones"].good, bank["cuentas"].good
+    assert silver.enrich(tx, cuentas, cleaned.good).count() == silver.enrich(tx, cuentas, bank["clientes"].good).count()
+    missing = quality.count_failures(cleaned.good, silver.client_rules()).filter("check = 'not_null:clientes.email'")
+    assert missing.first()["n_failed"] == 1
+
+
+def test_rows_without_an_owner(bank):
+    lost = silver.without_owner(bank["transacciones"].good, bank["cuentas"].good, bank["clientes"].good)
+    assert [r["transaccion_id"] for r in lost.collect()] == ["TX0000000006"]
+
+
+def test_types_are_strict(spark):
+    schema = T.StructType([T.StructField("m", schemas.MONEY), T.StructField("d", T.DateType()), T.StructField("t", T.TimestampNTZType())])
+    data = [("10.005", "2022", "2022-01"), ("10.100", "2022-01-02T00:00:00.000000", "2022-01-02"), ("1e2", "2022-1-2", "2022-01-02T03:04")]
+    got = quality.validate_types(spark.createDataFrame(data, "m string, d string, t string"), schema).collect()
+    assert [r["motivos"] for r in got] == [["tipo:m", "tipo:d", "tipo:t"], [], ["tipo:d"]]
+    assert got[1]["m"] == Decimal("10.10") and got[2]["m"] == Decimal("100.00")
+
+
 def test_quality_report(spark, bank):
     report = silver.quality_report(
         bank["clientes"].good, bank["cuentas"].good, bank["transacciones"].good,
@@ -80,16 +113,24 @@ def test_quality_report(spark, bank):
         "temporal:cuentas.antes_de_registro": 1,
         "inactive_account:transacciones": 1,
     }
-    assert rows["unique:transacciones.transaccion_id"] == (11, 0)
+    unique = silver.unique_keys({t: c.typed for t, c in bank.items()})
+    counted = {r["check"]: (r["n_rows"], r["n_failed"]) for r in unique.collect()}
+    assert counted["unique:transacciones.transaccion_id"] == (13, 2)
+    assert counted["unique:clientes.cliente_id"] == (4, 0)
     assert rows["relationship:transacciones.cuenta_id"] == (11, 1)
     assert len(rows) == report.count()
 
 
-def test_failing_rows_of_a_rule(bank):
-    tx = bank["transacciones"].good
-    rule = silver.transaction_rules()["range:transacciones.monto"]
-    failing = quality.failing_rows(tx, rule).collect()
-    assert [r["transaccion_id"] for r in failing] == ["TX0000000012"]
+def test_rows_that_break_rules(bank):
+    failing = quality.failing_rows(bank["transacciones"].good, silver.transaction_rules()).collect()
+    broken = {r["transaccion_id"][-2:]: r["reglas"] for r in failing}
+    assert broken["12"] == ["range:transacciones.monto"]
+    assert set(broken) == {"03", "09", "12"}
+
+
+def test_checks_above_their_limit(spark):
+    report = spark.createDataFrame([("a", 100, 5), ("b", 100, 5), ("c", 0, 0)], "check string, n_rows long, n_failed long")
+    assert [r["check"] for r in quality.exceeding(report, {"a": 0.04, "b": 0.05, "c": 0.0}).collect()] == ["a"]
 
 
 def test_rules_over_an_empty_table(spark):
@@ -158,6 +199,14 @@ def test_unreadable_lines_are_kept_with_a_reason(spark, tmp_path):
     assert len(bad) == 1 and "linea:ilegible" in bad[0]["motivos"] and "ACC2,broken" in bad[0]["fila"]
 
 
+def test_a_header_in_another_order_is_an_error(spark, tmp_path):
+    path = tmp_path / "c.csv"
+    names = schemas.CUENTAS.names
+    path.write_text(",".join([names[1], names[0], *names[2:]]) + "\nCLI000001,ACC00000001,AHORROS,GTQ,2022-01-01,ACTIVA,10.0\n")
+    with pytest.raises(Exception, match="header"):
+        raw.read_csv(spark, str(path), schemas.CUENTAS).collect()
+
+
 def test_csv_round_trip(spark, tmp_path):
     df = spark.createDataFrame(
         [("CLI1", 'coma, comilla " y ñ', None), ("CLI2", "", "x")], "a string, b string, c string"
@@ -186,9 +235,9 @@ def test_json_column(spark):
 
 def test_jdbc_options():
     options = jdbc.jdbc_options(
-        jdbc.postgres_url("db", 5432, "fintech"), "gold.churn", "user", "secret", connections=4
+        jdbc.postgres_url("db", 5432, "bank"), "gold.churn", "user", "secret", connections=4
     )
-    assert options["url"] == "jdbc:postgresql://db:5432/fintech"
+    assert options["url"] == "jdbc:postgresql://db:5432/bank"
     assert options["numPartitions"] == "4" and options["truncate"] == "true"
 
 
