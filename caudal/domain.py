@@ -3,14 +3,7 @@
 from __future__ import annotations
 
 # --- fixed values -----------------------------------------------------------
-PAISES = {
-    "México": 0.55,
-    "Guatemala": 0.15,
-    "El Salvador": 0.10,
-    "Honduras": 0.08,
-    "Costa Rica": 0.07,
-    "Estados Unidos": 0.05,
-}
+PAISES = ("México", "Guatemala", "El Salvador", "Honduras", "Costa Rica", "Estados Unidos")
 
 CIUDADES = {
     "México": ("Ciudad de México", "Guadalajara", "Monterrey"),
@@ -21,18 +14,13 @@ CIUDADES = {
     "Estados Unidos": ("Los Angeles", "Houston", "Miami"),
 }
 
+# With the shares by which stand-in values are drawn.
 SEGMENTOS = {"PERSONAL": 0.75, "PREMIUM": 0.15, "BUSINESS": 0.10}
-TIPOS_CUENTA = {"AHORROS": 0.6, "CORRIENTE": 0.3, "CREDITO": 0.1}
+TIPOS_CUENTA = ("AHORROS", "CORRIENTE", "CREDITO")
 MONEDAS = {"GTQ": 0.75, "USD": 0.2, "EUR": 0.05}
-ESTADOS = {"ACTIVA": 0.9, "CERRADA": 0.07, "CONGELADA": 0.03}
-TIPOS_TX = {
-    "DEPOSITO": 0.15,
-    "RETIRO": 0.2,
-    "TRANSFERENCIA": 0.25,
-    "PAGO_TARJETA": 0.25,
-    "COMPRA_ONLINE": 0.15,
-}
-CANALES = {"APP": 0.4, "WEB": 0.2, "CAJERO": 0.15, "SUCURSAL": 0.05, "POS": 0.2}
+ESTADOS = ("ACTIVA", "CERRADA", "CONGELADA")
+TIPOS_TX = ("DEPOSITO", "RETIRO", "TRANSFERENCIA", "PAGO_TARJETA", "COMPRA_ONLINE")
+CANALES = ("APP", "WEB", "CAJERO", "SUCURSAL", "POS")
 
 COMERCIOS = {
     "SUPERMERCADO": ("La Torre", "Walmart", "Paiz", "Despensa Familiar"),

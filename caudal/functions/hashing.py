@@ -11,14 +11,15 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_TWO_32 = 4294967296.0
+# 13 hex digits: as fine as a double, so that even billions of values are all reached.
+_DIGITS, _STEPS = 13, 4503599627370496.0
 
 
 def hash_uniform(key: Column | str, salt: str) -> Column:
-    """Uniform double in [0, 1): the first 32 bits of md5('salt:key') over 2^32."""
+    """Uniform double in [0, 1): the first 52 bits of md5('salt:key') over 2^52."""
     key = F.col(key) if isinstance(key, str) else key
     digest = F.md5(F.concat(F.lit(f"{salt}:"), key.cast("string")))
-    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") / F.lit(_TWO_32)
+    return F.conv(F.substring(digest, 1, _DIGITS), 16, 10).cast("bigint") / F.lit(_STEPS)
 
 
 def uniform_between(key: Column | str, salt: str, low: float, high: float) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 
 def _u(key: str, salt: str) -> str:
-    return f"(('0x' || substr(md5('{salt}:' || {key}), 1, 8))::bigint / 4294967296.0::double)"
+    return f"(('0x' || substr(md5('{salt}:' || {key}), 1, 13))::bigint / 4503599627370496.0::double)"
 
 
 def _dec(column: str) -> str:
@@ -202,9 +202,10 @@ union all select 'transacciones', 'aceptadas', aceptadas from c
 union all select 'transacciones', 'copias', tipadas - aceptadas from c
 union all select 'transacciones', destino, count(*) from m where destino <> '' group by destino""",
     "dedup_tx": """
-select l_orderkey, l_linenumber::bigint as l_linenumber, l_shipdate, l_partkey, l_suppkey, l_extendedprice
+select * exclude (rn) replace (l_linenumber::bigint as l_linenumber)
 from (select *, row_number() over (partition by l_orderkey, l_linenumber
-  order by l_shipdate desc, l_partkey desc, l_suppkey desc, l_extendedprice desc) as rn from lineitem)
+  order by l_shipdate desc, l_partkey desc, l_suppkey desc, l_quantity desc, l_extendedprice desc,
+    l_discount desc, l_tax desc, l_returnflag desc, l_linestatus desc) as rn from lineitem)
 where rn = 1""",
     "quarantine_nulls": f"select * replace (cast(monto as double) as monto) from ({_NULLED}) where monto is null",
     "dq_not_null": f"""
