@@ -18,10 +18,6 @@ import pyarrow as pa
 
 BLOCK_CHARS = 8_000_000  # a longer document is a block of its own
 
-# What stage one sends: ``key`` is the word shard, or the block for its documents.
-PARTS = "key int, block bigint, shard int, docs binary, body binary"
-
-
 def pack(values: np.ndarray) -> bytes:
     """Unsigned numbers below 2**32 as zstd-packed byte planes."""
     planes = values.astype("<u4").view(np.uint8).reshape(-1, 4).T

@@ -4,7 +4,11 @@
    sends its distinct pre-tokens to word shards.
 2. A shard encodes each distinct word once and returns its ids to every block that
    asked. Words are spread by hash; a block asks once for each, so no word is hot.
-3. Blocks are put together again: codes give each position its word's ids.
+3. Blocks are put together again: codes give each position its word's ids. The codes
+   don't travel with the words: texts are split a second time for them, which is
+   cheaper than to shuffle them twice. Both times the rows must come in the same
+   partitions, as from files; a block is named after its content, so a difference is an
+   error and never a wrong text.
 4. Decoding looks every id up in the table of token bytes. That table and the ranks
    are the vocabulary file, read by the driver: the only thing that is broadcast, and
    its size doesn't depend on the corpus.
@@ -14,18 +18,20 @@ from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from caudal.llm import blocks
 from caudal.llm.tables import whole_text
 
+PART = "block bigint, shard int, docs binary, body binary"  # shard -1: the block's documents
 _LONG_WORD = 64  # bytes from which a heap of pairs pays
 
 
@@ -121,7 +127,8 @@ def encode_decode(
     shared = spark.sparkContext.broadcast(vocabulary)
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
-    def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table, np.ndarray, pa.Array, np.ndarray]]:
+        """Name, documents, codes, words and words per shard of each block."""
         find = regex.compile(pattern).findall
         part, number = TaskContext.get().partitionId(), 0
         kind: pa.DataType | None = None
@@ -135,36 +142,31 @@ def encode_decode(
 
         for block in blocks.in_blocks(rows(), find, block_chars):
             codes, words, sizes = block.close(shards)
-            name = (part << 32) + number
+            ids, counts = zip(*block.rows)
+            table = pa.table({"doc_id": pa.array(ids, kind), "n": pa.array(counts, pa.int64())})
+            content = xxhash.xxh3_64(codes.astype("<u4").tobytes(), seed=(part << 32) + number)
+            content.update(b"\0".join(words.to_pylist()))
             number += 1
-            table = pa.table(
-                {"doc_id": pa.array([r[0] for r in block.rows], kind), "n": pa.array([r[1] for r in block.rows], pa.int64())}
-            )
+            yield content.intdigest() >> 1, table, codes, words, sizes
+
+    def send_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, _, _, words, sizes in cut(batches):
             stops = np.cumsum(sizes)
             asked = np.flatnonzero(sizes)
-            bodies = [
-                blocks.to_bytes(pa.table({"word": words.slice(stops[s] - sizes[s], sizes[s])})) for s in asked
-            ]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([*asked, crc_key(name, shards)], pa.int32()),
-                    pa.array([name] * (len(asked) + 1), pa.int64()),
-                    pa.array([*asked, -1], pa.int32()),
-                    pa.array([None] * len(asked) + [blocks.to_bytes(table)], pa.binary()),
-                    pa.array([*bodies, blocks.pack(codes)], pa.binary()),
-                ],
-                ["key", "block", "shard", "docs", "body"],
-            )
+            bodies = [blocks.to_bytes(pa.table({"word": words.slice(stops[s] - sizes[s], sizes[s])})) for s in asked]
+            yield _parts(asked, name, [None] * len(asked), bodies)
+
+    def send_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, table, codes, _, sizes in cut(batches):
+            body = int((sizes > 0).sum()).to_bytes(4, "little") + blocks.pack(codes)
+            yield _parts([-1], name, [blocks.to_bytes(table)], [body])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ranks = ranks_of(shared.value)
         known: dict[bytes, list[int]] = {}
         for batch in batches:
             bodies = []
-            for shard, body in zip(batch.column(2).to_pylist(), batch.column(4)):
-                if shard < 0:
-                    bodies.append(body.as_py())
-                    continue
+            for body in batch.column(3):
                 words = blocks.from_bytes(body.as_py()).column("word").to_pylist()
                 found = []
                 for word in words:
@@ -180,15 +182,19 @@ def encode_decode(
                     + _sized(blocks.pack(lengths))
                     + blocks.pack(flat)
                 )
-            columns = [batch.column(i) for i in range(4)]
+            columns = [batch.column(i) for i in range(3)]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(bodies, pa.binary())], batch.schema.names)
 
     def together(parts: pa.Table) -> pa.Table:
         parts = parts.sort_by("shard")
         bodies = parts.column("body").to_pylist()
+        if parts.column("docs")[0].as_py() is None:
+            raise RuntimeError("the documents came in other partitions when they were read again")
         table = blocks.from_bytes(parts.column("docs")[0].as_py())
         counts = table.column("n").to_numpy()
-        codes = blocks.unpack(bodies[0], int(counts.sum()))
+        if len(bodies) - 1 != int.from_bytes(bodies[0][:4], "little"):
+            raise RuntimeError("the documents came in other partitions when they were read again")
+        codes = blocks.unpack(bodies[0][4:], int(counts.sum()))
         lengths, ids = [], []
         for body in bodies[1:]:
             n, flat = int.from_bytes(body[:4], "little"), int.from_bytes(body[4:8], "little")
@@ -209,14 +215,17 @@ def encode_decode(
         made = [pa.array([r[i] for r in out], pa.binary()) for i in range(2)]
         return pa.table([table.column("doc_id"), *made], names=["doc_id", "ids", "decoded"])
 
-    parts = docs.select("doc_id", whole_text().alias("text")).mapInArrow(tokenise, blocks.PARTS)
-    answers = parts.repartition(partitions, "key").mapInArrow(encode, blocks.PARTS)
-    return answers.groupBy("block").applyInArrow(together, f"doc_id {id_type}, ids binary, decoded binary")
+    texts = docs.select("doc_id", whole_text().alias("text"))
+    words = texts.mapInArrow(send_words, PART)
+    answers = words.repartition(partitions, "shard").mapInArrow(encode, PART)
+    rows = texts.mapInArrow(send_documents, PART).unionByName(answers)
+    return rows.groupBy("block").applyInArrow(together, f"doc_id {id_type}, ids binary, decoded binary")
 
 
-def crc_key(block: int, shards: int) -> int:
-    """Where a block's documents travel: any shard, evenly."""
-    return blocks.crc32(block.to_bytes(8, "little")) % shards
+def _parts(shard: Sequence[int], block: int, docs: list, body: list[bytes]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary())
+    columns = [pa.array(c, k) for c, k in zip(([block] * len(shard), shard, docs, body), kinds)]
+    return pa.RecordBatch.from_arrays(columns, ["block", "shard", "docs", "body"])
 
 
 def _sized(data: bytes) -> bytes:

@@ -106,7 +106,9 @@ def links(marks: DataFrame, crowd: int = _CROWD) -> DataFrame:
     Keys with up to ``crowd`` members give every pair within two bits; members of
     larger keys are linked to the smallest fingerprint met at each neighbouring value.
     """
-    index = _index(marks)
+    # Every row becomes 66: spread them over all tasks, whatever their bytes.
+    tasks = int(marks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    index = _index(marks.repartition(tasks, F.xxhash64("fp")))
     keys = kept(
         index.groupBy("key")
         .agg(F.count("*").alias("n"), F.count_if("side").alias("set"), F.count("side").alias("sided"))
