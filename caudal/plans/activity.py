@@ -130,7 +130,7 @@ def retention_by_volume(tx: DataFrame, currency: str | None = None) -> DataFrame
     # A client has a row per month and currency: the calendar bounds this window.
     number = F.year("mes") * 12 + F.month("mes")
     following = Window.partitionBy("cliente_id").orderBy(number).rangeBetween(1, 1)
-    last_month = tx.agg(F.max(month)).scalar()
+    last_month = monthly.agg(F.max("mes")).scalar()
     return (
         monthly.withColumn("_sigue", (F.count(F.lit(1)).over(following) > 0).cast("bigint"))
         # One row per calendar month and currency.
