@@ -29,6 +29,27 @@ def unpack(data: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, n).T).view("<u4").ravel()
 
 
+def bundle(*arrays: np.ndarray) -> bytes:
+    """Several packed columns of unsigned numbers in one value."""
+    out = []
+    for a in arrays:
+        a = a.astype("<u8") if a.dtype.itemsize == 8 else a.astype(f"<u{a.dtype.itemsize}")
+        planes = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T)
+        data = pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+        out += [np.array([len(a), a.dtype.itemsize, len(data)], "<i8").tobytes(), data]
+    return b"".join(out)
+
+
+def unbundle(data: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(data):
+        n, width, size = (int(x) for x in np.frombuffer(data, "<i8", 3, at))
+        planes = pa.decompress(data[at + 24 : at + 24 + size], decompressed_size=n * width, codec="zstd", asbytes=True)
+        out.append(np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, n).T).view(f"<u{width}").ravel())
+        at += 24 + size
+    return out
+
+
 def to_bytes(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
@@ -40,6 +61,15 @@ def from_bytes(data: bytes) -> pa.Table:
     return pa.ipc.open_stream(pa.py_buffer(data)).read_all()
 
 
+def mix(values: np.ndarray) -> np.ndarray:
+    """A mix of 64-bit numbers."""
+    x = values.astype(np.uint64)
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 def shards_of(words: Sequence[bytes], shards: int) -> np.ndarray:
     return np.fromiter(map(crc32, words), np.uint32, len(words)) % np.uint32(shards)
 

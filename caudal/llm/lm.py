@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caudal.llm import blocks, ngram_trie
+from caudal.llm.blocks import bundle, mix, unbundle
 from caudal.llm.tables import kept, whole_text
 
 BLOCK_CHARS = 12_000_000
@@ -55,27 +56,6 @@ def split(text: str) -> list[bytes]:
     return words
 
 
-def bundle(*arrays: np.ndarray) -> bytes:
-    """Several packed columns of unsigned numbers in one value."""
-    out = []
-    for a in arrays:
-        a = a.astype("<u8") if a.dtype.itemsize == 8 else a.astype(f"<u{a.dtype.itemsize}")
-        planes = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T)
-        data = pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
-        out += [np.array([len(a), a.dtype.itemsize, len(data)], "<i8").tobytes(), data]
-    return b"".join(out)
-
-
-def unbundle(data: bytes) -> list[np.ndarray]:
-    out, at = [], 0
-    while at < len(data):
-        n, width, size = (int(x) for x in np.frombuffer(data, "<i8", 3, at))
-        planes = pa.decompress(data[at + 24 : at + 24 + size], decompressed_size=n * width, codec="zstd", asbytes=True)
-        out.append(np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, n).T).view(f"<u{width}").ravel())
-        at += 24 + size
-    return out
-
-
 def prior(count: np.ndarray) -> np.ndarray:
     return _PRIOR * count.astype(np.float64) ** _GROWTH
 
@@ -104,22 +84,13 @@ class BlockWords:
         self.seen = np.add.reduceat(key & 1, self.edges)
         self.first, self.second = pair[self.edges] // n, pair[self.edges] % n
         copies = 1 + self.counts * shards // max(1, tokens)  # shards of a context
-        part = (blocks_hash(self.ids[self.second]) % copies[self.first].astype(np.uint64)).astype(np.uint64)
-        spread = blocks_hash(self.ids[self.first] ^ (part.astype(np.int64) << 40))
+        part = (mix(self.ids[self.second]) % copies[self.first].astype(np.uint64)).astype(np.uint64)
+        spread = mix(self.ids[self.first] ^ (part.astype(np.int64) << 40))
         self.shard = (spread % np.uint64(shards)).astype(np.int64)
         self.by_shard = np.argsort(self.shard, kind="stable")
         self.sizes = np.bincount(self.shard, minlength=shards)
 
 
-def blocks_hash(values: np.ndarray) -> np.ndarray:
-    """A mix of 64-bit numbers."""
-    x = values.astype(np.uint64)
-    with np.errstate(over="ignore"):
-        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def _grams(block: BlockWords) -> Iterator[tuple[int, bytes]]:
     """For each shard: contexts with counts and lengths, following words with counts, training counts."""
     ends = np.cumsum(block.sizes)

@@ -33,9 +33,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from caudal.llm import blocks
+from caudal.llm.blocks import bundle, mix, unbundle
 from caudal.llm.line_features import prefix_hashes
-from caudal.llm.lm import blocks_hash as mix
-from caudal.llm.lm import bundle, unbundle
 from caudal.llm.suffix_array import SuffixArray
 from caudal.llm.tables import kept, whole_text
 
