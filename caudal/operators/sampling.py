@@ -26,13 +26,18 @@ def _numbered(
     With ``share`` or ``n`` only the first rows are wanted and buckets behind the
     limit are never sorted.
     """
-    bucketed = df.withColumn("_u", hash_uniform(key, salt)).withColumn(
-        "_b", F.floor(F.col("_u") * _BUCKETS).cast("int")
+    # The filter that the joins on ``_b`` would add to one of the two uses of the counts:
+    # with it both are the same plan, and Spark counts once.
+    bucketed = (
+        df.withColumn("_u", hash_uniform(key, salt))
+        .withColumn("_b", F.floor(F.col("_u") * _BUCKETS).cast("int"))
+        .filter(F.col("_b").isNotNull())
     )
     counts = (
         bucketed.groupBy("_b")
         .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_block", F.shiftright("_b", 8))
+        .filter(F.col("_block").isNotNull())
     )
     listed = counts.groupBy("_block").agg(F.sum("_n").alias("_n")).agg(
         F.collect_list(F.struct("_block", "_n")).alias("_all"), F.sum("_n").alias("_total")

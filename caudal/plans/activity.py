@@ -158,7 +158,9 @@ def dormant_accounts(
     states: Sequence[str] = (),
 ) -> DataFrame:
     """Accounts without movement for ``days`` or more, or without any at all."""
-    last = until(tx, as_of).groupBy("cuenta_id").agg(F.max("timestamp_tx").alias("_ultimo"))
+    # The join would add the filter to just one of the two uses of the maxima.
+    moved = until(tx, as_of).filter(F.col("cuenta_id").isNotNull())
+    last = moved.groupBy("cuenta_id").agg(F.max("timestamp_tx").alias("_ultimo"))
     accounts = cuentas.filter(F.col("estado").isin(*states)) if states else cuentas
     idle = F.datediff(F.to_date(_today(last, as_of)), F.to_date("_ultimo"))
     return (

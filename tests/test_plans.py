@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+from caudal.plans import activity, fraud
 from caudal.plans.registered import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -40,7 +41,8 @@ def test_no_cross_join_and_no_unpartitioned_window(plans):
 def test_only_bounded_sides_are_broadcast(plans):
     """Hot keys, bucket offsets and quantile brackets; never a table."""
     allowed = {
-        "fraud_amount", "fraud_amount_rate", "fraud_score", "fraud_top_clients", "sample_n", "assign_fk", "retention_by_volume", "segmentation", "client_features",
+        "fraud_amount", "fraud_amount_rate", "fraud_score", "fraud_score_as_of", "fraud_top_clients", "sample_n",
+        "assign_fk", "retention_by_volume", "segmentation", "client_features", "client_features_as_of",
     }
     assert {name for name, plan in plans.items() if "BroadcastHashJoin" in plan} <= allowed
 
@@ -65,3 +67,34 @@ def test_the_daily_report_aggregates_before_it_joins(plans):
     plan = plans["daily_tx"]
     join = plan.index("SortMergeJoin")
     assert plan.count("partial_count") >= 1 and plan.rindex("partial_sum(monto") > join
+
+
+def scans(plan: str, table: str) -> int:
+    return len(re.findall(rf"FileScan parquet[^\n]*Location: [^\n]*/{table}\.parquet", plan))
+
+
+@pytest.mark.parametrize("name, lineitem, orders", [("dq_relationships", 1, 2), ("finance_monthly", 1, 1), ("daily_tx", 0, 1)])
+def test_facts_are_scanned_once(plans, name, lineitem, orders):
+    assert (scans(plans[name], "lineitem"), scans(plans[name], "orders")) == (lineitem, orders)
+
+
+@pytest.mark.parametrize("name", ["churn", "dormant_accounts", "sample_n"])
+def test_a_second_use_of_an_aggregate_reads_its_shuffle(spark, name):
+    spark.conf.set("spark.sql.maxPlanStringLength", "10000000")
+    try:
+        df = QUERIES[name](spark, SF_DIR)
+        df.collect()
+        assert "ReusedExchange" in physical(df)
+    finally:
+        spark.conf.unset("spark.sql.maxPlanStringLength")
+
+
+def test_enriched_rows_need_no_join(spark):
+    tx = spark.createDataFrame(
+        [], "cliente_id string, pais string, pais_tx string, segmento string, moneda string, tipo_cuenta string, "
+        "timestamp_tx timestamp_ntz, monto decimal(18,2), tipo_tx string",
+    )
+    for frame in (
+        activity.finance_of_enriched(tx), activity.daily_of_enriched(tx, ("moneda",)), fraud.foreign_share_of_enriched(tx),
+    ):
+        assert "Join" not in physical(frame)
