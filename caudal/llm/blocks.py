@@ -10,6 +10,7 @@ a word that fills a third of the corpus is one entry per block.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Callable, Iterator, Sequence
 from zlib import crc32
 
@@ -29,24 +30,34 @@ def unpack(data: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, n).T).view("<u4").ravel()
 
 
+_HEAD = struct.Struct("<IBI")  # numbers, their width (with a flag: packed), bytes
+_PACKED = 0x80
+_LEAST_PACKED = 64  # bytes; a frame around fewer costs more than it saves
+
+
 def bundle(*arrays: np.ndarray) -> bytes:
-    """Several packed columns of unsigned numbers in one value."""
+    """Several columns of unsigned numbers in one value, as packed byte planes where that pays."""
     out = []
     for a in arrays:
-        a = a.astype("<u8") if a.dtype.itemsize == 8 else a.astype(f"<u{a.dtype.itemsize}")
-        planes = np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T)
-        data = pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
-        out += [np.array([len(a), a.dtype.itemsize, len(data)], "<i8").tobytes(), data]
+        width = a.dtype.itemsize
+        data = np.ascontiguousarray(a.astype(f"<u{width}").view(np.uint8).reshape(len(a), width).T).tobytes()
+        packed = len(data) >= _LEAST_PACKED
+        if packed:
+            data = pa.compress(data, codec="zstd", asbytes=True)
+        out += [_HEAD.pack(len(a), width | _PACKED * packed, len(data)), data]
     return b"".join(out)
 
 
 def unbundle(data: bytes) -> list[np.ndarray]:
     out, at = [], 0
     while at < len(data):
-        n, width, size = (int(x) for x in np.frombuffer(data, "<i8", 3, at))
-        planes = pa.decompress(data[at + 24 : at + 24 + size], decompressed_size=n * width, codec="zstd", asbytes=True)
+        n, kind, size = _HEAD.unpack_from(data, at)
+        at += _HEAD.size
+        width, planes = kind & ~_PACKED, data[at : at + size]
+        if kind & _PACKED:
+            planes = pa.decompress(planes, decompressed_size=n * width, codec="zstd", asbytes=True)
         out.append(np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(width, n).T).view(f"<u{width}").ravel())
-        at += 24 + size
+        at += size
     return out
 
 

@@ -25,7 +25,7 @@ from caudal.llm.tables import SPACE, kept, whole_text
 FILTER = "block int, runs binary, remainders binary, counts binary"
 _RUN_BITS = 8
 _FLUSH_ROWS = 1_000_000  # rows a task counts before it sends a filter
-_BLOCK_ROWS = 250_000  # rows of the corpus for each block of quotients
+_BLOCK_ROWS = 8_000_000  # rows of the corpus for each block of quotients, which one task merges
 
 
 def build_filter(fingerprints: np.ndarray, block_bits: int) -> Iterator[tuple[int, bytes, bytes, bytes]]:
@@ -42,7 +42,7 @@ def build_filter(fingerprints: np.ndarray, block_bits: int) -> Iterator[tuple[in
             int(blocks[start]),
             np.bincount(run, minlength=1 << _RUN_BITS).astype("<u4").tobytes(),
             remainders[start:end].astype("<u8").tobytes(),
-            counts[start:end].astype("<i8").tobytes(),
+            counts[start:end].astype("<u4").tobytes(),
         )
 
 
@@ -54,7 +54,7 @@ def merge_filters(block: int, block_bits: int, parts: list[tuple[bytes, bytes, b
     for lengths, remainders, count in parts:
         quotient = np.repeat(runs, np.frombuffer(lengths, "<u4")) | np.uint64(block << _RUN_BITS)
         values.append((quotient << rest) | np.frombuffer(remainders, "<u8"))
-        counts.append(np.frombuffer(count, "<i8"))
+        counts.append(np.frombuffer(count, "<u4").astype(np.int64))
     value, count = np.concatenate(values), np.concatenate(counts)
     order = np.argsort(value, kind="stable")  # sorted parts: a merge
     value, count = value[order], count[order]
