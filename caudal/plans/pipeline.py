@@ -53,7 +53,7 @@ def ingest(
     ingested_at: dt.datetime,
     formats: Mapping[str, str] | None = None,
 ) -> None:
-    """Raw files to bronze, untouched: those that no other delivery has brought.
+    """Raw files to bronze, untouched: those that no other delivery has brought as they are now.
 
     The same ingest time again replaces its delivery. Tables arrive as CSV unless
     ``formats`` says ``json``.
@@ -61,13 +61,13 @@ def ingest(
     for table, schema in schemas.TABLES.items():
         kind = (formats or {}).get(table, "csv")
         rows = bronze.to_bronze(raw.read_text(spark, layout.raw(table, kind), schema, kind), ingested_at)
-        stored = _bronze_or_none(spark, layout.bronze(table))
+        stored = _stored_or_none(spark, layout.bronze(table))
         bronze.write_bronze(bronze.not_yet_stored(rows, stored), layout.bronze(table))
 
 
-def _bronze_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+def _stored_or_none(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        return bronze.read_bronze(spark, path)
+        return bronze.stored_files(spark, path)
     except AnalysisException as error:
         if error.getCondition() == "PATH_NOT_FOUND":
             return None

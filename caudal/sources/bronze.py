@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 
 INGESTED_AT = "_ingested_at"
 SOURCE_FILE = "_source_file"
+SOURCE_MODIFIED = "_source_modified"
+SOURCE_SIZE = "_source_size"
 INGEST_DATE = "ingest_date"
 DELIVERY = "entrega"
+_FILE = (SOURCE_FILE, SOURCE_MODIFIED, SOURCE_SIZE)
 
 
 def source_file() -> Column:
@@ -27,7 +30,11 @@ def to_bronze(
     source: Column | None = None,
     delivery: str | None = None,
 ) -> DataFrame:
-    """All source columns as text plus the ingest columns; a delivery is named by its time if by nothing else."""
+    """All source columns as text plus the ingest columns; a delivery is named by its time if by nothing else.
+
+    With a ``source`` of the caller's the file's time and size are unknown (null).
+    """
+    known = source is None
     stamp = ingested_at if isinstance(ingested_at, Column) else F.lit(ingested_at)
     source = source_file() if source is None else source
     name = F.lit(delivery) if delivery else F.date_format(stamp.cast("timestamp"), "yyyyMMdd'T'HHmmss")
@@ -35,17 +42,26 @@ def to_bronze(
         *[F.col(c).cast("string").alias(c) for c in raw.columns],
         stamp.cast("timestamp").alias(INGESTED_AT),
         source.alias(SOURCE_FILE),
+        (F.col("_metadata.file_modification_time") if known else F.lit(None)).cast("timestamp").alias(SOURCE_MODIFIED),
+        (F.col("_metadata.file_size") if known else F.lit(None)).cast("long").alias(SOURCE_SIZE),
         F.to_date(stamp).alias(INGEST_DATE),
         name.alias(DELIVERY),
     )
 
 
 def not_yet_stored(bronze: DataFrame, stored: DataFrame | None) -> DataFrame:
-    """Rows of files that no other delivery has brought; a row per file is compared."""
+    """Rows of files that no other delivery has brought; a row per file is compared.
+
+    A file is the same if its path, modification time and size are. Stored files of
+    unknown time or size match none, so theirs are stored once more. A delivery that is
+    repeated holds what the raw files hold by then.
+    """
     if stored is None:
         return bronze
-    files = stored.select(SOURCE_FILE, F.col(DELIVERY).alias("_antes")).distinct()
-    other = (bronze[SOURCE_FILE] == files[SOURCE_FILE]) & (bronze[DELIVERY] != files["_antes"])
+    files = stored.select(*_FILE, F.col(DELIVERY).alias("_antes")).distinct()
+    other = bronze[DELIVERY] != files["_antes"]
+    for column in _FILE:
+        other &= bronze[column] == files[column]
     return bronze.join(files, other, "left_anti")
 
 
@@ -63,6 +79,13 @@ def read_bronze(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("mergeSchema", False).parquet(path).withColumn(DELIVERY, F.col(DELIVERY).cast("string"))
 
 
+def stored_files(spark: SparkSession, path: str) -> DataFrame:
+    """The files' columns and the delivery of all rows, null in tables written without them."""
+    types = ("string", "timestamp", "long", "date", "string")
+    schema = ", ".join(f"{c} {t}" for c, t in zip((*_FILE, INGEST_DATE, DELIVERY), types))
+    return spark.read.schema(schema).parquet(path)
+
+
 def payload(bronze: DataFrame) -> DataFrame:
     """The columns as received, without the ingest columns."""
-    return bronze.drop(INGESTED_AT, SOURCE_FILE, INGEST_DATE, DELIVERY)
+    return bronze.drop(INGESTED_AT, *_FILE, INGEST_DATE, DELIVERY)

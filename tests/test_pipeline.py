@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from caudal import schemas
 from caudal.plans import activity, pipeline
-from caudal.sources import raw
+from caudal.sources import bronze, raw
 from caudal.streaming import transactions as streams
 
 DAY = dt.datetime(2025, 1, 1, 6)
@@ -150,6 +150,32 @@ def test_deliveries_of_one_day_are_kept_and_old_files_are_not_stored_again(spark
     assert spark.read.parquet(layout.bronze("transacciones")).count() == 16
 
 
+def test_a_file_of_the_same_name_with_new_content_is_stored(spark, tmp_path):
+    write_raw(str(tmp_path))
+    layout = pipeline.Layout(str(tmp_path))
+    pipeline.ingest(spark, layout, DAY)
+    drop_file(layout.raw("transacciones"), "part-0.csv", [tx_row(91, 1, "2022-06-09T10:00:00")])
+    for _ in range(2):
+        pipeline.ingest(spark, layout, DAY + dt.timedelta(days=1))
+    pipeline.ingest(spark, layout, DAY + dt.timedelta(days=2))  # nothing new
+    stored = spark.read.parquet(layout.bronze("transacciones"))
+    assert stored.count() == 16 and stored.filter("transaccion_id = 'TX0000000091'").count() == 1
+    assert spark.read.parquet(layout.bronze("clientes")).select("entrega").distinct().count() == 1
+
+
+def test_files_stored_without_time_and_size_are_stored_once_more(spark, tmp_path):
+    write_raw(str(tmp_path))
+    layout, path = pipeline.Layout(str(tmp_path)), str(tmp_path / "old")
+    rows = raw.read_text(spark, layout.raw("transacciones"), schemas.TRANSACCIONES)
+    old = bronze.to_bronze(rows, DAY).drop("_source_modified", "_source_size")
+    old.write.partitionBy("ingest_date", "entrega").parquet(path)
+    for n, expected in ((1, 15), (2, 0)):
+        new = bronze.to_bronze(rows, DAY + dt.timedelta(days=n))
+        new = bronze.not_yet_stored(new, bronze.stored_files(spark, path))
+        assert new.count() == expected
+        bronze.write_bronze(new, path)
+
+
 def test_publishing_gold_gives_each_table_its_options(spark, bank, monkeypatch):
     sent = {}
     monkeypatch.setattr(pipeline.jdbc, "write_jdbc", lambda df, options: sent.update({options["dbtable"]: df.count()}))
