@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +15,7 @@ from caudal.llm.line_features import WIDTH, features
 from caudal.llm.tables import whole_text
 
 TRAIN_DOCS = 4000  # labelled documents the chain is fitted on, at most
+TRAIN_LINES = 100_000  # their lines, at most: each is some hundred doubles on the driver
 KEEP = 0.7  # the score from which a document counts as good
 _ROWS = 500  # texts looked at together
 
@@ -24,11 +25,13 @@ def held_out(column: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> crf.Chain:
-    """Fit the chain on at most ``most`` labelled documents, those first by a hash of the id.
+def sample(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, lines: int = TRAIN_LINES) -> DataFrame:
+    """``text, good`` of the rows the chain is fitted on: ``most`` rows and ``lines`` lines at most.
 
-    The ids are chosen from the narrow labels; their bounded list is broadcast. Only
-    line features of the chosen documents reach the driver.
+    Ids are chosen from the narrow labels by a hash of the id, their bounded list is
+    broadcast. Rows that repeat an id and text count as often as they come. In hash
+    order rows are taken whole while their running sums fit; a text with more lines
+    than fit in all is not learned from.
     """
     chosen = (
         labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
@@ -38,6 +41,29 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> crf.Cha
         .limit(most)
     )
 
+    rows = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.withColumn("digest", F.sha2(F.col("text").cast("binary"), 256))
+    size = (F.regexp_count("text", F.lit("\n")) + 1).cast("long").alias("size")
+    key = ["doc_id", "digest", "good"]
+    counted = rows.select(*key, size).filter(F.col("size") <= lines).groupBy(*key, "size").agg(F.count("*").alias("n"))
+    order = (F.xxhash64("doc_id"), "doc_id", "good", "digest")
+    before = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    sums = counted.orderBy(*order).limit(most)  # every entry is a row at least: a narrow, bounded window
+    for name, what in (("rows_before", F.col("n")), ("lines_before", F.col("n") * F.col("size"))):
+        sums = sums.withColumn(name, F.coalesce(F.sum(what).over(before), F.lit(0)))
+    fit = F.least(F.lit(most) - F.col("rows_before"), F.expr(f"({lines} - lines_before) div size"), "n")
+    taken = sums.select(*key, fit.alias("take")).filter("take > 0")
+    return (
+        rows.join(F.broadcast(taken), key)
+        .dropDuplicates(key)
+        .select("text", "good", F.explode(F.sequence(F.lit(1), F.col("take").cast("int"))))
+        .select("text", "good")
+    )
+
+
+def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, lines: int = TRAIN_LINES) -> crf.Chain:
+    """Fit the chain on a bounded ``sample``; only its line features reach the driver."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, size, counts = features(batch.column(0))
@@ -46,8 +72,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> crf.Cha
             sizes = [size[e - c : e].astype("<i8").tobytes() for c, e in zip(counts, ends)]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(packed, pa.binary()), pa.array(sizes, pa.binary())], ["good", "rows", "sizes"])
 
-    joined = docs.select("doc_id", whole_text().alias("text")).join(F.broadcast(chosen), "doc_id").select("text", "good")
-    found = joined.mapInArrow(run, "good int, rows binary, sizes binary").toArrow().sort_by([("good", "ascending"), ("sizes", "ascending"), ("rows", "ascending")])
+    found = sample(docs, labels, most, lines).mapInArrow(run, "good int, rows binary, sizes binary").toArrow().sort_by([("good", "ascending"), ("sizes", "ascending"), ("rows", "ascending")])
     packed = [np.frombuffer(x, np.uint8).reshape(-1, -(-WIDTH // 8)) for x in found.column("rows").to_pylist()]
     rows = np.concatenate([np.zeros((0, WIDTH), np.uint8), *(np.unpackbits(x, axis=1, count=WIDTH) for x in packed)])
     size = np.frombuffer(b"".join(found.column("sizes").to_pylist()), "<i8")

@@ -84,3 +84,15 @@ def test_odd_rows_and_labels(spark):
         assert len(made) == len(rows)
         assert all(0 <= r["score"] <= 1 for r in made)
     assert quality.score(docs.limit(0), quality.train(docs.limit(0), table)).count() == 0
+
+
+def test_the_sample_is_bounded_in_rows_and_lines(spark):
+    rows = [(1, "a\nb")] * 50 + [(i, f"text {i}\nend") for i in range(2, 30)] + [(30, "x\n" * 500)]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 31)], "doc_id long, quality int, toxic int")
+    docs = docs_of(spark, rows)
+    allowed = {r[0] for r in labels.filter(~quality.held_out()).select("doc_id").collect()}
+    whole = sorted((t, i % 2) for i, t in rows if i in allowed)
+    assert sorted(map(tuple, quality.sample(docs, labels).collect())) == whole
+    for most, lines in ((20, 10_000), (4000, 30), (7, 9), (4000, 400)):
+        made = [r["text"] for r in quality.sample(docs, labels, most, lines).collect()]
+        assert 0 < len(made) <= most and sum(t.count("\n") + 1 for t in made) <= lines
