@@ -4,7 +4,8 @@ Every source is a queue. Its documents come in a shuffled order that depends on
 their ids alone and are sent up to ``passes`` times, one pass after the other. A
 document's virtual finish time is the words its source has sent by its end, divided
 by the source's target. Sorted by that time the queues advance together, and the
-budget is used up for all of them at virtual time one, where the mix is truncated.
+budget is used up for all of them at virtual time one. Each source is clipped there on
+its own, at its whole words of target, in place of a truncation of the global order.
 A document on its way at that moment counts with the words sent by then.
 
 One source may hold a third of all rows: running sums are taken inside 4,096 hash
