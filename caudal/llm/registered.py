@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caudal.llm import ann, bpe, exact_dedup, lm, mixing, quality, secrets, simhash, substring_dedup, warc
+from caudal.llm import ann, bpe, exact_dedup, lm, mixing, quality, secrets, simhash, substring_dedup, warc, whitening
 from caudal.llm.tables import table
 
 
@@ -96,6 +96,10 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_byte_bpe": op1_byte_bpe,
     "op2_secret_scan": op2_secret_scan,
@@ -107,4 +111,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix_sources": op8_mix_sources,
     "op9_warc": op9_warc,
     "op10_lm_score": op10_lm_score,
+    "op13_whitening": op13_whitening,
 }
