@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caudal.llm import ann, bpe, exact_dedup, lm, mixing, quality, secrets, simhash, substring_dedup, warc, whitening
+from caudal.llm import ann, bpe, exact_dedup, lm, mixing, phrase_index, quality, secrets, simhash, substring_dedup, warc, whitening
 from caudal.llm.tables import table
 
 
@@ -96,6 +96,18 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
+def op12_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = phrase_index.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        "n_items",
+        F.sha2(F.concat_ws(",", "item_ids"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings"))
 
@@ -111,5 +123,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix_sources": op8_mix_sources,
     "op9_warc": op9_warc,
     "op10_lm_score": op10_lm_score,
+    "op12_phrase_index": op12_phrase_index,
     "op13_whitening": op13_whitening,
 }

@@ -67,4 +67,42 @@ select page_id, cast(payload_bytes as bigint) as payload_bytes,
 from p
 """
 
-SQL: dict[str, str] = {"op3_exact_dedup": COPIES, "op8_mix_sources": MIX, "op9_warc": ARCHIVE}
+CONTAMINATION = r"""
+with d as (
+  select doc_id, row_number() over () as r,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from documents
+),
+i as (
+  select item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                     '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+  from benchmark
+),
+iw as (
+  select distinct item_id, least(len(w), 10) as size,
+         array_to_string(w[pos : pos + least(len(w), 10) - 1], ' ') as phrase
+  from (select item_id, w, unnest(range(1, greatest(len(w) - 10, 0) + 2)) as pos from i where len(w) > 0)
+),
+sizes as (select distinct size from iw),
+dw as (
+  select r, pos, size, array_to_string(w[pos : pos + size - 1], ' ') as phrase
+  from (select r, w, size, unnest(range(1, len(w) - size + 2)) as pos from d, sizes where len(w) >= size)
+),
+hit as (
+  select distinct dw.r, dw.pos, dw.size, iw.item_id from dw join iw using (size, phrase)
+),
+words as (
+  select r, count(distinct place) as n_hit
+  from (select r, unnest(range(pos, pos + size)) as place from (select distinct r, pos, size from hit)) group by r
+),
+items as (
+  select r, count(*) as n_items, string_agg(item, ',' order by item) as ids
+  from (select distinct r, cast(item_id as varchar) as item from hit) group by r
+)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+       sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join words using (r) left join items using (r)
+"""
+
+SQL: dict[str, str] = {"op3_exact_dedup": COPIES, "op8_mix_sources": MIX, "op9_warc": ARCHIVE, "op12_phrase_index": CONTAMINATION}

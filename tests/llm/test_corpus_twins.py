@@ -12,7 +12,7 @@ SF = "/root/testdata/sf0.01"
 @pytest.fixture(scope="module")
 def con():
     made = connect(SF)
-    for name in ("documents", "pages"):
+    for name in ("documents", "pages", "benchmark"):
         made.execute(f"create view {name} as select * from read_parquet('{SF}/{name}.parquet')")
     return made
 
