@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caudal.llm import bpe, exact_dedup, mixing, quality, similar
+from caudal.llm import bpe, exact_dedup, mixing, quality, simhash
 from caudal.llm.registered import vocabulary
 from caudal.llm.tables import kept, table, whole_text
 
@@ -41,9 +41,9 @@ def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts linked by five-word shingles (similarity 0.8 or more) the row with the smallest id stays."""
+    """Operator 7, three words and two bits: of each group of linked texts the row with the smallest id stays."""
     rows = _keyed(docs)
-    marked = similar.near_duplicates(rows)
+    marked = simhash.near_duplicates(rows)
     stay = marked.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select("doc_id")
     return rows.select("row", "doc_id").join(stay, "doc_id", "left_semi").select("row.*")
 
@@ -69,7 +69,7 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality classifier", good_documents),
     ("exact dedup", without_copies),
-    ("near-dedup", without_near_copies),
+    ("SimHash near-dedup", without_near_copies),
     ("mixing", mixed_sources),
     ("byte-level BPE", encoded),
 ]
