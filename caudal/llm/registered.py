@@ -8,7 +8,21 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from caudal.llm import ann, bpe, exact_dedup, lm, mixing, phrase_index, quality, secrets, simhash, substring_dedup, warc, whitening
+from caudal.llm import (
+    alignment,
+    ann,
+    bpe,
+    exact_dedup,
+    lm,
+    mixing,
+    phrase_index,
+    quality,
+    secrets,
+    simhash,
+    substring_dedup,
+    warc,
+    whitening,
+)
 from caudal.llm.tables import table
 
 
@@ -96,6 +110,11 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = (vocabulary(public_tokenizers.path(name)) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.align(table(spark, sf_dir, "documents"), a, b, public_tokenizers.PATTERN)
+
+
 def op12_phrase_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = phrase_index.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
@@ -123,6 +142,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mix_sources": op8_mix_sources,
     "op9_warc": op9_warc,
     "op10_lm_score": op10_lm_score,
+    "op11_alignment": op11_alignment,
     "op12_phrase_index": op12_phrase_index,
     "op13_whitening": op13_whitening,
 }
