@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 from caudal.llm.components import connected
 from caudal.llm.tables import kept, whole_text
+from caudal.operators.joins import salted_lookup
 
 DISTANCE = 2
 _SEED = 42
@@ -148,11 +149,15 @@ def near_duplicates(docs: DataFrame, words: int = 3, crowd: int = _CROWD) -> Dat
     marked = kept(fingerprints(docs, words), "fingerprints")
     marks = marked.groupBy("fp").agg(F.min("doc_id").alias("smallest"))
     roots = connected(links(marks.select("fp"), crowd))
-    rooted = marks.join(roots, marks["fp"] == roots["node"], "left").select(
-        "fp", "smallest", F.coalesce("root", "fp").alias("root")
+    rooted = kept(
+        marks.join(roots, marks["fp"] == roots["node"], "left").select(
+            "fp", "smallest", F.coalesce("root", "fp").alias("root")
+        ),
+        "rooted-fingerprints",
     )
-    smallest = rooted.groupBy("root").agg(F.min("smallest").alias("component_id"))
-    classes = rooted.join(smallest, "root").select("fp", "component_id")
+    # One component may hold a third of all fingerprints: its rows are spread over salts.
+    smallest = rooted.groupBy("root").agg(F.min("smallest").alias("component_id"), F.count("*").alias("n"))
+    classes = salted_lookup(rooted, smallest, ["root"], "n", ["fp"]).select("fp", "component_id")
     return marked.join(classes, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
