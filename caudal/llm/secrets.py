@@ -1,25 +1,25 @@
 """Secret scans: fixed patterns, and an assignment-aware lexer with constant propagation.
 
-The lexer reads source and configuration syntax (``name = "x"``, ``name: x``,
-``"name": "x"``, ``name := 'x'``, ``'name' => 'x'``, ``<name>x</name>``) line by line
-into name-literal pairs. A name's value may be joined from literals and earlier names
-(``a + b``, ``"${a}"``), so a literal's origin is kept with it. Where a pair's name is
-sensitive, each literal behind its value is scored: name, length, variety and entropy
-count for it, placeholders and references against.
+``assignments`` turns a whole text into name-literal pairs that point to the pairs they
+take over. Where a pair's name is sensitive, each literal that can be reached from it is
+scored: name, length, variety and entropy count for it, placeholders and references
+against.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
-from typing import NamedTuple
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from caudal.llm.assignments import REFERENCE, WORDS, Pair, pairs
 from caudal.llm.tables import whole_text
 
 # The contract's patterns.
@@ -43,30 +43,15 @@ HARMLESS = {
 }
 PLACEHOLDER = re.compile(r"change_?me|example|placeholder|your[_-]|dummy|redacted|x{4,}|\*{3,}|<[^>]*>|^(none|null|true|false|undefined)$", re.I)
 
-_TOKEN = re.compile(
-    r"""(?P<string>(?<!\w)"(?:[^"\\\n]|\\.)*"|(?<!\w)'(?:[^'\\\n]|\\.)*'|`[^`\n]*`)
-       |(?P<name>[^\W\d][\w$]*(?:[.\-][^\W\d][\w$]*)*)
-       |(?P<op>=>|:=|==|!=|<=|>=|</|[=:+,;(){}\[\]<>])
-       |(?P<gap>\s+)
-       |(?P<other>.)""",
-    re.VERBOSE,
-)
-_BARE = re.compile(r"""[^\s"'`,;(){}\[\]<>]+""")
-_WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-zß-ÿ]+|[0-9]+")
-_REFERENCE = re.compile(r"\$\{([\w.\-]+)\}|\$([A-Za-z_]\w*)|\{([A-Za-z_][\w.]*)\}|%\(([\w.]+)\)s")
+# Names under which several words in a row may be the secret.
+PHRASED = {"clave", "contraseña", "passphrase", "passwd", "password", "passwort", "pwd"}
+
 _SCHEME = re.compile(r"^(?:Basic|Bearer|Token)\s+", re.I)
 _THRESHOLD = 1.0
 
 SPANS = "array<struct<kind: string, start: int, end: int, target: string, score: double>>"
 
 
-class Literal(NamedTuple):
-    start: int
-    end: int
-    text: str
-    quoted: bool
-
-
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, place of kind, end) of the fixed patterns, leftmost and not overlapping per kind."""
     found = []
@@ -78,7 +63,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def name_score(name: str) -> float:
-    words = [w.lower() for w in _WORDS.findall(name)]
+    words = [w.lower() for w in WORDS.findall(name)]
     if not words or words[-1] in HARMLESS:
         return 0.0
     if any(w in SENSITIVE for w in words):
@@ -86,113 +71,60 @@ def name_score(name: str) -> float:
     return 0.9 if any(a in KEYED and b in ("key", "keys") for a, b in zip(words, words[1:])) else 0.0
 
 
-def literal_score(literal: Literal) -> float:
-    """Between -1 and 0.5: how little a literal looks like a secret."""
-    text = _SCHEME.sub("", literal.text)
-    if len(text) < 6 or PLACEHOLDER.search(text) or _REFERENCE.fullmatch(text) or re.search(r"\s", text):
+def literal_score(text: str, quoted: bool = True, phrase: bool = False) -> float:
+    """Between -1 and 0.5: how little a literal looks like a secret. ``phrase``: several words may be one."""
+    text = _SCHEME.sub("", text)
+    if len(text) < 6 or PLACEHOLDER.search(text) or REFERENCE.fullmatch(text):
         return -1.0
+    if re.search(r"\s", text):
+        words = text.split()
+        plain = all(re.fullmatch(r"[\w-]+", w) and w.lower() not in SENSITIVE for w in words)
+        long = 3 <= len(words) <= 12 and len(text) >= 4 * len(words) and (len(words) > 3 or any(map(str.isdigit, text)))
+        return 0.1 if phrase and quoted and plain and long else -1.0
     counts = Counter(text)
     bits = -sum(n * math.log2(n / len(text)) for n in counts.values())
     kinds = sum(any(map(test, text)) for test in (str.islower, str.isupper, str.isdigit, lambda c: not c.isalnum()))
     if "://" in text and "@" not in text:
         return -1.0
-    if not literal.quoted and not (kinds > 1 and any(map(str.isdigit, text))):
+    if not quoted and not (kinds > 1 and any(map(str.isdigit, text))):
         return -1.0  # a bare word is a name or prose
     return min(0.5, (bits - 18) / 60 + 0.1 * (kinds - 1))
 
 
-def pairs(text: str) -> Iterator[tuple[str, list[Literal]]]:
-    """Name and literals behind its value, in order; known names are replaced by their literals."""
-    known: dict[str, list[Literal]] = {}
-    start = 0
-    for line in text.split("\n"):
-        if "=" in line or ":" in line or "</" in line:
-            for name, literals in _line_pairs(line, start, known):
-                known[name] = literals
-                yield name, literals
-        start += len(line) + 1
-
-
-def _line_pairs(line: str, base: int, known: dict[str, list[Literal]]) -> Iterator[tuple[str, list[Literal]]]:
-    tokens = [m for m in _TOKEN.finditer(line) if m.lastgroup != "gap"]
-    i = 0
-    while i + 2 < len(tokens) + 1:
-        name, at = tokens[i], i + 1
-        if name.lastgroup == "string" and at < len(tokens) and tokens[at].group() == "]":
-            at += 1  # a subscript
-        sign = tokens[at].group() if at < len(tokens) else ""
-        element = sign == ">" and i and tokens[i - 1].group() == "<"
-        if name.lastgroup not in ("name", "string") or not (sign in ("=", ":", ":=", "=>") or element):
-            i += 1
-            continue
-        if sign == ":" and at + 2 < len(tokens) and tokens[at + 1].lastgroup == "name" and tokens[at + 2].group() == "=":
-            at += 2  # a declared type stands between
-        at += 1
-        literals, after = _value(line, base, tokens, at, known)
-        target = name.group().strip("\"'`") if name.lastgroup == "string" else name.group()
-        yield target.rpartition(".")[2], literals
-        i = max(after, i + 2)
-
-
-def _value(line: str, base: int, tokens: list[re.Match], at: int, known: dict) -> tuple[list[Literal], int]:
-    """Literals of the expression that begins at token ``at``, and the token after it."""
-    literals: list[Literal] = []
-    while at < len(tokens):
-        token = tokens[at]
-        if token.lastgroup == "string":
-            text = token.group()[1:-1]
-            inner = [known[n] for m in _REFERENCE.finditer(text) if (n := next(filter(None, m.groups()))) in known]
-            literals += [x for found in inner for x in found]
-            literals.append(Literal(base + token.start() + 1, base + token.end() - 1, text, True))
-            at += 1
-        elif token.lastgroup in ("name", "other") or token.group() == "+":
-            whole = _BARE.match(line, token.start())
-            text = whole.group() if whole else token.group()
-            bare = token.group() if token.group() in known else text
-            if (reference := _REFERENCE.fullmatch(bare)) and (n := next(filter(None, reference.groups()))) in known:
-                literals += known[n]
-            elif bare in known:
-                literals += known[bare]
-                text = bare
-            elif bare != "+" and line[token.start() + len(text) :][:1] not in ("(", "["):  # else a call
-                literals.append(Literal(base + token.start(), base + token.start() + len(text), text, False))
-            end = token.start() + max(len(text), 1)
-            at += 1
-            while at < len(tokens) and tokens[at].start() < end:
-                at += 1
-        else:
-            break
-        if at < len(tokens) and tokens[at].group() == "+":
-            at += 1
-        elif at < len(tokens) and tokens[at].lastgroup == "string" and tokens[at - 1].lastgroup == "string":
-            continue
-        else:
-            break
-    return literals, at
-
-
 def lexed_spans(text: str) -> dict[tuple[int, int], tuple[str, float]]:
-    """Spans of literals that a sensitive name holds, with that name and the score."""
+    """Spans of literals that a sensitive name holds, with that name and the score.
+
+    Pairs are visited from the most sensitive names on, each once: time is linear in the
+    text however often names are joined and passed on.
+    """
     found: dict[tuple[int, int], tuple[str, float]] = {}
-    if "=" not in text and ":" not in text and "</" not in text:
-        return found
-    for name, literals in pairs(text):
-        weight = name_score(name)
-        if not weight:
-            continue
-        for literal in literals:
-            score = weight + literal_score(literal)
-            if score >= _THRESHOLD and score > found.get((literal.start, literal.end), ("", 0.0))[1]:
-                found[literal.start, literal.end] = (name, score)
+    seen: set[Pair] = set()
+    weighted = [(name_score(p.name), p) for p in pairs(text)]
+    for weight, root in sorted((x for x in weighted if x[0]), key=lambda x: -x[0]):
+        phrase = any(w.lower() in PHRASED for w in WORDS.findall(root.name))
+        ahead = [root]
+        while ahead:
+            pair = ahead.pop()
+            if pair in seen:
+                continue
+            seen.add(pair)
+            ahead += pair.uses
+            for start, end, quoted in pair.literals:
+                score = weight + literal_score(text[start:end], quoted, phrase)
+                if score >= _THRESHOLD and score > found.get((start, end), ("", 0.0))[1]:
+                    found[start, end] = (root.name, score)
     return found
 
 
 def spans(text: str) -> list[tuple[str, int, int, str | None, float]]:
     """All spans by start, then kind; a lexed literal inside a fixed pattern's span adds nothing."""
-    base = base_spans(text)
+    base = sorted(base_spans(text))
+    starts = [s for s, _, _ in base]
+    reach = list(accumulate((e for _, _, e in base), max))  # the farthest end of the spans so far
     rows = [(start, kind, end, None, 1.0) for start, kind, end in base]
     for (start, end), (name, score) in lexed_spans(text).items():
-        if not any(s <= start and end <= e for s, _, e in base):
+        at = bisect_right(starts, start)
+        if not at or reach[at - 1] < end:
             rows.append((start, 3, end, name, score))
     return [(KINDS[k], s, e, name, score) for s, k, e, name, score in sorted(rows, key=lambda r: r[:3])]
 

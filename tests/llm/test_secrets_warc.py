@@ -3,6 +3,7 @@
 import gzip
 import hashlib
 import re
+import time
 import zlib
 
 import pytest
@@ -55,6 +56,22 @@ def test_base_spans():
         ('pwd = "changeme123"\npwd_file = "/etc/x/Pass99"\nname = "Zx81_qw9ABC"', []),
         ("The auth: was given. He said: don't. The key = value", []),
         ('pwd = os.environ["PWD_VALUE1"]', []),
+        ('token = ("q1w2E3r4T5y6u7I8")', ["q1w2E3r4T5y6u7I8"]),
+        ('api_keys = ["Zx81_qw9AB!", "k9L2m4N6p8"]\nother = ["not1Looked2At3"]', ["Zx81_qw9AB!", "k9L2m4N6p8"]),
+        ("client_key =\n    'v4lue-on-the-next-l1ne'", ["v4lue-on-the-next-l1ne"]),
+        ('db_secret = getenv("DB_SECRET_KEY1", "f4ll-B4ck!x")', ["f4ll-B4ck!x"]),
+        ('db_secret = os.getenv("DB_SECRET_KEY1") or "f4ll-B4ck!x"', ["f4ll-B4ck!x"]),
+        ('passphrase: "correct horse battery staple 42"', ["correct horse battery staple 42"]),
+        ('password: "Please enter your password"\ntitle: "correct horse battery staple 42"', []),
+        ('auth = "part1-Xy" +\n   "part2-Zw9"\nz = "n0t_Th1s_0ne"', ["part1-Xy", "part2-Zw9"]),
+        ('pwd = ("ab1-Cd2-"\n       "ef3-Gh4")', ["ab1-Cd2-", "ef3-Gh4"]),
+        ('login(user="bob1234x", pwd="h8&Gt!pq92Lz", host="db1.Example")', ["h8&Gt!pq92Lz"]),
+        ('a = client_credential = "sk_live_9aZ1"', ["sk_live_9aZ1"]),
+        ('credential = """\nq1w2 E3r4 T5\n"""', []),
+        ('credential = """q1w2E3r4T5y6"""', ["q1w2E3r4T5y6"]),
+        ('credentials = {"user": "bob1234x", "pwd": "Tr0ub4dor&3x"}', ["Tr0ub4dor&3x"]),
+        ('pwd = (see the note\n\nx = "unr3lated-Str1ng"', []),
+        ('credential = wrap(base64("q1w2E3r4T5y6"))', ["q1w2E3r4T5y6"]),
     ],
 )
 def test_lexed_literals(text, held):
@@ -62,6 +79,27 @@ def test_lexed_literals(text, held):
     assert [text[s:e] for k, s, e, *_ in found if k == "literal"] == held
 
 
+@pytest.mark.parametrize(
+    "text, n",
+    [
+        ('a = "s3cr3t-Aa1"\n' + "a = a + a\n" * 10_000 + "auth = a", 1),
+        ("\n".join(['x0 = "s3cr3t-Aa1"', *(f'x{i} = x{i - 1} + "s3cr3t-{i}Zz"' for i in range(1, 10_000)), "auth = x9999"]), 10_000),
+        ("\n".join(['auth0 = "s3cr3t-Aa1"', *(f"auth{i} = auth{i - 1} + auth0" for i in range(1, 10_000))]), 1),
+        ("auth = " + "(" * 50_000 + '"s3cr3t-Aa1"', 1),
+        ('auth = "' + '\\"' * 100_000, 0),
+        ("pwd" + "]})" * 50_000 + ' = "s3cr3t-Aa1"', 0),
+        ("auth = " * 50_000 + '"s3cr3t-Aa1"', 1),
+        (3 * '"' + " ' ` = " * 30_000, 0),
+    ],
+    ids=["doubled", "chain", "sensitive chain", "brackets", "escapes", "closers", "signs", "quotes"],
+)
+def test_long_values_take_linear_time(text, n):
+    """Joins, chains, brackets and quotes without an end: seconds and not hours, memory as the text."""
+    started = time.perf_counter()
+    assert sum(kind == "literal" for kind, *_ in secrets.spans(text)) == n
+    assert time.perf_counter() - started < 5
+
+
 def test_scan(spark):
     rows = [(i, t, "x") for i, t in enumerate(TEXTS)] + [(None, None, "x"), (3, "secret: " * 40_000 + "Zz1", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, spans string")
