@@ -13,7 +13,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from caudal.operators.sketches import quantile_bounds
+
 QUARTILES = (0.25, 0.5, 0.75)
+_SKETCH_SLACK = 0.003  # about twice the error of a stored sketch's ranks
 
 
 def exact_quantiles(
@@ -22,6 +25,7 @@ def exact_quantiles(
     value: str,
     probs: Sequence[float] = QUARTILES,
     accuracy: int = 10_000,
+    sketched: DataFrame | None = None,
 ) -> DataFrame:
     """One row per ``by`` with ``cuts``: the linearly interpolated quantiles.
 
@@ -31,12 +35,16 @@ def exact_quantiles(
     between the bounds that hold a wanted rank are ranked, equal ones counted first.
     The sketch decides how many values that is (six in ``accuracy`` for a quantile),
     never which value comes out: a bound that is off makes its neighbour the part
-    that is ranked.
+    that is ranked. With ``sketched`` (``by`` and ``reparto``, see ``sketches``) the bounds
+    come from stored sketches of the same rows, and no sketch pass over them is needed.
     """
     values = df.select(*by, F.col(value).cast("double").alias("_v")).filter(F.col("_v").isNotNull())
-    slack = 3.0 / accuracy
+    slack = 3.0 / accuracy if sketched is None else _SKETCH_SLACK
     marks = sorted({m for p in probs for m in (max(p - slack, 0.0), min(p + slack, 1.0))})
-    bounds = values.groupBy(*by).agg(F.percentile_approx("_v", marks, accuracy).alias("_bounds"))
+    if sketched is None:
+        bounds = values.groupBy(*by).agg(F.percentile_approx("_v", marks, accuracy).alias("_bounds"))
+    else:
+        bounds = quantile_bounds(sketched, by, marks)
     part = sum(((F.col("_bounds")[i] < F.col("_v")).cast("int") for i in range(len(marks))), F.lit(0))
     placed = values.join(F.broadcast(bounds), list(by)).select(*by, "_v", part.alias("_part"))
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from caudal import domain
 from caudal.functions.values import direction, month_of
+from caudal.operators import sketches
 from caudal.operators.quantiles import QUARTILES, band, exact_quantiles
 
 AsOf = dt.date | dt.datetime | None
@@ -107,6 +108,60 @@ def daily(tx: DataFrame, clientes: DataFrame, extra: Sequence[str] = ()) -> Data
     return summarise_days(daily_by_client(tx, clientes, extra), extra)
 
 
+def client_sketches(tx: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+    """Distinct clients per day, country and segment as sketches, from rows that carry both."""
+    day = F.to_date("timestamp_tx").alias("fecha")
+    return sketches.distinct_sketches(tx, [day, "pais", "segmento", *extra], "cliente_id")
+
+
+def monthly_clients(daily: DataFrame, by: Sequence[str] = ("pais",)) -> DataFrame:
+    """Distinct clients per month (and ``by``) from the sketches per day."""
+    months = sketches.united(daily, [month_of("fecha").alias("mes"), *by])
+    return months.select("mes", *by, sketches.n_distinct().alias("n_clientes"))
+
+
+def retained_clients(daily: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Per month: distinct clients, and those active again in the next, from the sketches per day alone.
+
+    The last month has no successor and is dropped; a month whose next one is empty
+    keeps no client.
+    """
+    months = sketches.united(daily, [month_of("fecha").alias("mes"), *by])
+    following = months.select(
+        F.add_months("mes", -1).alias("mes"), *by, F.col("distintos").alias("_despues")
+    )
+    again = F.coalesce(sketches.n_common("distintos", "_despues"), F.lit(0))
+    return (
+        months.join(following, ["mes", *by], "left")
+        .filter(F.col("mes") < months.agg(F.max("mes")).scalar())
+        .select("mes", *by, sketches.n_distinct().alias("n_clientes"), again.alias("n_retenidos"))
+    )
+
+
+def activity_rollup(by_client: DataFrame) -> DataFrame:
+    """Transactions, distinct clients and amount per month, country and segment, with all subtotals.
+
+    From rows per client and day, summed per client and month before ``rollup`` repeats
+    them. A client has one country and one segment, so within a month rows are clients;
+    in the grand total a client counts in its first month only. No distinct aggregate and
+    one pass over the facts. ``nivel`` is the grouping id.
+    """
+    monthly = by_client.groupBy(month_of("fecha").alias("mes"), "cliente_id", "pais", "segmento").agg(
+        F.sum("n_tx").alias("n_tx"), F.sum("monto_total").alias("monto")
+    )
+    first = F.min("mes").over(Window.partitionBy("cliente_id"))  # a client's months
+    counted = monthly.withColumn("_primero", (F.col("mes") == first).cast("bigint"))
+    sums = counted.rollup("mes", "pais", "segmento").agg(
+        F.grouping_id().cast("bigint").alias("nivel"),
+        F.sum("n_tx").alias("n_tx"),
+        F.count(F.lit(1)).alias("_filas"),
+        F.sum("_primero").alias("_clientes"),
+        F.sum("monto").alias("monto"),
+    )
+    clients = F.when(F.col("nivel") == 7, F.col("_clientes")).otherwise(F.col("_filas"))
+    return sums.select("nivel", "mes", "pais", "segmento", "n_tx", clients.alias("n_clientes"), "monto")
+
+
 # --- retention --------------------------------------------------------------
 
 def retention_by_volume(tx: DataFrame, currency: str | None = None) -> DataFrame:

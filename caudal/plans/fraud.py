@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from caudal.operators.joins import salted_lookup
+from caudal.operators.prefix import earlier_totals
 from caudal.operators.windows import trailing_totals, with_previous
 
 _DAY = 86_400
@@ -57,6 +58,35 @@ def unusual_amounts(
     return _deviations(tx, _usual(tx, keys), keys, ["transaccion_id"]).filter(F.col("z") > F.lit(threshold))
 
 
+def unusual_amounts_before(
+    tx: DataFrame, threshold: float = 3.0, currency: str | None = None, at_least: int = 10
+) -> DataFrame:
+    """Transactions more than ``threshold`` deviations above the mean of the client's earlier ones.
+
+    Only what happened strictly before a transaction judges it, so a verdict never
+    changes when later rows come. At least ``at_least`` earlier amounts are needed.
+    Counts, sums and sums of squares are whole numbers of the smallest unit, so the
+    deviation is taken without cancellation whatever the size of the amounts.
+    """
+    keys = _per_client(currency)
+    scale = tx.schema["monto"].dataType.scale
+    units = (F.col("monto") * F.lit(10**scale)).cast("decimal(18,0)")
+    totals = {
+        "_previas": F.count("monto"),
+        "_suma": F.coalesce(F.sum(units), F.lit(0)).cast("decimal(38,0)"),
+        "_cuadrados": F.coalesce(F.sum(units * units), F.lit(0)).cast("decimal(38,0)"),
+    }
+    earlier = earlier_totals(tx, keys, "timestamp_tx", totals).filter(F.col("_previas") >= max(at_least, 2))
+    n = F.col("_previas")
+    spread = n.cast("decimal(12,0)") * F.col("_cuadrados") - F.col("_suma") * F.col("_suma")
+    deviation = F.sqrt(spread.cast("double") / (n * (n - 1)))
+    z = (units.cast("double") - F.col("_suma").cast("double") / n) / F.nullif(deviation, F.lit(0.0))
+    judged = tx.filter(F.col("monto").isNotNull()).join(earlier, [*keys, "timestamp_tx"])
+    return judged.withColumn("z", z).filter(F.col("z") > F.lit(threshold)).select(
+        "transaccion_id", *keys, "timestamp_tx", "monto", n.alias("n_previas"), "z"
+    )
+
+
 def bursts(
     tx: DataFrame, seconds: int = 3600, at_least: int = 2, currency: str | None = None
 ) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from caudal import domain
 from caudal.functions.hashing import hash_uniform, uniform_between, uniform_int, weighted_choice
 from caudal.functions.values import direction, format_key, key_matches, plus_seconds, seconds_between
-from caudal.operators import joins, quality, sampling
+from caudal.operators import joins, keysets, prefix, quality, sampling
 from caudal.operators.dedup import latest_by_key
 from caudal.plans import activity, fraud, silver, stand_ins
 from caudal.sources.bronze import to_bronze
@@ -529,6 +529,66 @@ def client_features_as_of(spark: SparkSession, sf: str) -> DataFrame:
     return client_features(spark, sf, ORDERS_AS_OF, EVENTS_AS_OF)
 
 
+# --- mergeable parts, key sets, earlier rows ------------------------------------------
+
+def _client_days(spark: SparkSession, sf: str) -> DataFrame:
+    """Sketches of the clients per day, country and segment."""
+    owned = stand_ins.order_tx(spark, sf).join(stand_ins.clientes(spark, sf), "cliente_id")
+    return activity.client_sketches(owned)
+
+
+def monthly_clients_sketched(spark: SparkSession, sf: str) -> DataFrame:
+    return activity.monthly_clients(_client_days(spark, sf))
+
+
+def retention_sketched(spark: SparkSession, sf: str) -> DataFrame:
+    return activity.retained_clients(_client_days(spark, sf))
+
+
+def activity_rollup(spark: SparkSession, sf: str) -> DataFrame:
+    by_client = activity.daily_by_client(stand_ins.order_tx(spark, sf), stand_ins.clientes(spark, sf))
+    return _plain(activity.activity_rollup(by_client))
+
+
+def dq_unique_bitmap(spark: SparkSession, sf: str) -> DataFrame:
+    lines = keysets.dense_key(stand_ins.table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
+    orders = stand_ins.table(spark, sf, "orders")
+    return keysets.count_repeated(lines, "_clave", "unique:lineitem").unionByName(
+        keysets.count_repeated(orders, "o_orderkey", "unique:orders")
+    )
+
+
+def dq_relationships_bitmap(spark: SparkSession, sf: str) -> DataFrame:
+    cuentas = stand_ins.cuentas(spark, sf).select("cuenta_id", "cliente_id", "estado")
+    tx = stand_ins.lineitem_tx(spark, sf).select("cuenta_id")
+    active = cuentas.filter(F.col("estado") == "ACTIVA")
+    parts = [
+        keysets.count_orphans(tx, "cuenta_id", cuentas, "relationship:tx.cuenta"),
+        keysets.count_orphans(tx, "cuenta_id", active, "relationship:tx.cuenta_activa"),
+        keysets.count_orphans(cuentas, "cliente_id", stand_ins.clientes(spark, sf), "relationship:cuenta.cliente"),
+    ]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def fraud_amount_before(spark: SparkSession, sf: str) -> DataFrame:
+    flagged = fraud.unusual_amounts_before(stand_ins.event_tx(spark, sf))
+    return _plain(
+        flagged.select("transaccion_id", "cliente_id", "monto", "n_previas", F.round("z", 4).alias("z"))
+    )
+
+
+def tx_state_as_of(spark: SparkSession, sf: str) -> DataFrame:
+    """Transactions with what was last known of their client when they happened."""
+    cuentas = stand_ins.table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("cuenta_id"), F.col("o_custkey").alias("cliente_id"), "o_orderdate",
+        F.col("o_orderstatus").alias("estado"), F.col("o_orderpriority").alias("tipo_cuenta"),
+    )
+    states = prefix.versions(cuentas.withColumn("ultima_cuenta", F.col("cuenta_id")), "cliente_id", "o_orderdate", ["ultima_cuenta", "estado", "tipo_cuenta"])
+    tx = stand_ins.lineitem_tx(spark, sf).select("transaccion_id", "cuenta_id", "timestamp_tx")
+    owned = tx.join(cuentas.select("cuenta_id", "cliente_id"), "cuenta_id")
+    return prefix.as_of(owned, states, "cliente_id", "timestamp_tx", "desde", ["desde", "ultima_cuenta", "estado", "tipo_cuenta"])
+
+
 QUERIES: dict[str, Query] = {
     "bronze_scan": bronze_scan,
     "json_extract": json_extract,
@@ -586,4 +646,11 @@ QUERIES: dict[str, Query] = {
     "finance_monthly": finance_monthly,
     "client_features": client_features,
     "client_features_as_of": client_features_as_of,
+    "monthly_clients_sketched": monthly_clients_sketched,
+    "retention_sketched": retention_sketched,
+    "activity_rollup": activity_rollup,
+    "dq_unique_bitmap": dq_unique_bitmap,
+    "dq_relationships_bitmap": dq_relationships_bitmap,
+    "fraud_amount_before": fraud_amount_before,
+    "tx_state_as_of": tx_state_as_of,
 }

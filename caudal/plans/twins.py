@@ -429,3 +429,40 @@ left join sleeping on sleeping.cliente_id = c_custkey
 left join churned on churned.cliente_id = c_custkey
 left join segments on segments.cliente_id = c_custkey""",
 }
+
+SQL["dq_unique_bitmap"] = SQL["dq_unique"]
+SQL["dq_relationships_bitmap"] = SQL["dq_relationships"]
+SQL |= {
+    "monthly_clients_sketched": """
+select cast(date_trunc('month', o_orderdate) as date) as mes, n_name as pais, count(distinct o_custkey) as n_clientes
+from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by 1, 2""",
+    "retention_sketched": """
+with m as (select distinct cast(date_trunc('month', o_orderdate) as date) as mes, o_custkey from orders)
+select a.mes, count(*) as n_clientes, count(b.o_custkey) as n_retenidos
+from m a left join m b on a.o_custkey = b.o_custkey and b.mes = a.mes + interval 1 month
+where a.mes < (select max(mes) from m) group by 1""",
+    "activity_rollup": f"""
+select grouping(mes, pais, segmento) as nivel, mes, pais, segmento, count(*) as n_tx,
+  count(distinct o_custkey) as n_clientes, cast(sum(monto) as double) as monto
+from (select cast(date_trunc('month', o_orderdate) as date) as mes, n_name as pais, c_mktsegment as segmento, o_custkey,
+    {_dec('o_totalprice')} as monto
+  from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey)
+group by rollup (mes, pais, segmento)""",
+    "fraud_amount_before": """
+select event_id as transaccion_id, user_id as cliente_id, value as monto, n as n_previas, round(z, 4) as z from (
+  select *, count(*) over w as n, (value - avg(value) over w) / nullif(stddev_samp(value) over w, 0) as z
+  from events window w as (partition by user_id order by ts
+    range between unbounded preceding and interval 1 microsecond preceding))
+where n >= 10 and z > 3""",
+    "tx_state_as_of": """
+with v as (
+  select o_custkey, o_orderdate, max_by(o_orderkey, o_orderkey) as ultima_cuenta,
+    max_by(o_orderstatus, o_orderkey) as estado, max_by(o_orderpriority, o_orderkey) as tipo_cuenta
+  from orders group by 1, 2),
+t as (
+  select concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) as transaccion_id, l_orderkey as cuenta_id,
+    l_shipdate as timestamp_tx, o_custkey as cliente_id
+  from lineitem join orders on l_orderkey = o_orderkey)
+select t.*, v.o_orderdate as desde, v.ultima_cuenta, v.estado, v.tipo_cuenta
+from t asof left join v on t.cliente_id = v.o_custkey and t.timestamp_tx >= v.o_orderdate""",
+}
