@@ -26,19 +26,16 @@ REASONS = "motivos"
 _DAY = r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d{1,9})?)?)?$"
 
 
-def _typed(name: str, kind: T.DataType) -> Column:
-    text = F.trim(F.col(name))
-    text = F.when(text != "", text)
-    if isinstance(kind, T.StringType):
-        return F.col(name)
+def _typed(text: Column, kind: T.DataType) -> Column:
+    """A trimmed text (null where blank) as ``kind``, null where it doesn't parse."""
     if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return F.when(text.rlike(_DAY), text).try_cast(kind)
-    value = text.try_cast(kind)
     if isinstance(kind, T.DecimalType):
         # A cast would round digits that the type can't hold.
-        finer = T.DecimalType(38, min(38 - kind.precision + kind.scale, kind.scale + 12))
-        return F.when(text.try_cast(finer) == value, value)
-    return value
+        finer = text.try_cast(T.DecimalType(38, min(38 - kind.precision + kind.scale, kind.scale + 12)))
+        value = finer.try_cast(kind)
+        return F.when(finer == value, value)
+    return text.try_cast(kind)
 
 
 def validate_types(raw: DataFrame, schema: T.StructType, required: Sequence[str] = ()) -> DataFrame:
@@ -47,18 +44,28 @@ def validate_types(raw: DataFrame, schema: T.StructType, required: Sequence[str]
     A text that does not parse becomes null with reason ``tipo:<column>``; a
     required column without text gets ``nulo:<column>``. Nothing raises and no row
     is lost: ``motivos`` is empty for good rows. Other columns pass through.
+
+    Trimming, parsing and the reasons are three projections, each using the one before
+    more than once, so that the optimiser keeps them apart: a text is trimmed once and
+    parsed once, in generated code.
     """
+    extra = [c for c in raw.columns if c not in schema.names]
+    parsed = [f for f in schema.fields if not isinstance(f.dataType, T.StringType)]
+    trimmed = {f"_texto_{f.name}": F.trim(F.col(f.name).cast("string")) for f in schema.fields}
+    typed = {f"_valor_{f.name}": _typed(F.nullif(F.col(f"_texto_{f.name}"), F.lit("")), f.dataType) for f in parsed}
+    rows = raw.withColumns(trimmed).withColumns(typed)
     reasons = []
     for f in schema.fields:
-        blank = F.col(f.name).isNull() | (F.trim(F.col(f.name)) == "")
-        if not isinstance(f.dataType, T.StringType):
-            reasons.append(F.when(~blank & _typed(f.name, f.dataType).isNull(), F.lit(f"tipo:{f.name}")))
+        text = F.col(f"_texto_{f.name}")
+        if f in parsed:
+            reasons.append(F.when((text != "") & F.col(f"_valor_{f.name}").isNull(), F.lit(f"tipo:{f.name}")))
         if f.name in required:
-            reasons.append(F.when(blank, F.lit(f"nulo:{f.name}")))
-    listed = F.array_compact(F.array(*reasons)) if reasons else F.array().cast("array<string>")
-    extra = [c for c in raw.columns if c not in schema.names]
-    return raw.select(
-        *[_typed(f.name, f.dataType).alias(f.name) for f in schema.fields],
+            reasons.append(F.when(F.coalesce(text, F.lit("")) == "", F.lit(f"nulo:{f.name}")))
+    empty = F.array().cast("array<string>")
+    # Reasons differ from each other, so taking null out of them as a set loses none.
+    listed = F.array_except(F.array(*reasons), F.array(F.lit(None).cast("string"))) if reasons else empty
+    return rows.select(
+        *[F.col(f"_valor_{f.name}" if f in parsed else f.name).alias(f.name) for f in schema.fields],
         *extra,
         listed.alias(REASONS),
     )

@@ -138,20 +138,23 @@ def retained_clients(daily: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def activity_rollup(by_client: DataFrame) -> DataFrame:
+def activity_rollup(by_client: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     """Transactions, distinct clients and amount per month, country and segment, with all subtotals.
 
     From rows per client and day, summed per client and month before ``rollup`` repeats
     them. A client has one country and one segment, so within a month rows are clients;
     in the grand total a client counts in its first month only. No distinct aggregate and
-    one pass over the facts. ``nivel`` is the grouping id.
+    one pass over the facts. ``nivel`` is the grouping id. ``extra`` (a currency) is kept
+    apart at every level: its amounts are never added up, and clients count per value.
     """
-    monthly = by_client.groupBy(month_of("fecha").alias("mes"), "cliente_id", "pais", "segmento").agg(
+    monthly = by_client.groupBy(month_of("fecha").alias("mes"), "cliente_id", "pais", "segmento", *extra).agg(
         F.sum("n_tx").alias("n_tx"), F.sum("monto_total").alias("monto")
     )
-    first = F.min("mes").over(Window.partitionBy("cliente_id"))  # a client's months
+    first = F.min("mes").over(Window.partitionBy("cliente_id", *extra))  # a client's months
     counted = monthly.withColumn("_primero", (F.col("mes") == first).cast("bigint"))
-    sums = counted.rollup("mes", "pais", "segmento").agg(
+    levels = ["mes", "pais", "segmento"]
+    sets = [[*extra, *levels[:n]] for n in range(len(levels), -1, -1)]
+    sums = counted.groupingSets([[F.col(c) for c in one] for one in sets], *extra, *levels).agg(
         F.grouping_id().cast("bigint").alias("nivel"),
         F.sum("n_tx").alias("n_tx"),
         F.count(F.lit(1)).alias("_filas"),
@@ -159,7 +162,20 @@ def activity_rollup(by_client: DataFrame) -> DataFrame:
         F.sum("monto").alias("monto"),
     )
     clients = F.when(F.col("nivel") == 7, F.col("_clientes")).otherwise(F.col("_filas"))
-    return sums.select("nivel", "mes", "pais", "segmento", "n_tx", clients.alias("n_clientes"), "monto")
+    return sums.select("nivel", *extra, *levels, "n_tx", clients.alias("n_clientes"), "monto")
+
+
+def amount_quartiles(monthly: DataFrame, parts: DataFrame) -> DataFrame:
+    """Quartiles of the clients' monthly amounts per year, ``anio, q1, q2, q3``.
+
+    ``monthly`` has rows per client and month (``mes, monto``), ``parts`` the stored
+    quantile sketch of each month: merged into years they bracket the quartiles, so the
+    year needs no sketch pass, and the cuts are exact.
+    """
+    rows = monthly.withColumn("anio", F.year("mes"))
+    years = sketches.merged(parts.withColumn("anio", F.year("mes")), ["anio"])
+    cuts = exact_quantiles(rows, ["anio"], "monto", QUARTILES, sketched=years)
+    return cuts.select("anio", *[F.col("cuts")[i].alias(f"q{i + 1}") for i in range(3)])
 
 
 # --- retention --------------------------------------------------------------

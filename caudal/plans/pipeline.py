@@ -47,6 +47,11 @@ def _write(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
 
+def _stored(df: DataFrame, path: str) -> DataFrame:
+    _write(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def ingest(
     spark: SparkSession,
     layout: Layout,
@@ -78,15 +83,22 @@ def build_silver(spark: SparkSession, layout: Layout) -> None:
     """Bronze to typed tables, quarantine, reconciliation and the quality report.
 
     Every row received is in silver, a copy of a row there, or in the quarantine; every
-    transaction in silver is enriched or in the quarantine.
+    transaction in silver is enriched or in the quarantine. The checked rows are a table
+    of their own, so bronze is read and checked once.
     """
     cleaned = {
-        table: silver.clean(bronze.payload(bronze.read_bronze(spark, layout.bronze(table))), table)
+        table: silver.clean(
+            bronze.payload(bronze.read_bronze(spark, layout.bronze(table))),
+            table,
+            lambda checked, table=table: _stored(checked, layout.silver(f"{table}_comprobadas")),
+        )
         for table in schemas.TABLES
     }
     for table, parts in cleaned.items():
         _write(parts.good, layout.silver(table))
     clientes, cuentas, tx = read_silver(spark, layout)
+    written = dict(zip(schemas.TABLES, (clientes, cuentas, tx)))
+    counts = [silver.reconciliation(c.checked, written[table], table) for table, c in cleaned.items()]
     aside = [
         *[c.quarantine for c in cleaned.values()],
         silver.set_aside(silver.null_amounts(tx), "transacciones", "nulo:monto"),
@@ -95,7 +107,7 @@ def build_silver(spark: SparkSession, layout: Layout) -> None:
         ),
     ]
     _write(reduce(DataFrame.unionByName, aside), layout.silver("cuarentena"))
-    _write(reduce(DataFrame.unionByName, [c.counts for c in cleaned.values()]), layout.silver("conciliacion"))
+    _write(reduce(DataFrame.unionByName, counts), layout.silver("conciliacion"))
     _write(silver.broken_rules(clientes, cuentas, tx), layout.silver("reglas_incumplidas"))
     report = silver.quality_report(
         clientes, cuentas, tx, seeds.pais_ciudad(spark), seeds.categoria_comercio(spark)
@@ -136,6 +148,7 @@ def _days(of: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFra
 # Gold by day: the metric, and how far back it looks.
 DAILY: dict[str, tuple[Callable[[DataFrame], DataFrame], dt.timedelta]] = {
     "tx_diarias_cliente": (lambda tx: activity.daily_of_enriched(tx, ("moneda",)), dt.timedelta(0)),
+    "clientes_bocetos": (lambda tx: activity.client_sketches(tx), dt.timedelta(0)),
     "rafagas": (_days(lambda tx: fraud.burst_transactions(tx, "moneda")), dt.timedelta(hours=1)),
     "secuencias_rapidas": (_days(fraud.fast_transactions), dt.timedelta(hours=1)),
     "viajes_imposibles": (_days(fraud.travel_transactions), dt.timedelta(days=1)),
@@ -168,6 +181,9 @@ def build_gold(
         write_days(by_day, layout.gold("tx_diarias"))
     else:
         replace_days(by_day, *days, layout.gold("tx_diarias"))
+    sketched = spark.read.parquet(layout.gold("clientes_bocetos"))
+    _write(activity.retained_clients(sketched, ("pais", "segmento")), layout.gold("retencion_clientes"))
+    _write(activity.activity_rollup(by_client, ("moneda",)), layout.gold("actividad_subtotales"))
     per_day = activity.as_movements(by_client)
     _write(activity.retention_by_volume(per_day, "moneda"), layout.gold("retencion"))
     _write(activity.finance_of_enriched(tx), layout.gold("finanzas"))

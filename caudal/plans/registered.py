@@ -15,10 +15,11 @@ from pyspark.sql import types as T
 
 from caudal import domain
 from caudal.functions.hashing import hash_uniform, uniform_between, uniform_int, weighted_choice
-from caudal.functions.values import direction, format_key, key_matches, plus_seconds, seconds_between
-from caudal.operators import joins, keysets, prefix, quality, sampling
+from caudal.functions.values import direction, format_key, key_matches, month_of, plus_seconds, seconds_between
+from caudal.operators import joins, keysets, prefix, quality, sampling, sketches
 from caudal.operators.dedup import latest_by_key
 from caudal.plans import activity, fraud, silver, stand_ins
+from caudal.session import written
 from caudal.sources.bronze import to_bronze
 from caudal.sources.raw import json_fields
 
@@ -192,7 +193,7 @@ def silver_reconciliation(spark: SparkSession, sf: str) -> DataFrame:
             T.StructField("monto", T.DecimalType(18, 2)),
         ]
     )
-    checked = quality.validate_types(raw, schema, required=("transaccion_id", "monto"))
+    checked = written(quality.validate_types(raw, schema, required=("transaccion_id", "monto")), "comprobadas")
     good = latest_by_key(quality.accepted(checked), ["transaccion_id"], ["fecha"])
     return silver.reconciliation(checked, good, "transacciones")
 
@@ -550,6 +551,13 @@ def activity_rollup(spark: SparkSession, sf: str) -> DataFrame:
     return _plain(activity.activity_rollup(by_client))
 
 
+def amount_quartiles(spark: SparkSession, sf: str) -> DataFrame:
+    tx = stand_ins.order_tx(spark, sf)
+    monthly = tx.groupBy("cliente_id", month_of("timestamp_tx").alias("mes")).agg(F.sum("monto").alias("monto"))
+    cuts = activity.amount_quartiles(monthly, sketches.quantile_sketches(monthly, ["mes"], "monto"))
+    return _plain(cuts.select("anio", *[F.round(c, 4).alias(c) for c in ("q1", "q2", "q3")]))
+
+
 def dq_unique_bitmap(spark: SparkSession, sf: str) -> DataFrame:
     lines = keysets.dense_key(stand_ins.table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
     orders = stand_ins.table(spark, sf, "orders")
@@ -649,6 +657,7 @@ QUERIES: dict[str, Query] = {
     "monthly_clients_sketched": monthly_clients_sketched,
     "retention_sketched": retention_sketched,
     "activity_rollup": activity_rollup,
+    "amount_quartiles": amount_quartiles,
     "dq_unique_bitmap": dq_unique_bitmap,
     "dq_relationships_bitmap": dq_relationships_bitmap,
     "fraud_amount_before": fraud_amount_before,

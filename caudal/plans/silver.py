@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 from functools import reduce
 
@@ -17,7 +17,7 @@ from caudal.sources.raw import CORRUPT
 
 @dataclass(frozen=True)
 class Cleaned:
-    """Good rows, the typed rows they come from, and the rows set aside.
+    """Good rows, the typed rows they come from, all rows checked, and the rows set aside.
 
     The quarantine has rows in text form with their reasons and how often they came
     (``n_filas``); ``counts`` says where every row received went.
@@ -25,6 +25,7 @@ class Cleaned:
 
     good: DataFrame
     typed: DataFrame
+    checked: DataFrame
     quarantine: DataFrame
     counts: DataFrame
 
@@ -44,21 +45,25 @@ def type_check(raw: DataFrame, table: str) -> DataFrame:
     return checked
 
 
-def clean(raw: DataFrame, table: str) -> Cleaned:
+def clean(raw: DataFrame, table: str, store: Callable[[DataFrame], DataFrame] = lambda checked: checked) -> Cleaned:
     """Types checked, bad rows set aside, repeated keys reduced to one row.
 
-    Good rows are shuffled once, by their key, where copies collapse too; only the
-    few bad rows are grouped as a whole.
+    ``store`` writes the checked rows (typed columns, reasons, and the text of bad rows)
+    and reads them again: then bronze is checked once, whatever is taken from it. Good
+    rows are shuffled once, by their key, where copies collapse too; only the few bad
+    rows are grouped as a whole.
     """
     schema = schemas.TABLES[table]
     columns = [c for c in raw.columns if c in schema.names or c == CORRUPT]
     checked = type_check(raw.withColumn("_texto", F.to_json(F.struct(*columns))), table)
+    text = F.when(F.size(quality.REASONS) > 0, F.col("_texto")).alias("_texto")
+    checked = store(checked.select(*schema.names, text, quality.REASONS))
     typed = quality.accepted(checked).select(*schema.names)
     bad = quality.rejected(checked).select(
         F.lit(table).alias("tabla"), F.col("_texto").alias("fila"), quality.REASONS
     )
     good = dedup(typed, table)
-    return Cleaned(good, typed, with_copies(bad), reconciliation(checked, good, table))
+    return Cleaned(good, typed, checked, with_copies(bad), reconciliation(checked, good, table))
 
 
 def with_copies(bad: DataFrame) -> DataFrame:

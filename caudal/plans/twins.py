@@ -448,6 +448,11 @@ from (select cast(date_trunc('month', o_orderdate) as date) as mes, n_name as pa
     {_dec('o_totalprice')} as monto
   from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey)
 group by rollup (mes, pais, segmento)""",
+    "amount_quartiles": f"""
+select year(mes) as anio, round(quantile_cont(monto, 0.25), 4) as q1, round(quantile_cont(monto, 0.5), 4) as q2,
+  round(quantile_cont(monto, 0.75), 4) as q3
+from (select o_custkey, date_trunc('month', o_orderdate) as mes, cast(sum({_dec('o_totalprice')}) as double) as monto
+  from orders group by 1, 2) group by 1""",
     "fraud_amount_before": """
 select event_id as transaccion_id, user_id as cliente_id, value as monto, n as n_previas, round(z, 4) as z from (
   select *, count(*) over w as n, (value - avg(value) over w) / nullif(stddev_samp(value) over w, 0) as z

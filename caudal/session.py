@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator, Mapping
 from contextlib import contextmanager
 
@@ -53,3 +55,23 @@ def reused(df: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) ->
         yield kept
     finally:
         kept.unpersist()
+
+
+_OWN_FOLDERS: dict[str, str] = {}
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to a new folder under the shared one and read it again.
+
+    What computed it is done once and does not come back into the plans of its readers.
+    Without a shared folder a temporary one serves, on a local master only.
+    """
+    spark = df.sparkSession
+    folder = shared_dir(spark)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
+        folder = _OWN_FOLDERS.setdefault(spark.sparkContext.applicationId, tempfile.mkdtemp(prefix="caudal-"))
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -4,7 +4,9 @@ import re
 
 import pytest
 
-from caudal.plans import activity, fraud
+from caudal import schemas
+from caudal.operators import quality
+from caudal.plans import activity, fraud, silver
 from caudal.plans.registered import QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -42,7 +44,7 @@ def test_only_bounded_sides_are_broadcast(plans):
     """Hot keys, bucket offsets and quantile brackets; never a table."""
     allowed = {
         "fraud_amount", "fraud_amount_rate", "fraud_score", "fraud_score_as_of", "fraud_top_clients", "sample_n",
-        "assign_fk", "retention_by_volume", "segmentation", "client_features", "client_features_as_of",
+        "assign_fk", "retention_by_volume", "segmentation", "client_features", "client_features_as_of", "amount_quartiles",
     }
     assert {name for name, plan in plans.items() if "BroadcastHashJoin" in plan} <= allowed
 
@@ -98,3 +100,31 @@ def test_enriched_rows_need_no_join(spark):
         activity.finance_of_enriched(tx), activity.daily_of_enriched(tx, ("moneda",)), fraud.foreign_share_of_enriched(tx),
     ):
         assert "Join" not in physical(frame)
+
+
+def test_type_checks_stay_in_generated_code(spark, tmp_path):
+    """Each text is parsed once for the typed rows, and the filter on reasons is generated code."""
+    schema = schemas.TABLES["transacciones"]
+    raw = spark.createDataFrame([], ", ".join(f"{f.name} string" for f in schema.fields))
+    raw.write.parquet(str(tmp_path / "raw"))
+    checked = silver.type_check(spark.read.parquet(str(tmp_path / "raw")), "transacciones")
+    plan = physical(checked)
+    assert plan.count("try_cast(trim(") == 0  # parsed from the trimmed column, not trimmed again
+    for one in (quality.accepted(checked), quality.rejected(checked)):
+        assert re.search(r"\*\(\d+\) Filter", physical(one)) and not re.search(r"[+:]- Filter", physical(one))
+
+
+def test_silver_reads_bronze_once_for_everything(spark, tmp_path):
+    """Good rows, quarantine and counts all read the written checked rows."""
+    schema = schemas.TABLES["cuentas"]
+    raw = spark.createDataFrame([], ", ".join(f"{f.name} string" for f in schema.fields))
+    raw.write.parquet(str(tmp_path / "bronze"))
+
+    def store(checked):
+        checked.write.parquet(str(tmp_path / "checked"))
+        return spark.read.parquet(str(tmp_path / "checked"))
+
+    cleaned = silver.clean(spark.read.parquet(str(tmp_path / "bronze")), "cuentas", store)
+    for part in (cleaned.good, cleaned.typed, cleaned.quarantine, cleaned.counts):
+        files = part.inputFiles()
+        assert files and all("/checked/" in f for f in files)
