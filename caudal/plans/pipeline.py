@@ -88,7 +88,7 @@ def build_silver(spark: SparkSession, layout: Layout) -> None:
     """
     cleaned = {
         table: silver.clean(
-            bronze.payload(bronze.read_bronze(spark, layout.bronze(table))),
+            bronze.payload(bronze.read_bronze(spark, layout.bronze(table)), keep=(bronze.INGESTED_AT,)),
             table,
             lambda checked, table=table: _stored(checked, layout.silver(f"{table}_comprobadas")),
         )
@@ -113,7 +113,9 @@ def build_silver(spark: SparkSession, layout: Layout) -> None:
         clientes, cuentas, tx, seeds.pais_ciudad(spark), seeds.categoria_comercio(spark)
     )
     unique = silver.unique_keys({table: c.typed for table, c in cleaned.items()})
-    _write(report.unionByName(unique), layout.silver("calidad"))
+    versions = _stored(silver.account_versions(cleaned["cuentas"].checked), layout.silver("cuentas_versiones"))
+    then = silver.on_account_inactive_then(tx, versions, "inactive_account_then:transacciones")
+    _write(report.unionByName(unique).unionByName(then), layout.silver("calidad"))
     _write(
         silver.enrich(silver.with_amount(tx), cuentas, clientes),
         layout.silver("transacciones_enriquecidas"),

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caudal import domain, schemas
-from caudal.operators import quality
+from caudal.operators import prefix, quality
 from caudal.operators.dedup import latest_by_key
+from caudal.sources.bronze import INGESTED_AT
 from caudal.sources.raw import CORRUPT
 
 
@@ -57,7 +58,8 @@ def clean(raw: DataFrame, table: str, store: Callable[[DataFrame], DataFrame] =
     columns = [c for c in raw.columns if c in schema.names or c == CORRUPT]
     checked = type_check(raw.withColumn("_texto", F.to_json(F.struct(*columns))), table)
     text = F.when(F.size(quality.REASONS) > 0, F.col("_texto")).alias("_texto")
-    checked = store(checked.select(*schema.names, text, quality.REASONS))
+    stamps = [c for c in (INGESTED_AT,) if c in raw.columns]
+    checked = store(checked.select(*schema.names, *stamps, text, quality.REASONS))
     typed = quality.accepted(checked).select(*schema.names)
     bad = quality.rejected(checked).select(
         F.lit(table).alias("tabla"), F.col("_texto").alias("fila"), quality.REASONS
@@ -222,6 +224,37 @@ def on_inactive_account(tx: DataFrame, cuentas: DataFrame, check: str) -> DataFr
     return quality.count_failures(stated, {check: quality.not_in("estado", ["ACTIVA"])}, "_w")
 
 
+def account_versions(checked: DataFrame) -> DataFrame:
+    """What the deliveries said of each account, and from when to when: ``desde`` to ``hasta``.
+
+    From checked rows that carry the time of their delivery. A delivery that repeats an
+    account as it was begins no version; an account that a delivery leaves out stays as
+    it was.
+    """
+    state = [c for c in schemas.TABLES["cuentas"].names if c != "cuenta_id"]
+    good = quality.accepted(checked).withColumn(INGESTED_AT, F.col(INGESTED_AT).cast("timestamp_ntz"))
+    return prefix.versions(good, "cuenta_id", INGESTED_AT, state)
+
+
+def with_state_then(tx: DataFrame, versions: DataFrame) -> DataFrame:
+    """Transactions with their account's state as it was known when they happened (``estado_entonces``).
+
+    Null before the first delivery that knows the account.
+    """
+    known = versions.select("cuenta_id", "desde", F.col("estado").alias("estado_entonces"))
+    return prefix.as_of(tx, known, "cuenta_id", "timestamp_tx", "desde", ["estado_entonces"])
+
+
+def on_account_inactive_then(tx: DataFrame, versions: DataFrame, check: str) -> DataFrame:
+    """Transactions on an account that was known not to be active when they happened.
+
+    Unlike the check against today's state, an account closed later does not fail its
+    earlier transactions, and one opened again does not hide those in between.
+    """
+    stated = with_state_then(tx.select("cuenta_id", "timestamp_tx"), versions)
+    return quality.count_failures(stated, {check: quality.not_in("estado_entonces", ["ACTIVA"])})
+
+
 def against_accounts(tx: DataFrame, cuentas: DataFrame) -> DataFrame:
     """Rules of transactions against their account, from one count per account and day."""
     days = tx.select("cuenta_id", F.to_date("timestamp_tx").alias("dia"))

@@ -7,6 +7,7 @@ delivery on the same date is kept beside it.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,6 +87,6 @@ def stored_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
-def payload(bronze: DataFrame) -> DataFrame:
-    """The columns as received, without the ingest columns."""
-    return bronze.drop(INGESTED_AT, *_FILE, INGEST_DATE, DELIVERY)
+def payload(bronze: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """The columns as received, without the ingest columns but those to ``keep``."""
+    return bronze.drop(*[c for c in (INGESTED_AT, *_FILE, INGEST_DATE, DELIVERY) if c not in keep])

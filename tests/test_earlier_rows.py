@@ -13,7 +13,7 @@ from test_plans import physical, scans
 
 from caudal.operators import keysets, prefix, quality, sketches
 from caudal.operators.quantiles import QUARTILES, exact_quantiles
-from caudal.plans import activity, fraud
+from caudal.plans import activity, fraud, silver
 from caudal.plans.registered import QUERIES
 
 START = dt.datetime(2024, 1, 1)
@@ -186,3 +186,24 @@ def test_sketches_at_a_larger_size(spark):
     exact = dict(con.sql("select cast(date_trunc('month', o_orderdate) as date), count(distinct o_custkey) from orders group by 1").fetchall())
     for r in QUERIES["retention_sketched"](spark, sf).collect():
         assert abs(r["n_clientes"] / exact[r["mes"]] - 1) <= sketches.relative_error(deviations=3)
+
+
+def test_account_state_when_the_transaction_happened(spark):
+    """Closed on the second day, open again on the fourth: only what lies between fails."""
+    schema = "cuenta_id string, cliente_id string, tipo_cuenta string, moneda string, fecha_apertura string, estado string, saldo_inicial string, _ingested_at timestamp"
+    day = lambda n: START + dt.timedelta(days=n)
+    row = lambda key, state, n: (key, "CLI000001", "AHORROS", "GTQ", "2022-01-01", state, "10.00", day(n))
+    said = [row("ACC00000001", s, n) for n, s in enumerate(["ACTIVA", "ACTIVA", "CERRADA", "CERRADA", "ACTIVA"])]
+    said += [row("ACC00000002", "ACTIVA", 1), row("ACC00000003", "CERRADA", 1), (*row("ACC00000003", "ACTIVA", 3)[:6], "abc", day(3))]
+    cleaned = silver.clean(spark.createDataFrame(said, schema), "cuentas")
+    versions = silver.account_versions(cleaned.checked)
+    spans = sorted((r["cuenta_id"], r["desde"], r["hasta"], r["estado"]) for r in versions.select("cuenta_id", "desde", "hasta", "estado").collect())
+    assert spans == [
+        ("ACC00000001", day(0), day(2), "ACTIVA"), ("ACC00000001", day(2), day(4), "CERRADA"),
+        ("ACC00000001", day(4), None, "ACTIVA"), ("ACC00000002", day(1), None, "ACTIVA"), ("ACC00000003", day(1), None, "CERRADA"),
+    ]
+    facts = [("ACC00000001", day(n) + dt.timedelta(hours=h)) for n in range(-1, 6) for h in (0, 23)] + [("ACC00000002", day(0)), (None, day(1))]
+    tx = spark.createDataFrame(facts, "cuenta_id string, timestamp_tx timestamp_ntz")
+    made = silver.on_account_inactive_then(tx, versions, "c").first()
+    assert (made["n_rows"], made["n_failed"]) == (len(facts), 4)
+    assert "_ingested_at" not in cleaned.good.columns
