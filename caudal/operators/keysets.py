@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from caudal.session import written
+
 _BITS = 32_768
 _BYTES = _BITS // 8
 
@@ -48,35 +50,38 @@ def count_repeated(rows: DataFrame, key: str, check: str) -> DataFrame:
     ).select(F.lit(check).alias("check"), "n_rows", "n_failed")
 
 
-def _sides(child: DataFrame, parent: DataFrame) -> DataFrame:
-    """``bucket, hijos, padres, todos``: bitmaps of child keys, parent keys, and both."""
+def differing_sets(child: DataFrame, parent: DataFrame) -> DataFrame:
+    """``bucket, todos, padres`` of the buckets in which child keys lack a parent: the bits of both, and of the parent.
+
+    Bits of both less bits of the parent say how many a bucket lacks.
+    """
     tagged = child.select("bucket", "keys", F.lit(True).alias("hijo")).unionByName(
         parent.select("bucket", "keys", F.lit(False).alias("hijo"))
     )
-    return tagged.filter("bucket is not null").groupBy("bucket").agg(
-        F.max(F.when(F.col("hijo"), F.col("keys"))).alias("hijos"),
-        F.max(F.when(~F.col("hijo"), F.col("keys"))).alias("padres"),
-        F.bitmap_or_agg("keys").alias("todos"),
+    sides = tagged.filter("bucket is not null").groupBy("bucket").agg(
+        F.bitmap_or_agg("keys").alias("todos"), F.max(F.when(~F.col("hijo"), F.col("keys"))).alias("padres")
     )
+    return sides.filter(F.bitmap_count("todos") > F.coalesce(F.bitmap_count("padres"), F.lit(0)))
+
+
+def _byte(side: str, i: Column) -> Column:
+    """Byte ``i`` of a bitmap as a number; 0 where there is no bitmap."""
+    return F.coalesce(F.conv(F.hex(F.substring(side, i + 1, F.lit(1))), 16, 10).cast("int"), F.lit(0))
+
+
+def _lost_bits(i: Column) -> Column:
+    return _byte("todos", i).bitwiseXOR(_byte("padres", i))
 
 
 def orphan_keys(child: DataFrame, parent: DataFrame) -> DataFrame:
     """Keys (``clave``) of the child's key sets that the parent's lack.
 
-    Bits of both less bits of the parent say how many a bucket has. Only buckets that
-    have some are looked into, byte by byte.
+    Only buckets that lack some are looked into, byte by byte.
     """
-    n_parents = F.coalesce(F.bitmap_count("padres"), F.lit(0))
-    differing = _sides(child, parent).filter(F.bitmap_count("todos") > n_parents)
-
-    def byte(side: str, i: Column) -> Column:
-        return F.coalesce(F.conv(F.hex(F.substring(side, i + 1, F.lit(1))), 16, 10).cast("int"), F.lit(0))
-
     lost = F.transform(
-        F.sequence(F.lit(0), F.lit(_BYTES - 1)),
-        lambda i: F.struct(i.alias("i"), byte("todos", i).bitwiseXOR(byte("padres", i)).alias("bits")),
+        F.sequence(F.lit(0), F.lit(_BYTES - 1)), lambda i: F.struct(i.alias("i"), _lost_bits(i).alias("bits"))
     )
-    found = differing.select("bucket", F.explode(F.filter(lost, lambda b: b["bits"] > 0)).alias("b"))
+    found = differing_sets(child, parent).select("bucket", F.explode(F.filter(lost, lambda b: b["bits"] > 0)).alias("b"))
     bits = F.expr("filter(sequence(0, 7), k -> shiftright(b.bits, k) & 1 = 1)")
     place = F.col("b.i") * 8 + F.col("k")
     # The inverse of bitmap_bucket_number and bitmap_bit_position.
@@ -87,11 +92,19 @@ def orphan_keys(child: DataFrame, parent: DataFrame) -> DataFrame:
 
 
 def count_orphans(child: DataFrame, key: str, parent: DataFrame, check: str, parent_key: str | None = None) -> DataFrame:
-    """``quality.count_orphans`` of whole-number keys: rows whose key the parent lacks, nulls left out."""
+    """``quality.count_orphans`` of whole-number keys: rows whose key the parent lacks, nulls left out.
+
+    The bitmaps that lack keys are a written table, so its size is known before rows look
+    themselves up in it: where Spark finds it small enough to broadcast, no row is
+    shuffled; where not, rows meet it by bucket, and adaptive execution splits a hot one.
+    """
     sets = key_sets(child, key)
-    lost = orphan_keys(sets, key_sets(parent, parent_key or key))
-    rows = child.select(F.col(key).cast("bigint").alias("clave")).join(lost, "clave", "left_semi")
-    failed = rows.agg(F.count(F.lit(1))).scalar()
+    lost = written(differing_sets(sets, key_sets(parent, parent_key or key)), "claves-huerfanas")
+    number = F.col(key).cast("bigint")
+    rows = child.select(F.bitmap_bucket_number(number).alias("bucket"), F.bitmap_bit_position(number).alias("_bit"))
+    bits = F.expr("shiftright(_bits, cast(_bit % 8 as int)) & 1 = 1")
+    hits = rows.join(lost, "bucket").select("_bit", _lost_bits((F.col("_bit") / 8).cast("int")).alias("_bits")).filter(bits)
+    failed = hits.agg(F.count(F.lit(1))).scalar()
     return sets.agg(F.coalesce(F.sum("n_rows"), F.lit(0)).alias("n_rows")).select(
         F.lit(check).alias("check"), "n_rows", failed.alias("n_failed")
     )
