@@ -1,25 +1,31 @@
-"""Scoring with a bigram model kept as sharded Elias-Fano tries.
+"""Scoring with a trigram model kept as sharded Elias-Fano tries.
 
 Texts are blocks of packed word codes (``blocks``). Counting and scoring take three
 shuffles of packed columns, none with a row per token:
 
 1. Distinct words with their training counts go to word shards, which add them up and
    return the word's id and count to each block that has it.
-2. Distinct bigrams with their training counts go to context shards. A shard adds them
-   up, builds a trie of the smoothed probabilities of all bigrams seen in training, and
-   answers each block's bigrams by successor search in the trie.
+2. Distinct bigrams, each with the words that follow it, go to context shards with their
+   training counts. A shard adds them up, builds a trie of what was seen in training
+   (contexts, bigrams, trigrams), and answers each block's n-grams by successor search,
+   a trigram's relative to its bigram.
 3. Blocks put the answers in their words' places and add up by document.
 
 The shards of the contexts follow a hash; a context with more than a shard's share of
 all words is split over several shards by a hash of the following word, from its count.
-What a task holds is a block or a shard, whose number is set by the shuffle partitions.
+A trigram goes where its bigram goes: a hot bigram costs its distinct followers in each
+block, not its occurrences. What a task holds is a block or a shard, whose number is set
+by the shuffle partitions.
 
-    p(w | v) = (c(vw) + m(v) p(w)) / (c(v) + m(v)),   m(v) = 4 c(v) ** 0.8
+    p(w | uv) = (c(uvw) + m(uv) p(w | v)) / (c(uv) + m(uv)),   m(x) = 4 c(x) ** 0.8
+    p(w | v) = (c(vw) + m(v) p(w)) / (c(v) + m(v))
     p(w) = (c(w) + 0.1) / (N + 0.1 (V + 1))
 
-The end of a text is a word of its own, and the context of the first word. Seen bigrams
-take their probability from the trie, in steps of 1/20 in log10; the others back off
-to m(v) p(w) / (c(v) + m(v)), exactly.
+The end of a text is a word of its own, and the context of the first word, which has no
+longer one. Seen bigrams take their probability from the trie, in steps of 1/20 in
+log10; others back off to m(v) p(w) / (c(v) + m(v)), exactly. A trigram's level holds its
+own share c(uvw) / (c(uv) + m(uv)), and the bigram's what it leaves to the bigram model,
+m(uv) / (c(uv) + m(uv)), in the same steps. ``order`` 2 leaves trigrams out.
 """
 
 from __future__ import annotations
@@ -35,9 +41,11 @@ from pyspark.sql import functions as F
 
 from caudal.llm import blocks, ngram_trie
 from caudal.llm.blocks import bundle, mix, unbundle
+from caudal.llm.bpe import spans
 from caudal.llm.tables import kept, whole_text
 
 BLOCK_CHARS = 12_000_000
+ORDER = 3
 END = b"\n"  # never a word: words have no white space
 _PRIOR, _GROWTH = 4.0, 0.8
 PART = "key int, block bigint, shard int, docs binary, body binary"
@@ -63,7 +71,7 @@ def prior(count: np.ndarray) -> np.ndarray:
 class BlockWords:
     """A block with its words' ids and training counts, and its distinct bigrams by shard."""
 
-    def __init__(self, parts: dict[int, bytes], docs: bytes, shards: int, tokens: int) -> None:
+    def __init__(self, parts: dict[int, bytes], docs: bytes, shards: int, tokens: int, order: int) -> None:
         self.docs = blocks.from_bytes(docs)
         self.lengths = self.docs.column("n").to_numpy()
         self.codes = blocks.unpack(parts[-1], int(self.lengths.sum())).astype(np.int64)
@@ -89,10 +97,35 @@ class BlockWords:
         self.shard = (spread % np.uint64(shards)).astype(np.int64)
         self.by_shard = np.argsort(self.shard, kind="stable")
         self.sizes = np.bincount(self.shard, minlength=shards)
+        self.third = None
+        if order > 2:
+            self._trigrams(n, train, stops)
+
+    def _trigrams(self, n: int, train: np.ndarray, stops: np.ndarray) -> None:
+        """Distinct trigrams, grouped by their bigram; the first word of a text ends none."""
+        bigram = np.empty(len(self.codes), np.int64)
+        bigram[self.order] = np.repeat(np.arange(len(self.edges)), np.diff(np.append(self.edges, len(self.order))))
+        at = np.ones(len(self.codes), bool)
+        at[stops - self.lengths] = False
+        self.ends_trigram = np.flatnonzero(at)
+        self.context = bigram[self.ends_trigram - 1]
+        key = (self.context * n + self.codes[self.ends_trigram]) * 2 + train[self.ends_trigram]
+        self.order3 = np.argsort(key, kind="stable")
+        key = key[self.order3]
+        triple = key >> 1
+        self.edges3 = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), triple[1:] != triple[:-1])))
+        self.seen3 = np.add.reduceat(key & 1, self.edges3) if len(key) else key
+        triple = triple[self.edges3]
+        self.third = triple % n
+        self.followers = np.bincount(triple // n, minlength=len(self.edges))
+        self.follow_at = np.cumsum(self.followers) - self.followers
 
 
 def _grams(block: BlockWords) -> Iterator[tuple[int, bytes]]:
-    """For each shard: contexts with counts and lengths, following words with counts, training counts."""
+    """For each shard: contexts with counts and lengths, following words with counts, training counts.
+
+    With trigrams: how many words follow each bigram, these words, their training counts.
+    """
     ends = np.cumsum(block.sizes)
     for shard in np.flatnonzero(block.sizes):
         at = block.by_shard[ends[shard] - block.sizes[shard] : ends[shard]]
@@ -100,45 +133,77 @@ def _grams(block: BlockWords) -> Iterator[tuple[int, bytes]]:
         starts = np.flatnonzero(np.concatenate(([True], first[1:] != first[:-1])))
         lengths = np.diff(np.concatenate((starts, [len(at)])))
         context = first[starts]
+        after = []
+        if block.third is not None:
+            here = spans(block.follow_at[at], block.followers[at])
+            after = [block.followers[at].astype(np.uint32), block.ids[block.third[here]].astype(np.uint32), block.seen3[here].astype(np.uint32)]
         yield int(shard), bundle(
             block.ids[context], block.counts[context], lengths.astype(np.uint32),
-            block.ids[second], block.counts[second], block.seen[at].astype(np.uint32),
+            block.ids[second], block.counts[second], block.seen[at].astype(np.uint32), *after,
         )
 
 
+def _totals(key: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys of the rows seen in training, a row of each, and their counts added up."""
+    train = np.flatnonzero(seen)
+    order = np.argsort(key[train], kind="stable")
+    train = train[order]
+    key = key[train]
+    edges = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1])))
+    return key[edges], train[edges], np.add.reduceat(seen[train], edges) if len(key) else np.zeros(0, np.int64)
+
+
+def _thirds(columns: list[np.ndarray], bigram: np.ndarray, keys: np.ndarray, total: np.ndarray) -> tuple:
+    """The third level: begins of the bigrams' followers, followers, codes; and what bigrams leave."""
+    followers, third, seen = columns
+    width = int(third.max(initial=0)) + 1
+    place = np.searchsorted(keys, np.repeat(bigram, followers))  # trained trigrams have a trained bigram
+    key, _, times = _totals(place * width + third, seen)
+    c = total.astype(np.float64)
+    weight = prior(c)
+    owner = key // width
+    starts = np.searchsorted(owner, np.arange(len(keys) + 1))
+    share = np.log10(times / (c + weight)[owner]) if len(key) else np.zeros(0)
+    return starts, key % width, ngram_trie.quantise(share), ngram_trie.quantise(np.log10(weight / (c + weight)))
+
+
 def answer(bodies: list[bytes], scale: float) -> list[bytes]:
-    """Build a shard's trie from what all blocks sent, and code every block's bigrams."""
+    """Build a shard's trie from what all blocks sent, and code every block's n-grams."""
     parts = [unbundle(b) for b in bodies]
-    context_id, context_count, length, word_id, word_count, seen = (
-        np.concatenate([p[i] for p in parts]).astype(np.int64) for i in range(6)
+    context_id, context_count, length, word_id, word_count, seen, *after = (
+        np.concatenate([p[i] for p in parts]).astype(np.int64) for i in range(len(parts[0]))
     )
     contexts, place = np.unique(context_id, return_inverse=True)
     counts = np.zeros(len(contexts), np.int64)
     counts[place] = context_count
     owner = np.repeat(place, length)
     width = int(word_id.max()) + 1
-    train = np.flatnonzero(seen)
-    key = owner[train] * width + word_id[train]
-    order = np.argsort(key, kind="stable")
-    key, train = key[order], train[order]
-    edges = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-    total = np.add.reduceat(seen[train], edges).astype(np.float64) if len(key) else np.zeros(0)
-    at, key = train[edges], key[edges]
+    bigram = owner * width + word_id
+    key, at, total = _totals(bigram, seen)
     v = counts[owner[at]].astype(np.float64)
     weight = prior(v)
     p = (total + weight * (word_count[at] + 0.1) / scale) / (v + weight)
     starts = np.searchsorted(key // width, np.arange(len(contexts) + 1))
     held = np.diff(starts) > 0  # contexts never seen in training are not in the trie
+    thirds = _thirds(after, bigram, key, total) if after else None
     trie = ngram_trie.Trie(
-        contexts[held], np.concatenate((starts[:-1][held], starts[-1:])), key % width, ngram_trie.quantise(np.log10(p))
+        contexts[held], np.concatenate((starts[:-1][held], starts[-1:])), key % width, ngram_trie.quantise(np.log10(p)), thirds
     )
     try:
-        return [bundle(trie.codes_of(p[0].astype(np.int64), p[2].astype(np.int64), p[3].astype(np.int64))) for p in parts]
+        return [bundle(*_codes(trie, [c.astype(np.int64) for c in part])) for part in parts]
     finally:
         trie.close()
 
 
-def _scored(block: BlockWords, codes: np.ndarray, scale: float) -> list[np.ndarray]:
+def _codes(trie: ngram_trie.Trie, part: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """Codes of a block's bigrams and, with trigrams, what bigrams leave and the codes of trigrams."""
+    contexts, _, lengths, seconds, _, _, *after = part
+    yield trie.codes_of(contexts, lengths, seconds)
+    if after:
+        yield from trie.codes_after(trie.places_of(contexts, lengths, seconds), after[0], after[1])
+
+
+def _scored(block: BlockWords, codes: list[np.ndarray], scale: float) -> list[np.ndarray]:
     """Per document: known words, sum of log10(c + 0.1), log10 probability."""
     count = block.counts.astype(np.float64)
     log_count = np.log10(count + 0.1)
@@ -149,22 +214,42 @@ def _scored(block: BlockWords, codes: np.ndarray, scale: float) -> list[np.ndarr
     back[some] = np.log10(weight[some] / (c[some] + weight[some]))
     value = back + log_count[block.second] - np.log10(scale)
     got = np.empty(len(c), np.uint8)
-    got[block.by_shard] = codes
+    got[block.by_shard] = codes[0]
     value = np.where(got == ngram_trie.ABSENT, value, ngram_trie.dequantise(got))
     per_token = np.empty(len(block.codes))
     per_token[block.order] = np.repeat(value, np.diff(np.concatenate((block.edges, [len(block.order)]))))
+    if block.third is not None:
+        _add_trigrams(block, codes, per_token)
     begin = np.cumsum(block.lengths) - block.lengths
     known = np.add.reduceat((block.counts > 0)[block.codes].astype(np.int64), begin)
     return [known, np.add.reduceat(log_count[block.codes], begin), np.add.reduceat(per_token, begin)]
 
 
-def score(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def _add_trigrams(block: BlockWords, codes: list[np.ndarray], per_token: np.ndarray) -> None:
+    """Replace the bigram's log10 probability by the trigram's where the two words before were seen."""
+    left = np.empty(len(block.edges), np.uint8)
+    left[block.by_shard] = codes[1]
+    sent = np.empty(len(block.third), np.uint8)
+    sent[spans(block.follow_at[block.by_shard], block.followers[block.by_shard])] = codes[2]
+    share = np.empty(len(block.order3), np.uint8)
+    share[block.order3] = np.repeat(sent, np.diff(np.append(block.edges3, len(block.order3))))
+    leaves = left[block.context]
+    some = np.flatnonzero(leaves != ngram_trie.ABSENT)
+    at = block.ends_trigram[some]
+    own = np.where(share[some] == ngram_trie.ABSENT, 0.0, 10.0 ** ngram_trie.dequantise(share[some]))
+    per_token[at] = np.log10(own + 10.0 ** (ngram_trie.dequantise(leaves[some]) + per_token[at]))
+
+
+def score(docs: DataFrame, block_chars: int = BLOCK_CHARS, order: int = ORDER) -> DataFrame:
     """One row per document: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
 
     Null texts are empty: their only token is the end. Ids may be null (counted as the
     empty text for ``held_out``) or repeat; other columns are ignored. With no training
-    rows no word is known and every score is zero. No rows: no rows.
+    rows no word is known and every score is zero. No rows: no rows. ``order``: 2 or 3
+    words.
     """
+    if order not in (2, 3):
+        raise ValueError(f"order is 2 or 3, not {order}")
     spark = docs.sparkSession
     shards = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -224,29 +309,26 @@ def score(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
 
     def ask(group: pa.Table) -> pa.Table:
         block, bodies = _block(group)
-        asked = list(_grams(BlockWords(*bodies, shards, tokens)))
+        asked = list(_grams(BlockWords(*bodies, shards, tokens, order)))
         return pa.Table.from_batches([_parts([s for s, _ in asked], [block] * len(asked), [None] * len(asked), [b for _, b in asked])])
 
     def look_up(group: pa.Table) -> pa.Table:
         found = answer(group.column("body").to_pylist(), scale)
         return group.drop_columns("body").append_column("body", pa.array(found, pa.binary()))
 
-    def put_together(group: pa.Table) -> pa.Table:
-        codes = group.filter(pa.compute.equal(group.column("key"), -2)).sort_by("shard").column("body").to_pylist()
-        group = group.filter(pa.compute.not_equal(group.column("key"), -2))
-        block = BlockWords(*_block(group)[1], shards, tokens)
-        found = [unbundle(c)[0] for c in codes]
-        per_doc = _scored(block, np.concatenate(found), scale)
+    def put_together(group: pa.Table, answered: pa.Table) -> pa.Table:
+        found = [unbundle(c) for c in answered.sort_by("shard").column("body").to_pylist()]
+        block = BlockWords(*_block(group)[1], shards, tokens, order)
+        per_doc = _scored(block, [np.concatenate(level) for level in zip(*found)], scale)
         columns = [block.docs.column("doc_id"), block.docs.column("held_out"), block.docs.column("n"), *map(pa.array, per_doc)]
         return pa.table(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "log_counts", "score"])
 
     whole = parts.filter("shard < 0").unionByName(
         replies.filter("block is not null").select(F.lit(-1).alias("key"), "block", "shard", F.lit(None).cast("binary").alias("docs"), "body")
     )
-    asked = whole.groupBy("block").applyInArrow(ask, PART)
-    answers = asked.groupBy("shard").applyInArrow(look_up, PART)
-    answers = answers.select(F.lit(-2).alias("key"), "block", "shard", "docs", "body")
-    rows = whole.unionByName(answers).groupBy("block").applyInArrow(put_together, f"doc_id {kind}, {RESULT}")
+    by_block = whole.groupBy("block")
+    answers = by_block.applyInArrow(ask, PART).groupBy("shard").applyInArrow(look_up, PART)
+    rows = by_block.cogroup(answers.groupBy("block")).applyInArrow(put_together, f"doc_id {kind}, {RESULT}")
     return rows.select(
         "doc_id",
         "held_out",

@@ -1,4 +1,4 @@
-"""A bigram trie in Elias-Fano code with quantised probabilities, in memory-mapped levels."""
+"""An n-gram trie (two or three words) in Elias-Fano code with quantised probabilities, in memory-mapped levels."""
 
 from __future__ import annotations
 
@@ -104,21 +104,72 @@ class Monotone:
         return at
 
 
+class Children:
+    """The children of one level's nodes: pointers to each node's, their words relative to the node, codes.
+
+    Words of one node grow; each node's begin where the ones before ended, so the whole
+    level is one monotone sequence. Nodes may have no children.
+    """
+
+    def __init__(self, arrays: Mapping[str, np.ndarray], name: str) -> None:
+        self.pointers, self.words = (Monotone(arrays, f"{name}.{x}") for x in ("pointers", "words"))
+        self.codes = arrays[f"{name}.codes"]
+
+    @staticmethod
+    def levels(name: str, starts: np.ndarray, words: np.ndarray, codes: np.ndarray) -> dict[str, np.ndarray]:
+        """Begin of each node's children (and the end), their words, ascending in a node, and their codes."""
+        sizes = np.diff(starts)
+        some = sizes > 0
+        last = words[starts[1:][some] - 1] + 1
+        relative = words + np.repeat(np.cumsum(last) - last, sizes[some])
+        out = {f"{name}.codes": codes.astype(np.uint8)}
+        for part, values in (("pointers", starts), ("words", relative)):
+            out |= {f"{name}.{part}.{k}": v for k, v in encode_monotone(values).items()}
+        return out
+
+    def find(self, nodes: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """The place of each word among the children of its node; -1 where there is none."""
+        out = np.full(len(words), -1, np.int64)
+        if not len(words) or not self.words.n:
+            return out
+        begin, end = (self.pointers[n].astype(np.int64) for n in (nodes, nodes + 1))
+        ask = np.flatnonzero(begin < end)
+        begin, end = begin[ask], end[ask]
+        base = np.where(begin > 0, self.words[np.maximum(begin - 1, 0)] + _ONE, 0).astype(np.uint64)
+        wanted = base + words[ask].astype(np.uint64)
+        found = self.words.successor(wanted)
+        hit = found < end
+        ask, found, wanted = ask[hit], found[hit], wanted[hit]
+        same = self.words[found] == wanted
+        out[ask[same]] = found[same]
+        return out
+
+
 class Trie:
-    """Contexts, pointers to their successors, successors relative to their context, codes.
+    """Contexts, their following words, and (three words) the words after those, with codes at each level.
 
-    Successors of one context grow; each context's begin where the ones before ended,
-    so the whole level is one monotone sequence. ``close`` removes the mapped file.
+    A bigram has a code for its probability and one for what it leaves to shorter
+    contexts. ``close`` removes the mapped file, whose size is a shard's: a few bytes for
+    each of its n-grams.
     """
 
-    def __init__(self, contexts: np.ndarray, starts: np.ndarray, successors: np.ndarray, codes: np.ndarray) -> None:
-        """Sorted context ids, begin of each context's successors (and the end), their ids, codes."""
-        last = successors[starts[1:] - 1] + 1 if len(contexts) else np.zeros(0, np.int64)
-        base = np.cumsum(last) - last
-        relative = successors + np.repeat(base, np.diff(starts))
-        levels: dict[str, np.ndarray] = {"codes": codes.astype(np.uint8)}
-        for name, values in (("contexts", contexts), ("pointers", starts), ("successors", relative)):
-            levels |= {f"{name}.{k}": v for k, v in encode_monotone(values).items()}
+    def __init__(
+        self,
+        contexts: np.ndarray,
+        starts: np.ndarray,
+        successors: np.ndarray,
+        codes: np.ndarray,
+        thirds: tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None = None,
+    ) -> None:
+        """Sorted context ids, begin of each context's successors (and the end), their ids, codes.
+
+        ``thirds``: begin of each bigram's following words (and the end), their ids,
+        their codes, and each bigram's code of what it leaves.
+        """
+        levels = Children.levels("seconds", starts, successors, codes)
+        levels |= {f"contexts.{k}": v for k, v in encode_monotone(contexts).items()}
+        if thirds:
+            levels |= Children.levels("thirds", *thirds[:3]) | {"left": thirds[3].astype(np.uint8)}
         handle, self.path = tempfile.mkstemp(prefix="trie-")
         with os.fdopen(handle, "wb") as file:
             places = {}
@@ -129,30 +180,41 @@ class Trie:
             file.write(b"\0" * 8)
         whole = np.memmap(self.path, np.uint8, "r")
         mapped = {k: whole[a : a + d.itemsize * n].view(d) for k, (a, d, n) in places.items()}
-        self.contexts, self.pointers, self.successors = (Monotone(mapped, x) for x in ("contexts", "pointers", "successors"))
-        self.codes = mapped["codes"]
+        self.contexts = Monotone(mapped, "contexts")
+        self.seconds = Children(mapped, "seconds")
+        self.thirds = Children(mapped, "thirds") if thirds else None
+        self.left = mapped.get("left")
 
     def close(self) -> None:
         os.unlink(self.path)
 
-    def codes_of(self, contexts: np.ndarray, lengths: np.ndarray, successors: np.ndarray) -> np.ndarray:
-        """Codes of the pairs of each context with its next ``lengths`` successors; 255 where unseen."""
-        out = np.full(len(successors), ABSENT, np.uint8)
+    def places_of(self, contexts: np.ndarray, lengths: np.ndarray, successors: np.ndarray) -> np.ndarray:
+        """Places of the pairs of each context with its next ``lengths`` successors; -1 where unseen."""
+        out = np.full(len(successors), -1, np.int64)
         if not self.contexts.n or not len(contexts):
             return out
         place = self.contexts.successor(contexts.astype(np.uint64))
         inside = np.minimum(place, self.contexts.n - 1)
         known = (place < self.contexts.n) & (self.contexts[inside] == contexts.astype(np.uint64))
-        begin = self.pointers[inside].astype(np.int64)
-        end = self.pointers[inside + 1].astype(np.int64)
-        base = np.where(begin > 0, self.successors[np.maximum(begin - 1, 0)] + _ONE, 0).astype(np.uint64)
-        owner = np.repeat(np.arange(len(contexts)), lengths)
-        ask = np.flatnonzero(known[owner])
-        owner = owner[ask]
-        wanted = base[owner] + successors[ask].astype(np.uint64)
-        found = self.successors.successor(wanted)
-        hit = found < end[owner]
-        ask, found, wanted = ask[hit], found[hit], wanted[hit]
-        same = self.successors[found] == wanted
-        out[ask[same]] = self.codes[found[same]]
+        ask = np.flatnonzero(np.repeat(known, lengths))
+        out[ask] = self.seconds.find(np.repeat(inside, lengths)[ask], successors[ask])
         return out
+
+    @staticmethod
+    def _at(codes: np.ndarray, places: np.ndarray) -> np.ndarray:
+        out = np.full(len(places), ABSENT, np.uint8)
+        seen = places >= 0
+        out[seen] = codes[places[seen]]
+        return out
+
+    def codes_of(self, contexts: np.ndarray, lengths: np.ndarray, successors: np.ndarray) -> np.ndarray:
+        """Codes of the pairs of each context with its next ``lengths`` successors; 255 where unseen."""
+        return self._at(self.seconds.codes, self.places_of(contexts, lengths, successors))
+
+    def codes_after(self, places: np.ndarray, lengths: np.ndarray, thirds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What each bigram (its place, or -1) leaves, and the codes of its next ``lengths`` words; 255 where unseen."""
+        out = np.full(len(thirds), ABSENT, np.uint8)
+        node = np.repeat(places, lengths)
+        ask = np.flatnonzero(node >= 0)
+        out[ask] = self._at(self.thirds.codes, self.thirds.find(node[ask], thirds[ask]))
+        return self._at(self.left, places), out
