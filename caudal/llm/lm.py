@@ -190,17 +190,13 @@ def answer(bodies: list[bytes], scale: float) -> list[bytes]:
         contexts[held], np.concatenate((starts[:-1][held], starts[-1:])), key % width, ngram_trie.quantise(np.log10(p)), thirds
     )
     try:
-        return [bundle(*_codes(trie, [c.astype(np.int64) for c in part])) for part in parts]
+        places = trie.places_of(context_id, length, word_id)
+        levels = [trie.codes_at(places), *(trie.codes_after(places, after[0], after[1]) if after else ())]
     finally:
         trie.close()
-
-
-def _codes(trie: ngram_trie.Trie, part: list[np.ndarray]) -> Iterator[np.ndarray]:
-    """Codes of a block's bigrams and, with trigrams, what bigrams leave and the codes of trigrams."""
-    contexts, _, lengths, seconds, _, _, *after = part
-    yield trie.codes_of(contexts, lengths, seconds)
-    if after:
-        yield from trie.codes_after(trie.places_of(contexts, lengths, seconds), after[0], after[1])
+    sizes = [[len(p[i]) for i in ((3, 3, 7) if after else (3,))] for p in parts]
+    cuts = [np.split(level, np.cumsum([n[i] for n in sizes])[:-1]) for i, level in enumerate(levels)]
+    return [bundle(*part) for part in zip(*cuts)]
 
 
 def _scored(block: BlockWords, codes: list[np.ndarray], scale: float) -> list[np.ndarray]:

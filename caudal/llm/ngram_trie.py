@@ -12,6 +12,8 @@ _ONE = np.uint64(1)
 _MASKS = [(np.uint64(s), np.uint64((1 << s) - 1)) for s in (32, 16, 8, 4, 2, 1)]
 ABSENT = 255
 _STEPS = 20.0  # codes per unit of log10
+_MANY = 32  # a pass over a level is cheaper from one question for so many values
+_RUN = 1 << 20  # values decoded at once
 
 
 def quantise(log10_p: np.ndarray) -> np.ndarray:
@@ -103,6 +105,48 @@ class Monotone:
             todo = todo[at[todo] < to[todo]]
         return at
 
+    def run(self, start: int, stop: int) -> np.ndarray:
+        """The values from ``start`` to ``stop``, decoded in one pass over their words."""
+        if start >= stop:
+            return np.zeros(0, np.uint64)
+        first, last = np.searchsorted(self.ones, [start, stop - 1], side="right") - 1
+        bits = np.unpackbits(self.high[first : last + 1].view(np.uint8), bitorder="little")
+        rank = start - int(self.ones[first])
+        spots = np.flatnonzero(bits)[rank : rank + stop - start] + 64 * int(first)
+        places = np.arange(start, stop)
+        return ((spots - places).astype(np.uint64) << self.bits) | self.low(places)
+
+    def take(self, i: np.ndarray) -> np.ndarray:
+        """The values at ``i``: one by one, or from a pass over the level where many are wanted."""
+        return self[i] if len(i) * _MANY < self.n else self.run(0, self.n)[i]
+
+    def search(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The successor's place of each ``x``, and whether it equals ``x``; values are distinct.
+
+        Few are looked for one by one. Many are sorted and meet the level in runs, each
+        decoded once from the mapped file.
+        """
+        if len(x) * _MANY < self.n or not self.n:
+            at = self.successor(x) if self.n else np.zeros(len(x), np.int64)
+            same = np.zeros(len(x), bool)
+            inside = at < self.n
+            same[inside] = self[at[inside]] == x[inside]
+            return at, same
+        order = np.argsort(x, kind="stable")
+        rising = x[order]
+        found, equal = np.full(len(x), self.n, np.int64), np.zeros(len(x), bool)
+        done = 0
+        for start in range(0, self.n, _RUN):
+            values = self.run(start, min(self.n, start + _RUN))
+            upto = int(np.searchsorted(rising, values[-1], side="right"))
+            here = np.searchsorted(values, rising[done:upto])
+            found[done:upto] = here + start
+            equal[done:upto] = values[here] == rising[done:upto]
+            done = upto
+        at, same = np.empty_like(found), np.empty_like(equal)
+        at[order], same[order] = found, equal
+        return at, same
+
 
 class Children:
     """The children of one level's nodes: pointers to each node's, their words relative to the node, codes.
@@ -127,21 +171,23 @@ class Children:
             out |= {f"{name}.{part}.{k}": v for k, v in encode_monotone(values).items()}
         return out
 
-    def find(self, nodes: np.ndarray, words: np.ndarray) -> np.ndarray:
-        """The place of each word among the children of its node; -1 where there is none."""
+    def find(self, nodes: np.ndarray, lengths: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """The place of each word among the children of its node, -1 where there is none.
+
+        Each of ``nodes`` (-1: unknown) has the next ``lengths`` of ``words``.
+        """
         out = np.full(len(words), -1, np.int64)
         if not len(words) or not self.words.n:
             return out
-        begin, end = (self.pointers[n].astype(np.int64) for n in (nodes, nodes + 1))
-        ask = np.flatnonzero(begin < end)
-        begin, end = begin[ask], end[ask]
-        base = np.where(begin > 0, self.words[np.maximum(begin - 1, 0)] + _ONE, 0).astype(np.uint64)
-        wanted = base + words[ask].astype(np.uint64)
-        found = self.words.successor(wanted)
-        hit = found < end
-        ask, found, wanted = ask[hit], found[hit], wanted[hit]
-        same = self.words[found] == wanted
-        out[ask[same]] = found[same]
+        known = np.maximum(nodes, 0)
+        begin, end = (self.pointers.take(n).astype(np.int64) for n in (known, known + 1))
+        base = np.where(begin > 0, self.words.take(np.maximum(begin - 1, 0)) + _ONE, 0).astype(np.uint64)
+        parent = (nodes >= 0) & (begin < end)
+        ask = np.flatnonzero(np.repeat(parent, lengths))
+        owner = np.repeat(np.arange(len(nodes)), lengths)[ask]
+        found, same = self.words.search(base[owner] + words[ask].astype(np.uint64))
+        hit = same & (found < end[owner])
+        out[ask[hit]] = found[hit]
         return out
 
 
@@ -190,15 +236,8 @@ class Trie:
 
     def places_of(self, contexts: np.ndarray, lengths: np.ndarray, successors: np.ndarray) -> np.ndarray:
         """Places of the pairs of each context with its next ``lengths`` successors; -1 where unseen."""
-        out = np.full(len(successors), -1, np.int64)
-        if not self.contexts.n or not len(contexts):
-            return out
-        place = self.contexts.successor(contexts.astype(np.uint64))
-        inside = np.minimum(place, self.contexts.n - 1)
-        known = (place < self.contexts.n) & (self.contexts[inside] == contexts.astype(np.uint64))
-        ask = np.flatnonzero(np.repeat(known, lengths))
-        out[ask] = self.seconds.find(np.repeat(inside, lengths)[ask], successors[ask])
-        return out
+        place, known = self.contexts.search(contexts.astype(np.uint64))
+        return self.seconds.find(np.where(known, place, -1), lengths, successors)
 
     @staticmethod
     def _at(codes: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -207,14 +246,14 @@ class Trie:
         out[seen] = codes[places[seen]]
         return out
 
+    def codes_at(self, places: np.ndarray) -> np.ndarray:
+        """Codes of bigrams by their places; 255 at -1."""
+        return self._at(self.seconds.codes, places)
+
     def codes_of(self, contexts: np.ndarray, lengths: np.ndarray, successors: np.ndarray) -> np.ndarray:
         """Codes of the pairs of each context with its next ``lengths`` successors; 255 where unseen."""
-        return self._at(self.seconds.codes, self.places_of(contexts, lengths, successors))
+        return self.codes_at(self.places_of(contexts, lengths, successors))
 
     def codes_after(self, places: np.ndarray, lengths: np.ndarray, thirds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """What each bigram (its place, or -1) leaves, and the codes of its next ``lengths`` words; 255 where unseen."""
-        out = np.full(len(thirds), ABSENT, np.uint8)
-        node = np.repeat(places, lengths)
-        ask = np.flatnonzero(node >= 0)
-        out[ask] = self._at(self.thirds.codes, self.thirds.find(node[ask], thirds[ask]))
-        return self._at(self.left, places), out
+        return self._at(self.left, places), self._at(self.thirds.codes, self.thirds.find(places, lengths, thirds))

@@ -15,13 +15,20 @@ SCHEMA = "doc_id long, text string, lang string, source string, score string, bl
 
 
 @pytest.mark.parametrize("n, most", [(1, 0), (1, 10**12), (5, 3), (700, 100), (1000, 10**9), (20_000, 10**12)])
-def test_monotone_sequences(n, most):
+def test_monotone_sequences(n, most, monkeypatch):
     draw = np.random.default_rng(n)
     values = np.sort(draw.integers(0, most + 1, n))
     level = ngram_trie.Monotone({f"x.{k}": v for k, v in ngram_trie.encode_monotone(values).items()}, "x")
     assert (level[np.arange(n)].astype(np.int64) == values).all()
     asked = np.concatenate((values, values + 1, draw.integers(0, most + 9, 500)))
     assert (level.successor(asked.astype(np.uint64)) == np.searchsorted(values, asked)).all()
+    assert (level.run(n // 3, n) == values[n // 3 :].astype(np.uint64)).all() and (level.take(np.arange(n)[::-1]) == values[::-1]).all()
+    distinct = np.unique(values)
+    level = ngram_trie.Monotone({f"x.{k}": v for k, v in ngram_trie.encode_monotone(distinct).items()}, "x")
+    monkeypatch.setattr(ngram_trie, "_RUN", 77)
+    for some in (asked, asked[:1]):
+        at, same = level.search(some.astype(np.uint64))
+        assert (at == np.searchsorted(distinct, some)).all() and (same == np.isin(some, distinct)).all()
 
 
 def test_trie_finds_all_pairs_and_no_others():
