@@ -44,7 +44,7 @@ from caudal.llm.blocks import bundle, mix, unbundle
 from caudal.llm.bpe import spans
 from caudal.llm.tables import kept, whole_text
 
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 10_000_000
 ORDER = 3
 END = b"\n"  # never a word: words have no white space
 _PRIOR, _GROWTH = 4.0, 0.8
@@ -85,7 +85,7 @@ class BlockWords:
         n = len(self.ids)
         train = np.repeat(~self.docs.column("held_out").to_numpy(zero_copy_only=False), self.lengths)
         key = (before * n + self.codes) * 2 + train
-        self.order = np.argsort(key, kind="stable")
+        self.order = np.argsort(key, kind="stable").astype(np.int32)  # a block has fewer words than that
         key = key[self.order]
         pair = key >> 1
         self.edges = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
@@ -103,14 +103,14 @@ class BlockWords:
 
     def _trigrams(self, n: int, train: np.ndarray, stops: np.ndarray) -> None:
         """Distinct trigrams, grouped by their bigram; the first word of a text ends none."""
-        bigram = np.empty(len(self.codes), np.int64)
+        bigram = np.empty(len(self.codes), np.int32)
         bigram[self.order] = np.repeat(np.arange(len(self.edges)), np.diff(np.append(self.edges, len(self.order))))
         at = np.ones(len(self.codes), bool)
         at[stops - self.lengths] = False
-        self.ends_trigram = np.flatnonzero(at)
+        self.ends_trigram = np.flatnonzero(at).astype(np.int32)
         self.context = bigram[self.ends_trigram - 1]
-        key = (self.context * n + self.codes[self.ends_trigram]) * 2 + train[self.ends_trigram]
-        self.order3 = np.argsort(key, kind="stable")
+        key = (self.context.astype(np.int64) * n + self.codes[self.ends_trigram]) * 2 + train[self.ends_trigram]
+        self.order3 = np.argsort(key, kind="stable").astype(np.int32)
         key = key[self.order3]
         triple = key >> 1
         self.edges3 = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), triple[1:] != triple[:-1])))
@@ -150,7 +150,7 @@ def _totals(key: np.ndarray, seen: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     train = train[order]
     key = key[train]
     edges = np.flatnonzero(np.concatenate((np.ones(min(1, len(key)), bool), key[1:] != key[:-1])))
-    return key[edges], train[edges], np.add.reduceat(seen[train], edges) if len(key) else np.zeros(0, np.int64)
+    return key[edges], train[edges], np.add.reduceat(seen[train], edges, dtype=np.int64) if len(key) else np.zeros(0, np.int64)
 
 
 def _thirds(columns: list[np.ndarray], bigram: np.ndarray, keys: np.ndarray, total: np.ndarray) -> tuple:
@@ -171,12 +171,15 @@ def answer(bodies: list[bytes], scale: float) -> list[bytes]:
     """Build a shard's trie from what all blocks sent, and code every block's n-grams."""
     parts = [unbundle(b) for b in bodies]
     context_id, context_count, length, word_id, word_count, seen, *after = (
-        np.concatenate([p[i] for p in parts]).astype(np.int64) for i in range(len(parts[0]))
+        np.concatenate([p[i] for p in parts]) for i in range(len(parts[0]))
     )
+    sizes = [[len(p[i]) for i in ((3, 3, 7) if after else (3,))] for p in parts]
+    del parts
     contexts, place = np.unique(context_id, return_inverse=True)
     counts = np.zeros(len(contexts), np.int64)
     counts[place] = context_count
     owner = np.repeat(place, length)
+    word_id = word_id.astype(np.int64)
     width = int(word_id.max()) + 1
     bigram = owner * width + word_id
     key, at, total = _totals(bigram, seen)
@@ -186,6 +189,7 @@ def answer(bodies: list[bytes], scale: float) -> list[bytes]:
     starts = np.searchsorted(key // width, np.arange(len(contexts) + 1))
     held = np.diff(starts) > 0  # contexts never seen in training are not in the trie
     thirds = _thirds(after, bigram, key, total) if after else None
+    del bigram, owner, at
     trie = ngram_trie.Trie(
         contexts[held], np.concatenate((starts[:-1][held], starts[-1:])), key % width, ngram_trie.quantise(np.log10(p)), thirds
     )
@@ -194,7 +198,6 @@ def answer(bodies: list[bytes], scale: float) -> list[bytes]:
         levels = [trie.codes_at(places), *(trie.codes_after(places, after[0], after[1]) if after else ())]
     finally:
         trie.close()
-    sizes = [[len(p[i]) for i in ((3, 3, 7) if after else (3,))] for p in parts]
     cuts = [np.split(level, np.cumsum([n[i] for n in sizes])[:-1]) for i, level in enumerate(levels)]
     return [bundle(*part) for part in zip(*cuts)]
 
