@@ -121,9 +121,9 @@ def test_registered(spark):
     import __spark_entry__ as contract
 
     names = set(contract.queries())
-    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14))
     assert "pipeline" not in contract.oracle_sql()
     groups = defaultdict(list)
     for name in names:
         groups[name.split("_")[0]].append(name)
-    assert all(len(groups[f"op{i}"]) == 1 for i in range(1, 11))
+    assert all(len(groups[f"op{i}"]) == 1 for i in range(1, 14))
