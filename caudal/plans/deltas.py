@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -19,6 +20,8 @@ from caudal.functions.values import direction, month_of
 
 SIGN = "signo"
 DELIVERY = "entrega"
+_BASE = "base"
+_FOLDED = "_plegadas"  # a folder that readers of the table pass over
 
 # Gold tables kept by deltas: their keys, and the sums over signed rows.
 DAYS = ("fecha", "pais", "segmento", "moneda", "cliente_id")
@@ -60,7 +63,10 @@ def _sums(rows: DataFrame, keys: Sequence[str], values: Mapping[str, Column]) ->
 
 
 def store(sums: DataFrame, path: str, delivery: str) -> None:
-    """Write a delivery's sums; the same delivery again replaces them."""
+    """Write a delivery's sums; the same delivery again replaces them, or changes nothing once it is folded."""
+    folded = _folded(sums.sparkSession, path)
+    if folded is not None and not folded.filter(F.col(DELIVERY) == delivery).isEmpty():
+        return
     (
         sums.withColumn(DELIVERY, F.lit(delivery))
         .write.mode("overwrite")
@@ -70,12 +76,45 @@ def store(sums: DataFrame, path: str, delivery: str) -> None:
     )
 
 
+def _stored(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).withColumn(DELIVERY, F.col(DELIVERY).cast("string"))
+
+
+def _folded(spark: SparkSession, path: str) -> DataFrame | None:
+    """The deliveries that ``compact`` has added up in the table at ``path``."""
+    try:
+        return spark.read.schema(f"{DELIVERY} string").parquet(f"{path}/{_FOLDED}")
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
 def current(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame:
-    """All deliveries added up; keys whose rows were all taken back are gone."""
-    stored = spark.read.parquet(path)
+    """All deliveries added up; keys whose rows were all taken back are gone.
+
+    While the delivery that a correction takes back is still to come, counts may be
+    negative or zero; such keys stay.
+    """
+    stored = _stored(spark, path)
     values = [c for c in stored.columns if c not in (*keys, DELIVERY)]
     totals = stored.groupBy(*keys).agg(*[F.sum(c).cast(stored.schema[c].dataType).alias(c) for c in values])
-    return totals.filter(F.col("n_tx") != 0)
+    return totals.filter(" or ".join(f"{v} <> 0" for v in values))
+
+
+def compact(spark: SparkSession, path: str, target: str, keys: Sequence[str]) -> None:
+    """Fold all deliveries of the table at ``path`` into one, in a new table at ``target``.
+
+    The target remembers which deliveries it holds, so one that comes again changes
+    nothing there. The old table stays until the caller lets go of it: a run that fails
+    half-way leaves it as it was, and the next run overwrites the target.
+    """
+    names = _stored(spark, path).select(DELIVERY).distinct()
+    earlier = _folded(spark, path)
+    names = names if earlier is None else names.unionByName(earlier)
+    folded = names.filter(F.col(DELIVERY) != _BASE).distinct()
+    current(spark, path, keys).withColumn(DELIVERY, F.lit(_BASE)).write.mode("overwrite").partitionBy(DELIVERY).parquet(target)
+    folded.write.mode("overwrite").parquet(f"{target}/{_FOLDED}")
 
 
 def follow(rows: DataFrame, paths: Mapping[str, str], inflow: Sequence[str], checkpoint: str) -> StreamingQuery:

@@ -142,6 +142,28 @@ def test_deltas_equal_a_rebuild(spark, tmp_path):
     same(activity.summarise_days(made, ("moneda",)), activity.summarise_days(expected_days, ("moneda",)))
 
 
+def test_compacted_deltas(spark, tmp_path):
+    """Folded between deliveries, twice: repeats of folded ones change nothing, a correction may come before what it corrects."""
+    draw = random.Random(8)
+    rows = enriched(draw, 90)
+    frame = lambda part: spark.createDataFrame(part, ENRICHED)
+    fixed = [(*r[:-1], r[-1] * 2) for r in rows[60:75]]
+    deliveries = {
+        "a": deltas.signed(frame(rows[:30])), "b": deltas.signed(frame(rows[30:60])),
+        "c": deltas.signed(frame(rows[60:])), "2024": deltas.signed(frame(fixed), frame(rows[60:75])),
+    }
+    path = str(tmp_path / "days0")
+    for step, names in enumerate((["2024", "a"], ["a", "b", "2024"], ["c", "b", "a", "c"])):
+        for name in names:
+            deltas.store(deltas.day_sums(deliveries[name]), path, name)
+        target = str(tmp_path / f"days{step + 1}")
+        deltas.compact(spark, path, target, deltas.DAYS)
+        path = target
+    expected, _ = rebuilt(frame(rows[:60] + fixed + rows[75:]))
+    same(deltas.current(spark, path, deltas.DAYS), expected)
+    assert spark.read.parquet(path).select("entrega").distinct().count() == 1
+
+
 def test_deltas_follow_a_stream(spark, tmp_path):
     draw = random.Random(6)
     schema = f"{ENRICHED}, signo int"
