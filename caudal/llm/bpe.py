@@ -20,6 +20,7 @@ import base64
 import heapq
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +29,13 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from caudal.llm import blocks
+from caudal.llm import blocks, pretokens
+from caudal.llm.pretokens import spans
 from caudal.llm.tables import whole_text
 
 PART = "block bigint, shard int, docs binary, body binary"  # shard -1: the block's documents
 _LONG_WORD = 64  # bytes from which a heap of pairs pays
+_BODIES = 128  # requests of blocks that a shard answers at once
 
 
 @lru_cache(maxsize=4)
@@ -104,15 +107,12 @@ def _encode_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
-def spans(begins: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The positions ``begins[i] .. begins[i] + lengths[i] - 1``, one span after the other."""
-    stops = np.cumsum(lengths)
-    total = int(stops[-1]) if len(stops) else 0
-    return np.arange(total) + np.repeat(begins - (stops - lengths), lengths)
-
-
 def encode_decode(
-    docs: DataFrame, vocabulary: bytes, pattern: str, block_chars: int = blocks.BLOCK_CHARS
+    docs: DataFrame,
+    vocabulary: bytes,
+    pattern: str,
+    block_bytes: int = blocks.BLOCK_CHARS,
+    at_spaces: bool = False,
 ) -> DataFrame:
     """One row per document: ``doc_id, ids, decoded``, the ids as little-endian unsigned 32-bit numbers.
 
@@ -120,6 +120,11 @@ def encode_decode(
     without special tokens; ``decoded`` has the bytes of the ids. Empty texts have no
     ids. Rows that repeat an id, null ids and texts of any length each keep their own
     row. Other columns are ignored. No rows: no rows.
+
+    ``at_spaces`` is a promise about the pattern: at every space between two characters
+    that are no white space a match begins, whatever stands around them. It holds for
+    patterns whose matches take white space at their beginning only, and saves most of
+    the search, as a block's distinct stretches between such spaces are searched once.
     """
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -130,23 +135,13 @@ def encode_decode(
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.Table, np.ndarray, pa.Array, np.ndarray]]:
         """Name, documents, codes, words and words per shard of each block."""
         find = regex.compile(pattern).findall
-        part, number = TaskContext.get().partitionId(), 0
-        kind: pa.DataType | None = None
-
-        def rows() -> Iterator[tuple[tuple, str]]:
-            nonlocal kind
-            for batch in batches:
-                kind = batch.schema.field(0).type
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    yield (doc,), text
-
-        for block in blocks.in_blocks(rows(), find, block_chars):
-            codes, words, sizes = block.close(shards)
-            ids, counts = zip(*block.rows)
-            table = pa.table({"doc_id": pa.array(ids, kind), "n": pa.array(counts, pa.int64())})
+        part = TaskContext.get().partitionId()
+        for number, (ids, texts) in enumerate(pretokens.in_blocks(batches, block_bytes)):
+            counts, codes, words, sizes = pretokens.coded(texts, find, shards, at_spaces)
+            table = pa.table({"doc_id": ids, "n": pa.array(counts, pa.int64())})
             content = xxhash.xxh3_64(codes.astype("<u4").tobytes(), seed=(part << 32) + number)
-            content.update(b"\0".join(words.to_pylist()))
-            number += 1
+            content.update(words.buffers()[1])
+            content.update(words.buffers()[2] or b"")
             yield content.intdigest() >> 1, table, codes, words, sizes
 
     def send_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,25 +160,33 @@ def encode_decode(
         ranks = ranks_of(shared.value)
         known: dict[bytes, list[int]] = {}
         for batch in batches:
-            bodies = []
-            for body in batch.column(3):
-                words = blocks.from_bytes(body.as_py()).column("word").to_pylist()
+            for start in range(0, len(batch), _BODIES):
+                part = batch.slice(start, _BODIES)
+                asked = [blocks.from_bytes(body.as_py()).column("word").combine_chunks() for body in part.column(3)]
+                coded = pa.concat_arrays(asked).dictionary_encode()
                 found = []
-                for word in words:
+                for word in coded.dictionary.to_pylist():
                     ids = known.get(word)
                     if ids is None:
                         ids = known[word] = encode_word(word, ranks)
                     found.append(ids)
-                lengths = np.fromiter(map(len, found), np.int64, len(found))
-                flat = np.fromiter((i for ids in found for i in ids), np.int64, int(lengths.sum()))
-                bodies.append(
-                    len(lengths).to_bytes(4, "little")
-                    + len(flat).to_bytes(4, "little")
-                    + _sized(blocks.pack(lengths))
-                    + blocks.pack(flat)
-                )
-            columns = [batch.column(i) for i in range(3)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(bodies, pa.binary())], batch.schema.names)
+                length = np.fromiter(map(len, found), np.int64, len(found))
+                flat = np.fromiter(chain.from_iterable(found), np.int64, int(length.sum()))
+                begin = np.cumsum(length) - length
+                codes, bodies, at = coded.indices.to_numpy(zero_copy_only=False), [], 0
+                for words in asked:
+                    code = codes[at : at + len(words)]
+                    at += len(words)
+                    lengths = length[code]
+                    ids = flat[spans(begin[code], lengths)]
+                    bodies.append(
+                        len(code).to_bytes(4, "little")
+                        + len(ids).to_bytes(4, "little")
+                        + _sized(blocks.pack(lengths))
+                        + blocks.pack(ids)
+                    )
+                columns = [part.column(i) for i in range(3)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(bodies, pa.binary())], part.schema.names)
 
     def together(parts: pa.Table) -> pa.Table:
         parts = parts.sort_by("shard")

@@ -42,7 +42,7 @@ def digests(encoded: DataFrame) -> DataFrame:
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    return digests(bpe.encode_decode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN))
+    return digests(bpe.encode_decode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, at_spaces=True))
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,12 +6,14 @@ import re
 from collections import defaultdict
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
+import regex
 import tiktoken
 import xxhash
 from pyspark.sql import functions as F
 
-from caudal.llm import bpe, exact_dedup, mixing, simhash
+from caudal.llm import bpe, exact_dedup, mixing, pretokens, simhash
 from caudal.llm.components import connected
 from caudal.llm.registered import op1_byte_bpe, vocabulary
 
@@ -50,14 +52,31 @@ def ids_of(row):
     return [int.from_bytes(row["ids"][i : i + 4], "little") for i in range(0, len(row["ids"]), 4)]
 
 
-@pytest.mark.parametrize("block_chars", [50, 8_000_000])
-def test_bpe_equals_the_library_and_round_trips(spark, odd, ranks, block_chars):
+@pytest.mark.parametrize("block_bytes", [50, 8_000_000])
+@pytest.mark.parametrize("at_spaces", [False, True])
+def test_bpe_equals_the_library_and_round_trips(spark, odd, ranks, block_bytes, at_spaces):
     own = library(ranks)
-    made = bpe.encode_decode(documents(spark, odd), ranks, public_tokenizers.PATTERN, block_chars).collect()
+    made = bpe.encode_decode(documents(spark, odd), ranks, public_tokenizers.PATTERN, block_bytes, at_spaces).collect()
     expected = sorted((str(i), own.encode_ordinary(t or ""), (t or "").encode()) for i, t, _ in odd)
     assert sorted((str(r["doc_id"]), ids_of(r), bytes(r["decoded"])) for r in made) == expected
 
 
+@pytest.mark.parametrize("at_spaces", [False, True])
+def test_stretches_give_the_pattern_s_matches(at_spaces):
+    find, draw = regex.compile(public_tokenizers.PATTERN).findall, random.Random(3)
+    marks = [" ", " ", " ", "\n", "\t", "\r", "\x1c", "\x85", "\u00a0", "\u3000", "\u0301", "a", "b", "'s", "'", "ll", "1", ".", "_", "é", "你", "🙂"]
+    texts = ["", " ", "  ", "a", " a ", "a  b"] + ["".join(draw.choices(marks, k=draw.randint(0, 30))) for _ in range(5000)]
+    for some in (texts, texts[:1], []):
+        batch = pa.record_batch([pa.array(range(len(some)), pa.int64()), pa.array(some, pa.string())], ["doc_id", "text"])
+        made = []
+        for ids, block in pretokens.in_blocks(iter([batch, batch.slice(0, 0)]), 1000):
+            counts, codes, words, sizes = pretokens.coded(block, find, 7, at_spaces)
+            assert sizes.sum() == len(words) == len(set(words.to_pylist()))
+            stops = counts.cumsum()
+            made += [(i, [words[int(c)].as_py().decode() for c in codes[b - n : b]]) for i, b, n in zip(ids.to_pylist(), stops, counts)]
+        assert made == [(i, find(t)) for i, t in enumerate(some)]
+
+
 def test_bpe_on_the_corpus(spark, ranks):
     own = library(ranks)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
