@@ -56,7 +56,7 @@ def mixed_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: ids of every row of the mix, and digests that show the round trip."""
     ranks = vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    made = bpe.encode_decode(docs, ranks, public_tokenizers.PATTERN)
+    made = bpe.encode_decode(docs, ranks, public_tokenizers.PATTERN, at_spaces=True)
     return made.select(
         "doc_id",
         F.expr("octet_length(ids) div 4").alias("n_tokens"),
