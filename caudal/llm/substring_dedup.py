@@ -17,7 +17,8 @@
    128-bit digests instead, collapsed per block: exact, spread by digest, no group.
 5. Blocks of documents put the answers together.
 
-Texts travel twice, packed, to their block; everything else is digests and the few
+Texts travel twice, packed, to their block, with the places and anchors of their pieces,
+which are found once; everything else is digests and the few
 pieces that differ. One block or one shard is in memory at a time.
 """
 
@@ -74,7 +75,7 @@ def _slice_pieces(data, at, to, limits, length, gram):
     least = _sliding_least(key, window)[: to - at]
     anchor = (least & ((np.uint64(1) << _PLACE_BITS) - np.uint64(1))).astype(np.int64)
     start = np.arange(at, to)
-    text = np.searchsorted(limits, start, side="right")  # the limit after the start
+    text = np.repeat(np.arange(1, len(limits)), np.diff(np.clip(limits, at, to)))  # the limit after the start
     inside = start + length <= limits[np.minimum(text, len(limits) - 1)]
     start, anchor, text = start[inside], anchor[inside], text[inside]
     if not len(start):
@@ -99,10 +100,11 @@ def _sliding_least(key: np.ndarray, window: int) -> np.ndarray:
 class Texts:
     """A block: texts end to end, and its pieces collapsed to distinct ones in order of shard."""
 
-    def __init__(self, data: bytes, ends: np.ndarray, shards: int, length: int, gram: int) -> None:
+    def __init__(
+        self, data: bytes, ends: np.ndarray, shards: int, length: int, pieces: tuple[np.ndarray, np.ndarray, np.ndarray]
+    ) -> None:
         self.data, self.ends, self.length = data, ends, length
-        whole = np.frombuffer(data, np.uint8)
-        self.first, self.last, anchor = pieces_of(whole, ends, length, gram)
+        self.first, self.last, anchor = pieces
         digest = xxhash.xxh3_128_digest
         marks = b"".join([digest(data[a : b + length]) for a, b in zip(self.first.tolist(), self.last.tolist())])
         marks = np.frombuffer(marks, "<u8").reshape(-1, 2)
@@ -262,7 +264,9 @@ def repeats(
         size, kind_of_id = 0, None
 
         def send() -> pa.RecordBatch:
-            block = Texts(b"".join(texts), np.cumsum([len(t) for t in texts]), shards, length, gram)
+            data, ends = b"".join(texts), np.cumsum([len(t) for t in texts])
+            first, last, anchor = pieces_of(np.frombuffer(data, np.uint8), ends, length, gram)
+            block = Texts(data, ends, shards, length, (first, last, anchor))
             stops = np.cumsum(block.sizes)
             asked = np.flatnonzero(block.sizes)
             bodies = []
@@ -270,7 +274,9 @@ def repeats(
                 here = slice(stops[s] - block.sizes[s], stops[s])
                 bodies.append(bundle(block.anchor[here], block.marks[here, 0].copy(), block.marks[here, 1].copy(), block.copies[here].astype(np.uint32)))
             table = pa.table({"doc_id": pa.array(ids, kind_of_id), "n": pa.array([len(t) for t in texts], pa.int64())})
-            packed = len(block.data).to_bytes(8, "little") + pa.compress(block.data, codec="zstd", asbytes=True)
+            packed = pa.compress(data, codec="zstd", asbytes=True)
+            packed = len(data).to_bytes(8, "little") + len(packed).to_bytes(8, "little") + packed
+            packed += bundle(np.diff(first, prepend=0).astype(np.uint32), (last - first).astype(np.uint32), anchor)
             return _parts(-1, [*asked, -1], (part << 32) + number, [None] * len(asked) + [blocks.to_bytes(table)], [*bodies, packed])
 
         for batch in batches:
@@ -298,8 +304,11 @@ def repeats(
         bodies = dict(zip(group.column("shard").to_pylist(), group.column("body").to_pylist()))
         table = blocks.from_bytes(next(d for d in group.column("docs").to_pylist() if d is not None))
         packed = bodies.pop(-1)
-        data = pa.decompress(packed[8:], decompressed_size=int.from_bytes(packed[:8], "little"), codec="zstd", asbytes=True) if len(packed) > 8 else b""
-        texts = Texts(data, np.cumsum(table.column("n").to_numpy()), shards, length, gram)
+        size, end = int.from_bytes(packed[:8], "little"), 16 + int.from_bytes(packed[8:16], "little")
+        data = pa.decompress(packed[16:end], decompressed_size=size, codec="zstd", asbytes=True) if size else b""
+        steps, sizes, anchor = unbundle(packed[end:])
+        first = np.cumsum(steps, dtype=np.int64)
+        texts = Texts(data, np.cumsum(table.column("n").to_numpy()), shards, length, (first, first + sizes, anchor))
         code = [np.zeros(0, np.uint8), *(unbundle(bodies[s])[0] for s in sorted(bodies))]
         return texts, np.concatenate(code), table
 

@@ -11,6 +11,8 @@ import numpy as np
 
 _SYMBOLS = 7  # of nine bits in a word
 _BITS = 9
+_SHIFTS = np.arange(_SYMBOLS - 1, -1, -1, dtype=np.uint64) * np.uint64(_BITS)  # first symbol first
+_SYMBOL = np.uint64((1 << _BITS) - 1)
 
 
 class SuffixArray:
@@ -137,13 +139,5 @@ class SuffixArray:
 
 def _leading(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Equal leading symbols of words, none counted from the first separator on."""
-    difference = a ^ b
-    same = np.full(len(a), _SYMBOLS, np.int64)
-    open_ = np.ones(len(a), bool)
-    for j in range(_SYMBOLS):
-        shift = np.uint64(_BITS * (_SYMBOLS - 1 - j))
-        mask = np.uint64((1 << _BITS) - 1)
-        stop = open_ & ((((difference >> shift) & mask) != 0) | (((a >> shift) & mask) == 0))
-        same[stop] = j
-        open_ &= ~stop
-    return same
+    same = (((a ^ b)[:, None] >> _SHIFTS) == 0) & ((a[:, None] >> _SHIFTS & _SYMBOL) != 0)
+    return np.where(same.all(axis=1), _SYMBOLS, same.argmin(axis=1))
