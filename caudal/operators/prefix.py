@@ -13,10 +13,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caudal.functions.values import floor_div, micros
+from caudal.operators.joins import HOT_SHARE
 
 _SECOND = 1_000_000
 _DAY = 86_400 * _SECOND
 
+# Slots of a hash of the key, counted to find hot keys; twenty times 1/HOT_SHARE.
+_SLOTS = 4096
+
+# Buckets of facts without key or instant start beyond those of any instant.
+_UNDATED = 1 << 62
+
 
 def _before(points: DataFrame, group: Sequence[str], order: str, totals: Sequence[str], opening: DataFrame | None) -> DataFrame:
     """``points`` with their totals replaced by those of earlier points of the group, the opening included."""
@@ -71,32 +78,53 @@ def versions(rows: DataFrame, key: str, at: str, columns: Sequence[str]) -> Data
     )
 
 
+def _crowded(points: DataFrame, slot: Column, share: float) -> Column:
+    """Whether a row's ``slot`` of ``_SLOTS`` holds more than ``share`` of the dated ``points``.
+
+    One list of flags for the whole query: points are counted per slot before they are
+    shuffled, so a slot is one row per map task.
+    """
+    per_slot = points.groupBy(slot.alias("_s")).agg(F.count("_t").alias("_n"))
+    slots = per_slot.agg(F.collect_list(F.struct("_s", "_n")).alias("_de"), F.sum("_n").alias("_todos"))
+    crowded = F.transform(F.filter("_de", lambda s: s["_n"] > F.col("_todos") * F.lit(share)), lambda s: s["_s"])
+    flags = F.transform(F.sequence(F.lit(0), F.lit(_SLOTS - 1)), lambda s: F.array_contains("_llenas", s))
+    return F.element_at(slots.select(crowded.alias("_llenas")).select(flags).scalar(), slot + 1)
+
+
 def as_of(
-    facts: DataFrame, states: DataFrame, key: str, ts: str, since: str, carry: Sequence[str], bucket_seconds: int = 3600
+    facts: DataFrame, states: DataFrame, key: str, ts: str, since: str, carry: Sequence[str],
+    bucket_seconds: int = 3600, share: float = HOT_SHARE,
 ) -> DataFrame:
     """Each fact with the columns ``carry`` of its key's newest state not after it; null where there is none.
 
     ``states`` is unique in key and ``since``. Facts and states are put into one sorted
-    run per key and time bucket, and the last state seen is the answer: no range join, no
-    fact repeated. A bucket opens with the last state before it, from a pass over the
-    buckets of a key. A group holds one bucket of one key. Facts without key or instant
-    keep null states.
+    run per key, and the last state seen is the answer: no range join, no fact repeated.
+    Keys are dealt to slots by a hash; those of a slot with more than ``share`` of all
+    rows, at most 1/share slots, have a run per time bucket instead. Such a bucket opens
+    with the last state before it, from a pass over the buckets of a key. A group holds
+    at most that share of the rows, or one bucket of one key. Facts without key or instant
+    keep null states; they form groups of their own, spread by a hash.
     """
     span = bucket_seconds * _SECOND
+    kind = facts.select(F.col(key).alias("_k")).union(states.select(F.col(key).alias("_k"))).schema["_k"].dataType
     state = F.struct(*[F.col(c) for c in carry])
     asked = facts.select(
-        F.col(key).alias("_k"), micros(ts).alias("_t"), F.lit(1).alias("_orden"), F.struct("*").alias("_hecho")
+        F.col(key).cast(kind).alias("_k"), micros(ts).alias("_t"), F.lit(1).alias("_orden"), F.struct("*").alias("_hecho")
     )
     dated = F.col("_k").isNotNull() & F.col("_t").isNotNull()
     known = states.select(
-        F.col(key).alias("_k"), micros(since).alias("_t"), F.lit(0).alias("_orden"), state.alias("_estado")
+        F.col(key).cast(kind).alias("_k"), micros(since).alias("_t"), F.lit(0).alias("_orden"), state.alias("_estado")
     ).filter(dated)
-    bucket = floor_div(F.col("_t"), span).alias("_b")
-    points = asked.filter(dated).select("*", bucket)
-    marks = known.select("*", bucket)
-
-    last = marks.groupBy("_k", "_b").agg(F.max_by("_estado", "_t").alias("_estado"))
-    wanted = points.select("_k", "_b").distinct().withColumn("_pide", F.lit(True))
+    slot = F.pmod(F.xxhash64("_k"), F.lit(_SLOTS)).cast("int")
+    # The count and ``wanted`` read the same two columns of all facts: one shuffle serves both.
+    hot = _crowded(asked.select("_k", "_t").unionByName(known.select("_k", "_t")), slot, share)
+    bucket = F.when(hot, floor_div(F.col("_t"), span)).otherwise(F.lit(0).cast("bigint"))
+    apart = F.lit(_UNDATED) + F.pmod(F.xxhash64("_hecho"), F.lit(_SLOTS))
+    points = asked.withColumn("_b", F.when(dated, bucket).otherwise(apart))
+    marks = known.withColumn("_b", bucket)
+
+    last = marks.filter(hot).groupBy("_k", "_b").agg(F.max_by("_estado", "_t").alias("_estado"))
+    wanted = asked.filter(hot).select("_k", floor_div(F.col("_t"), span).alias("_b")).distinct().withColumn("_pide", F.lit(True))
     per_bucket = wanted.unionByName(last, allowMissingColumns=True).groupBy("_k", "_b").agg(
         F.max("_pide").alias("_pide"), F.first("_estado", ignorenulls=True).alias("_estado")
     )
@@ -109,6 +137,4 @@ def as_of(
     run = points.unionByName(marks, allowMissingColumns=True).unionByName(opening, allowMissingColumns=True)
     so_far = Window.partitionBy("_k", "_b").orderBy("_t", "_orden").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     found = run.withColumn("_estado", F.last("_estado", ignorenulls=True).over(so_far)).filter("_orden = 1")
-    undated = asked.filter(~dated).withColumn("_estado", F.lit(None).cast(found.schema["_estado"].dataType))
-    rows = found.select("_hecho", "_estado").unionByName(undated.select("_hecho", "_estado"))
-    return rows.select("_hecho.*", *[F.col(f"_estado.{c}").alias(c) for c in carry])
+    return found.select("_hecho.*", *[F.col(f"_estado.{c}").alias(c) for c in carry])

@@ -164,6 +164,67 @@ def test_as_of_a_hot_account(spark):
     assert len(made) == len(facts)
 
 
+@pytest.mark.parametrize("share", [0.0, 0.1, 1.0])
+def test_as_of_by_run_or_bucket(spark, share):
+    """All keys, only the hot one, or no key cut into buckets: the same states; keys of two widths; facts without key or instant."""
+    draw = random.Random(4)
+    known = {}
+    for i in range(200):
+        key = 1 if i % 3 == 0 else draw.randint(2, 40)
+        known[key, START + dt.timedelta(minutes=draw.randint(-9000, 3000))] = f"s{i}"
+    facts = [(i, 1 if i % 3 == 0 else draw.randint(2, 50), START + dt.timedelta(minutes=draw.randint(-9500, 6000))) for i in range(900)]
+    facts += [(1000 + i, k, t) for i, (k, t) in enumerate(known)]
+    facts += [(2000 + i, None, START) for i in range(300)] + [(3000 + i, 1, None) for i in range(300)] + [(4000, None, None), (4001, 9, None)]
+    facts += [(i, k, t) for i, k, t in facts[:50]]  # equal rows stay apart
+    tx = spark.createDataFrame(facts, "id long, cuenta int, cuando timestamp_ntz")
+    states = spark.createDataFrame([(k, t, s) for (k, t), s in known.items()], "cuenta long, desde timestamp_ntz, estado string")
+    made = prefix.as_of(tx, states, "cuenta", "cuando", "desde", ["desde", "estado"], share=share)
+    assert made.schema["cuenta"].dataType.simpleString() == "int"
+    expected = []
+    for i, key, at in facts:
+        past = [(t, s) for (k, t), s in known.items() if k == key and at is not None and t <= at]
+        expected.append((i, key, at, *(max(past) if past else (None, None))))
+    assert sorted(map(tuple, made.collect()), key=repr) == sorted(expected, key=repr)
+
+
+def test_as_of_nothing(spark):
+    tx = spark.createDataFrame([], "id long, cuenta long, cuando timestamp_ntz")
+    states = spark.createDataFrame([(1, START, "x")], "cuenta long, desde timestamp_ntz, estado string")
+    assert prefix.as_of(tx, states, "cuenta", "cuando", "desde", ["estado"]).collect() == []
+    assert prefix.as_of(tx, states.limit(0), "cuenta", "cuando", "desde", ["estado"]).collect() == []
+    alone = prefix.as_of(states, states.limit(0), "cuenta", "desde", "desde", []).collect()
+    assert [tuple(r) for r in alone] == [(1, START, "x")]
+
+
+def shuffled_rows(df):
+    """Rows that the shuffles of a finished query wrote, those of its subqueries left out."""
+    def walk(node):
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            return walk(node.executedPlan())
+        if kind.endswith("QueryStageExec"):
+            return walk(node.plan())
+        found = node.metrics().get("shuffleRecordsWritten")
+        below = node.children()
+        return (found.get().value() if found.isDefined() else 0) + sum(walk(below.apply(i)) for i in range(below.size()))
+
+    df.collect()
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def test_cold_keys_meet_their_states_in_one_shuffle(spark):
+    """No key is hot: facts and states once for the run, orders at most twice for their versions, and no other pass."""
+    sf = "/root/testdata/sf0.01"
+    lines, orders = (spark.read.parquet(f"{sf}/{t}.parquet").count() for t in ("lineitem", "orders"))
+    assert lines < shuffled_rows(QUERIES["tx_state_as_of"](spark, sf)) <= lines + 3 * orders
+
+
+def test_undated_facts_come_with_the_others(spark):
+    """The facts are scanned whole once, not a second time for those without key or instant."""
+    plan = QUERIES["tx_state_as_of"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("concat_ws(") == 1
+
+
 def test_versions(spark):
     day = lambda n: START + dt.timedelta(days=n)
     said = [("a", day(0), "ACTIVA"), ("a", day(1), "ACTIVA"), ("a", day(2), "CERRADA"), ("a", day(3), None), ("a", day(4), None),
